@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, media, packing, quality
-from .common import table
+from . import exact_dedup, html_extract, media, packing, quality, substring_dedup
+from .common import SPACE, table
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +30,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without passages of 20 words that occur earlier."""
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    words = F.trim(F.regexp_replace("kept", SPACE, " "))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document the one that stays of its equals."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -40,7 +47,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.read_media(media.store_texts(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op7_exact_dedup, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op5_substring_dedup, op7_exact_dedup, op9_media_columns)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
