@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, media, packing, quality, substring_dedup
+from . import exact_dedup, html_extract, media, near_dedup, packing, quality, substring_dedup
 from .common import SPACE, table
 
 
@@ -37,6 +37,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the component of its near copies."""
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document the one that stays of its equals."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -47,7 +52,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.read_media(media.store_texts(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op5_substring_dedup, op7_exact_dedup, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op9_media_columns)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
