@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, media, near_dedup, packing, quality, substring_dedup
+from . import class_lm, exact_dedup, html_extract, media, near_dedup, packing, quality, substring_dedup
 from .common import SPACE, table
 
 
@@ -30,6 +30,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based and unigram log probabilities of every document."""
+    return class_lm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without passages of 20 words that occur earlier."""
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -52,7 +57,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.read_media(media.store_texts(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op4_class_lm, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op9_media_columns)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
