@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, exact_dedup, html_extract, media, near_dedup, packing, quality, substring_dedup
+from . import byte_bpe, class_lm, exact_dedup, html_extract, media, near_dedup, packing, quality, substring_dedup
 from .common import SPACE, table
 
 
@@ -52,12 +52,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to ids and decoded again."""
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(tokenizer("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as 8-bit samples, sniffed and read back."""
     return media.digest(media.read_media(media.store_texts(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op4_class_lm, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op4_class_lm, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op8_byte_bpe, op9_media_columns)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
