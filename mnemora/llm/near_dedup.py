@@ -12,9 +12,8 @@ few rounds for sets larger than t ln t.
 3. Bands of class representatives: an aggregate finds buckets of two or more with their smallest and largest id.
    Every member is paired with these two pivots, never all with all.
 4. Pairs are distinct, their texts join them compressed, and the full sets decide: 100 * |A & B| >= 80 * |A | B|.
-5. Components of the links by min-label propagation. Buckets whose members still lie in several
-   components go on: further rounds with other pivots, then all pairs *across* components that no round has tested. Pairs
-   inside a component can't change it. So each pair of a bucket is settled, by a test or by being connected.
+5. Components of the links; buckets whose members still lie in several components go on until
+   each of their pairs is settled, by a test or by being connected (see ``linking``).
 
 With 40 bands of 6 a pair of similarity 0.8 misses all bands with probability 5e-6.
 
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, column, column_bytes, cut, mix, texts, windows_hash
+from .linking import settle
 
 SHINGLE, BANDS, ROWS = 4, 40, 6
 LAST = 2**63 - 1
@@ -149,24 +149,6 @@ def verify(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``(k, component)`` for every vertex of ``links (a, b)``: the smallest id it reaches.
-
-    Labels spread over links and then jump to their labels' labels, so a chain halves each round.
-    """
-    links = cut(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "k"))
-    while True:
-        near = both.join(labels, both["b"] == labels["k"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["k"] == near["a"]).select("k", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        target = step.select(F.col("k").alias("to"), F.col("component").alias("further"))
-        moved = cut(step.join(target, step["component"] == target["to"], "left").select("k", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
-        labels = moved.select("k", "component")
-        if moved.where("component <> was").isEmpty():
-            return labels
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = BANDS, band_rows: int = ROWS, pivot_rounds: int = 3) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for every row; ids are whole numbers."""
     rows = texts(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("k"), "text")
@@ -174,36 +156,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("k").alias("rep"))
     chosen = sets.select("k", "n", "bands").join(classes.select(F.col("rep").alias("k")), "k", "left_semi")
     banded = chosen.select("k", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi")
-    members = cut(banded.join(shared, "band"))
-
-    pivots = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("k").alias("b")), F.struct(F.col("k").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
-    tested = cut(pivots.where("a < b").distinct())
-    stored = cut(compressed(rows.join(members.select("k").distinct(), "k", "left_semi")).dropDuplicates(["k"]))
-    links = cut(verify(tested, stored, percent))
-    labels = components(links)
-
-    for number in range(pivot_rounds + 1):
-        placed = members.select("band", "k", "n").join(labels, "k", "left").select("band", "k", "n", F.coalesce("component", "k").alias("component"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.xxhash64("k", F.lit(number))).alias("chosen")).where("c0 < c1")
-        open_rows = cut(placed.join(mixed.select("band", "chosen"), "band"))
-        if open_rows.isEmpty():
-            break
-        left = open_rows.select("band", F.col("k").alias("ka"), F.col("n").alias("na"), F.col("component").alias("ca"), "chosen")
-        right = open_rows.select("band", F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        apart = F.col("ca") != F.col("cb")
-        if number < pivot_rounds:
-            left = left.where(F.xxhash64("ka", F.lit(number)) == F.col("chosen"))
-        else:
-            apart = F.col("ca") < F.col("cb")
-        pairs = left.join(right, "band").where(apart & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        fresh = cut(pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(fresh)
-        more = cut(verify(fresh, stored, percent))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+    stored: list[DataFrame] = []
+
+    def prepare(members: DataFrame) -> None:
+        stored.append(cut(compressed(rows.join(members.select("k").distinct(), "k", "left_semi")).dropDuplicates(["k"])))
 
+    labels = settle(banded, lambda pairs: verify(pairs, stored[0], percent), percent, prepare, pivot_rounds)
     of_class = classes.join(labels.withColumnRenamed("k", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     placed = sets.select("k", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left").select("k", "n", F.coalesce("component", "k").alias("c"))
     null_last = lambda c: F.when(F.col(c) != LAST, F.col(c))

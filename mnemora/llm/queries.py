@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, exact_dedup, html_extract, media, near_dedup, packing, quality, substring_dedup
+from . import byte_bpe, class_lm, exact_dedup, html_extract, line_dedup, media, near_dedup, packing, quality, substring_dedup
 from .common import SPACE, table
 
 
@@ -65,7 +65,13 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.read_media(media.store_texts(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op4_class_lm, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op8_byte_bpe, op9_media_columns)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that repeat earlier ones, nearly or exactly."""
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op4_class_lm, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op8_byte_bpe, op9_media_columns, op10_line_dedup)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
