@@ -58,6 +58,21 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few longs that may be broadcast: some tens of MB.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join: broadcast where its counted rows are few, else left to the shuffle."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
+def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept (id)``, which is written once and counted."""
+    kept = cut(kept.select(F.col("id").alias("__kept")).distinct())
+    return docs.join(small(kept, kept.count()), docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text)`` alone, null texts as empty ones."""
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

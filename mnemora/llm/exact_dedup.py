@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, texts
+from .common import SPACE, keep_ids, texts
 
 
 def normalised(text: Column) -> Column:
@@ -42,5 +42,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text an earlier id has too; same columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    return keep_ids(docs, exact_groups(docs, id_col, text_col).where("kept"), id_col)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, column_bytes, cut, mix, texts, windows_hash
+from .common import WordHashes, column, column_bytes, cut, keep_ids, mix, texts, windows_hash
 from .linking import settle
 
 SHINGLE, BANDS, ROWS = 4, 40, 6
@@ -170,5 +170,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id; same columns. Ids must be unique."""
-    kept = near_groups(docs, id_col, text_col).where("kept").select(F.col("id").alias("__kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    return keep_ids(docs, near_groups(docs, id_col, text_col).where("kept"), id_col)

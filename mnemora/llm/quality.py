@@ -139,12 +139,28 @@ def score(x: DataFrame, model: Discriminant) -> DataFrame:
     return x.mapInArrow(run, f"id {x.schema['id'].dataType.simpleString()}, score double")
 
 
+def learn(x: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
+    """Fit to statistics ``(id, x)`` by the labels of the training folds."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("label in (0, 1)")
+    return fit(x.join(known.where(fold(F.col("id")) != HELD_OUT), "id").select("label", "x"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """``(id, held_out, score, predicted)`` for every row of ``docs``."""
     x = cut(features(docs, id_col, text_col))
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("label in (0, 1)")
-    train = x.join(known.where(fold(F.col("id")) != HELD_OUT), "id").select("label", "x")
-    scored = score(x, fit(train))
-    return scored.select(
+    return score(x, learn(x, labels, id_col, label_col)).select(
         "id", F.coalesce(fold(F.col("id")) == HELD_OUT, F.lit(True)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more; same columns, nothing shuffled but the fit's statistics."""
+    model = learn(cut(features(docs, id_col, text_col)), labels, id_col, label_col)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                good = model.scores(np.array([statistics(t) for t in column_bytes(batch, text_col)])) >= threshold
+                yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

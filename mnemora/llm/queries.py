@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op4_class_lm, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op8_byte_bpe, op9_media_columns, op10_line_dedup)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline`` over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op4_class_lm, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op8_byte_bpe, op9_media_columns, op10_line_dedup, pipeline)}
 
 ORACLES = {
     "op7_exact_dedup": r"""

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import WordHashes, column, column_bytes, cut, mix, texts, to_batches
 
@@ -91,6 +92,11 @@ def _tag(text: bytes) -> int:
     return zlib.crc32(text) & 0xFFFF
 
 
+def _schema(before: str, rows: DataFrame, after: str) -> StructType:
+    """Fields before and after the id, whose type is the input's (a struct where more columns come along)."""
+    return StructType([*StructType.fromDDL(before or "x int").fields[: 99 * bool(before)], rows.schema["id"], *StructType.fromDDL(after).fields])
+
+
 def segments(rows: DataFrame) -> DataFrame:
     """``(anchor, path, k, at, n)`` from ``(k, text)``; ``at`` = start * 65536 + tag."""
 
@@ -142,7 +148,6 @@ def _first_pass(joined: DataFrame) -> DataFrame:
     From ``(k, id, z, paths, points)``, lists of ``at`` and ``n``. Gives ``(k, tag, id, z, n_words, n_removed, kept, done,
     open)``: ``kept`` where nothing is open, else ``z``, the marks so far and the open windows.
     """
-    id_type = joined.schema["id"].dataType.simpleString()
     item = pa.struct([("a", pa.int64()), ("w", pa.int64()), ("start", pa.int32())])
 
     def run(batches):
@@ -182,12 +187,11 @@ def _first_pass(joined: DataFrame) -> DataFrame:
 
             yield from to_batches(out(), schema, size=1024)
 
-    return joined.mapInArrow(run, f"k long, tag int, id {id_type}, z binary, n_words long, n_removed long, kept string, marks binary, open array<struct<a:long,w:long,start:int>>")
+    return joined.mapInArrow(run, _schema("k long, tag int", joined, "z binary, n_words long, n_removed long, kept string, marks binary, open array<struct<a:long,w:long,start:int>>"))
 
 
 def _second_pass(joined: DataFrame) -> DataFrame:
     """Apply the windows found elsewhere too, from ``(id, z, marks, n_words, starts)``."""
-    id_type = joined.schema["id"].dataType.simpleString()
 
     def run(batches):
         import zstandard
@@ -210,7 +214,7 @@ def _second_pass(joined: DataFrame) -> DataFrame:
 
             yield from to_batches(out(), schema, size=1024)
 
-    return joined.mapInArrow(run, f"id {id_type}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(run, _schema("", joined, "n_words long, n_removed long, kept string"))
 
 
 def compressed(rows: DataFrame) -> DataFrame:
@@ -224,12 +228,24 @@ def compressed(rows: DataFrame) -> DataFrame:
             z = [pack.compress(t) for t in column_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays([column(batch, "k"), column(batch, "id"), pa.array(z, pa.binary())], ["k", "id", "z"])
 
-    return rows.mapInArrow(run, f"k long, id {rows.schema['id'].dataType.simpleString()}, z binary")
+    return rows.mapInArrow(run, _schema("k long", rows, "z binary"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_words, n_removed, kept string)`` for every row; ids are whole numbers."""
-    rows = texts(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("k"), "id", "text")
+    return _resolved(texts(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("k"), "id", "text"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the kept text in place; its other columns come along. ``n_chars``, where there is one, follows the text."""
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), rest.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    now = {text_col: F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return _resolved(rows).select(*[now.get(c, F.col("id")[c]).alias(c) for c in docs.columns])
+
+
+def _resolved(rows: DataFrame) -> DataFrame:
+    """``(id, n_words, n_removed, kept)`` from ``(k, id, text)``, where only ``k`` orders."""
     found = segments(rows.select("k", "text"))
     anchors = (
         found.groupBy("anchor")
@@ -247,12 +263,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left = read.where(F.col("kept").isNull()).select("k", "tag", "id", "z", "marks")
     settled = _second_pass(left.join(later, ["k", "tag"], "left").select("id", "z", "marks", "starts"))
     return read.where(F.col("kept").isNotNull()).select("id", "n_words", "n_removed", "kept").unionByName(settled)
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the kept text in place; ids must be unique. ``n_chars``, where there is one, follows the text."""
-    kept = remove_repeats(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("kept").alias("__kept"))
-    rest = [c for c in docs.columns if c != text_col]
-    return docs.select(*rest).join(kept, F.col(id_col) == F.col("__id")).select(
-        *[F.col("__kept").alias(c) if c == text_col else F.length("__kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    )
