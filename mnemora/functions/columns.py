@@ -34,7 +34,7 @@ def norm_path(path: Column) -> Column:
 
 def slugify(text: Column, most: int = 60) -> Column:
     """Lower-case words of letters and digits joined by ``-``."""
-    return F.rtrim(F.lit("-"), F.substring(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), 1, most))
+    return F.rtrim(F.substring(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), 1, most), F.lit("-"))
 
 
 def uuid_suffix(value: Column) -> Column:

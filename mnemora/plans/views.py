@@ -68,7 +68,7 @@ reviews AS (
 """
 
 READINGS_SQL = """
-readings AS (SELECT 'device-' || user_id AS device, event_type AS metric, epoch_ms(ts) AS ts_ms, value, event_id FROM events)
+readings AS (SELECT 'device-' || user_id AS device, event_type AS metric, epoch_us(ts) // 1000 AS ts_ms, value, event_id FROM events)
 """
 
 ORDERS_SQL = """
