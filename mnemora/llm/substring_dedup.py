@@ -28,7 +28,6 @@ documents of under 20 words lose nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -37,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WordHashes, column, column_bytes, cut, mix, texts, to_batches
+from .common import column, column_bytes, cut, mix, texts, to_batches
+from .words import Words, slices
 
 WINDOW = 20
 ANCHOR = 6
 LAST = 2**63 - 1
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,40 +50,46 @@ def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mix(x * _C1 + mix(y * _C2))
 
 
-def _spans(h: np.ndarray) -> dict[int, np.ndarray]:
-    """Hashes of the spans of 2, 4, 6, 16 and 20 words at every start, by doubling."""
-    at = {1: h}
-    for n in (2, 4, 8, 16):
-        half = at[n // 2]
-        at[n] = _pair(half[: -(n // 2)], half[n // 2 :])
-    at[6] = _pair(at[4][: len(h) - 5], at[2][4:])
-    at[20] = _pair(at[16][: len(h) - 19], at[4][16:])
-    return at
-
-
 class Segments:
-    """The segments of one document: arrays ``anchor``, ``path``, ``start``, ``count`` and ``again``.
+    """The segments of a run of texts: arrays ``anchor``, ``path``, ``start``, ``count``, ``text`` and ``again``.
 
-    ``again``: the same segment occurs at an earlier start of this document.
+    ``start`` numbers the run's words; ``text``: the number of the segment's text; ``again``: the same
+    segment occurs earlier in its text. ``window``: the hash of the window at every word.
     """
 
-    def __init__(self, h: np.ndarray):
+    def __init__(self, words: Words):
+        h, first = words.hash, words.first
         n = len(h) - WINDOW + 1
+        self.anchor = self.path = self.window = np.empty(0, np.uint64)
+        self.start = self.count = self.text = np.empty(0, np.int64)
+        self.again = np.empty(0, bool)
         if n <= 0:
-            self.anchor = self.path = self.window = np.empty(0, np.uint64)
-            self.start = self.count = np.empty(0, np.int64)
-            self.again = np.empty(0, bool)
             return
-        spans = _spans(h)
-        self.window = spans[20]
-        least = np.lib.stride_tricks.sliding_window_view(spans[6], WINDOW - ANCHOR + 1).argmin(1) + np.arange(n)
-        self.start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        self.count = np.diff(np.r_[self.start, n])
-        self.anchor = spans[6][least[self.start]]
+        at = {1: h}  # hashes of spans of words at every start, by doubling
+        for k in (2, 4, 8, 16):
+            half = at[k // 2]
+            at[k] = _pair(half[: -(k // 2)], half[k // 2 :])
+        six = _pair(at[4][: len(h) - 5], at[2][4:])
+        self.window = _pair(at[16][: len(h) - 19], at[4][16:])
+        bits = np.uint64((1 << int(len(h)).bit_length()) - 1)
+        least = six & ~bits | np.arange(len(six), dtype=np.uint64)  # of equal hashes the leftmost
+        for k in (1, 2, 4):
+            least = np.minimum(least[:-k], least[k:])
+        least = np.minimum(least[:n], least[WINDOW - ANCHOR + 1 - 8 :][:n]) & bits
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        whole = text[:n] == text[WINDOW - 1 :]
+        new = whole.copy()
+        new[1:] &= (least[1:] != least[:-1]) | (text[1:n] != text[: n - 1]) | ~whole[:-1]
+        self.start = np.flatnonzero(new)
+        if not len(self.start):
+            return
+        self.text = text[self.start]
+        self.count = np.add.reduceat(whole.astype(np.int64), self.start)
+        self.anchor = six[least[self.start].astype(np.int64)]
         self.path = _pair(self.window[self.start] + self.count.astype(np.uint64), self.window[self.start + self.count - 1])
-        _, first = np.unique(self.anchor + self.path * _C1, return_index=True)
+        _, one = np.unique(mix(self.anchor + self.path * _C1) + self.text.astype(np.uint64) * _C2, return_index=True)
         self.again = np.ones(len(self.start), bool)
-        self.again[first] = False
+        self.again[one] = False
 
 
 def _tag(text: bytes) -> int:
@@ -101,51 +106,50 @@ def segments(rows: DataFrame) -> DataFrame:
     """``(anchor, path, k, at, n)`` from ``(k, text)``; ``at`` = start * 65536 + tag."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            parts: list[list] = [[], [], [], [], []]
-            for k, text in zip(column(batch, "k").to_pylist(), column_bytes(batch, "text")):
-                found = Segments(hashes(text.split()))
+            texts, k = column_bytes(batch, "text"), column(batch, "k").to_numpy()
+            for part in slices([len(t) for t in texts]):
+                words = Words(texts[part])
+                found = Segments(words)
                 new = ~found.again
-                m = int(new.sum())
-                if m:
-                    for part, x in zip(parts, (found.anchor[new].view(np.int64), found.path[new].view(np.int64), np.full(m, k, np.int64), (found.start[new] << 16) + _tag(text), found.count[new].astype(np.int32))):
-                        part.append(x)
-            if parts[0]:
-                whole = [np.concatenate(p) for p in parts]
-                for i in range(0, len(whole[0]), 65536):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536]) for x in whole], ["anchor", "path", "k", "at", "n"])
+                if new.any():
+                    text = found.text[new]
+                    tags = np.array([_tag(t) for t in texts[part]], np.int64)
+                    at = (found.start[new] - words.first[text] << 16) + tags[text]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found.anchor[new].view(np.int64)), pa.array(found.path[new].view(np.int64)), pa.array(k[part][text]), pa.array(at), pa.array(found.count[new].astype(np.int32))], ["anchor", "path", "k", "at", "n"]
+                    )
 
     return rows.mapInArrow(run, "anchor long, path long, k long, at long, n int")
 
 
-class Marks:
-    """Marks words of one document for removal."""
-
-    def __init__(self, n_words: int):
-        self.delta = np.zeros(n_words + 1, np.int64)
+def _mark(delta: np.ndarray, start: np.ndarray, count: np.ndarray | int) -> None:
+    """Marks the words of ``count`` windows from each start."""
+    np.add.at(delta, start, 1)
+    np.add.at(delta, start + count + WINDOW - 1, -1)
 
-    def windows(self, start: np.ndarray, count: np.ndarray) -> None:
-        np.add.at(self.delta, start, 1)
-        np.add.at(self.delta, start + count + WINDOW - 1, -1)
 
-    def gone(self) -> np.ndarray:
-        return np.cumsum(self.delta[:-1]) > 0
-
-
-def _kept(text: bytes, gone: np.ndarray) -> str:
-    """The text itself where nothing goes; else its kept runs, white space inside them as it was, joined by a space."""
-    if gone.any():
-        edges = np.flatnonzero(np.diff(np.r_[True, gone, True].astype(np.int8)))
-        spans = [m.span() for m in _WORD.finditer(text)]
-        text = b" ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in edges.reshape(-1, 2).tolist())
-    return text.decode("utf-8", "replace")
+def _listed(batch: pa.RecordBatch, name: str, part: slice, tags: np.ndarray, words: Words, found: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """The segments that a column lists for texts of a run and that are there: starts in the run, and counts."""
+    lists = column(batch, name).slice(part.start, part.stop - part.start)
+    sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+    flat = lists.flatten()
+    at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    start = (at >> 16) + words.first[text]
+    own = (at & 0xFFFF) == tags[text]
+    place = np.minimum(np.searchsorted(found.start, start), max(0, len(found.start) - 1))
+    if len(found.start):
+        own &= (found.start[place] == start) & (found.count[place] == n) & (found.text[place] == text)
+    else:
+        own[:] = False
+    return start[own], n[own]
 
 
 def _first_pass(joined: DataFrame) -> DataFrame:
     """Apply what segments tell; list the windows at branching points that are still open.
 
-    From ``(k, id, z, paths, points)``, lists of ``at`` and ``n``. Gives ``(k, tag, id, z, n_words, n_removed, kept, done,
+    From ``(k, id, z, paths, points)``, lists of ``at`` and ``n``. Gives ``(k, tag, id, z, n_words, n_removed, kept, marks,
     open)``: ``kept`` where nothing is open, else ``z``, the marks so far and the open windows.
     """
     item = pa.struct([("a", pa.int64()), ("w", pa.int64()), ("start", pa.int32())])
@@ -153,45 +157,47 @@ def _first_pass(joined: DataFrame) -> DataFrame:
     def run(batches):
         import zstandard
 
-        unpack, hashes = zstandard.ZstdDecompressor(), WordHashes()
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids = column(batch, "id")
-            schema = pa.schema([("k", pa.int64()), ("tag", pa.int32()), ("id", ids.type), ("z", pa.binary()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("marks", pa.binary()), ("open", pa.list_(item))])
-
-            def out():
-                for k, key, z, paths, points in zip(column(batch, "k").to_pylist(), ids.to_pylist(), column(batch, "z").to_pylist(), column(batch, "paths").to_pylist(), column(batch, "points").to_pylist()):
-                    text = unpack.decompress(z)
-                    words, tag = text.split(), _tag(text)
-                    found, marks = Segments(hashes(words)), Marks(len(words))
-                    marks.windows(found.start[found.again], found.count[found.again])
-                    place = dict(zip(found.start.tolist(), found.count.tolist()))
-                    own = lambda pairs: np.array([(p["at"] >> 16, p["n"]) for p in pairs or () if p["at"] & 0xFFFF == tag and place.get(p["at"] >> 16) == p["n"]], np.int64).reshape(-1, 2)
-                    whole, split = own(paths), own(points)
-                    marks.windows(whole[:, 0], whole[:, 1])
-                    open_windows = []
-                    if len(split):
-                        starts = np.concatenate([np.arange(s, s + n) for s, n in split.tolist()])
-                        starts.sort()
-                        anchor = found.anchor[np.searchsorted(found.start, starts, "right") - 1]
-                        w = found.window[starts]
-                        _, first = np.unique(w + anchor * _C1, return_index=True)
-                        later = np.ones(len(starts), bool)
-                        later[first] = False
-                        marks.windows(starts[later], np.ones(int(later.sum()), np.int64))
-                        open_windows = [{"a": a, "w": x, "start": s} for a, x, s in zip(anchor[~later].view(np.int64).tolist(), w[~later].view(np.int64).tolist(), starts[~later].tolist())]
-                    gone = marks.gone()
-                    if open_windows:
-                        yield k, tag, key, z, len(words), None, None, np.packbits(gone).tobytes(), open_windows
-                    else:
-                        yield k, tag, key, None, len(words), int(gone.sum()), _kept(text, gone), None, []
-
-            yield from to_batches(out(), schema, size=1024)
+            packed = column(batch, "z").to_pylist()
+            texts = [unpack.decompress(z) for z in packed]
+            for part in slices([len(t) for t in texts]):
+                own, words = texts[part], Words(texts[part])
+                found, tags = Segments(words), np.array([_tag(t) for t in own], np.int64)
+                delta = np.zeros(len(words.hash) + 1, np.int64)
+                _mark(delta, found.start[found.again], found.count[found.again])
+                _mark(delta, *_listed(batch, "paths", part, tags, words, found))
+                start, count = _listed(batch, "points", part, tags, words, found)
+                order = np.argsort(start)
+                start, count = start[order], count[order]
+                windows = np.repeat(start - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+                segment = np.searchsorted(found.start, windows, "right") - 1
+                text, anchor, w = found.text[segment], found.anchor[segment], found.window[windows]
+                _, one = np.unique(mix(w + anchor * _C1) + text.astype(np.uint64) * _C2, return_index=True)
+                later = np.ones(len(windows), bool)
+                later[one] = False
+                _mark(delta, windows[later], 1)
+                gone = np.cumsum(delta[:-1]) > 0
+                text, anchor, w, windows = text[~later], anchor[~later], w[~later], windows[~later]
+                sizes = np.bincount(text, minlength=len(own))
+                n_words, n_gone = np.diff(words.first), np.diff(np.r_[0, np.cumsum(gone)][words.first])
+                kept = [None if sizes[i] else words.kept(i, gone, t).decode("utf-8", "replace") for i, t in enumerate(own)]
+                marks = [np.packbits(gone[words.first[i] : words.first[i + 1]]).tobytes() if sizes[i] else None for i in range(len(own))]
+                opened = pa.StructArray.from_arrays([pa.array(anchor.view(np.int64)), pa.array(w.view(np.int64)), pa.array((windows - words.first[text]).astype(np.int32))], fields=list(item))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        column(batch, "k").slice(part.start, len(own)), pa.array(tags.astype(np.int32)), column(batch, "id").slice(part.start, len(own)),
+                        pa.array([z if sizes[i] else None for i, z in enumerate(packed[part])], pa.binary()), pa.array(n_words.astype(np.int64)), pa.array(n_gone.astype(np.int64)),
+                        pa.array(kept, pa.string()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), opened),
+                    ],
+                    ["k", "tag", "id", "z", "n_words", "n_removed", "kept", "marks", "open"],
+                )
 
     return joined.mapInArrow(run, _schema("k long, tag int", joined, "z binary, n_words long, n_removed long, kept string, marks binary, open array<struct<a:long,w:long,start:int>>"))
 
 
 def _second_pass(joined: DataFrame) -> DataFrame:
-    """Apply the windows found elsewhere too, from ``(id, z, marks, n_words, starts)``."""
+    """Apply the windows found elsewhere too, from ``(id, z, marks, starts)``."""
 
     def run(batches):
         import zstandard
@@ -202,15 +208,15 @@ def _second_pass(joined: DataFrame) -> DataFrame:
             schema = pa.schema([("id", ids.type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
             def out():
-                for key, z, bits, starts in zip(ids.to_pylist(), column(batch, "z").to_pylist(), column(batch, "marks").to_pylist(), column(batch, "starts").to_pylist()):
+                for key, z, bits, starts in zip(ids.to_pylist(), column(batch, "z").to_pylist(), column(batch, "marks").to_pylist(), column(batch, "starts")):
                     text = unpack.decompress(z)
-                    words = text.split()
-                    gone = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
-                    if starts:
-                        marks = Marks(len(words))
-                        marks.windows(np.array(starts, np.int64), np.ones(len(starts), np.int64))
-                        gone |= marks.gone()
-                    yield key, len(words), int(gone.sum()), _kept(text, gone)
+                    words = Words([text])
+                    gone = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words.hash)).astype(bool)
+                    if starts.is_valid:
+                        delta = np.zeros(len(gone) + 1, np.int64)
+                        _mark(delta, starts.values.to_numpy().astype(np.int64), 1)
+                        gone |= np.cumsum(delta[:-1]) > 0
+                    yield key, len(gone), int(gone.sum()), words.kept(0, gone, text).decode("utf-8", "replace")
 
             yield from to_batches(out(), schema, size=1024)
 
