@@ -4,14 +4,16 @@ A bucket of m vertices has m*m/2 pairs, so pairs are never simply emitted. ``set
 every member against two pivots, joins what is linked into components, and goes on only in
 buckets whose members still lie in several components: with further pivots, then with all pairs
 across components that no round has tested. A pair inside a component can't change it, so every pair of every
-bucket is settled, by a test or by being connected.
+bucket is settled, by a test or by being connected. That last join emits a pair in the first bucket it shares
+only, and may be given a sharper estimate of similarity to leave out pairs that are clearly apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -35,11 +37,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def settle(banded: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, prepare: Callable[[DataFrame], None] = lambda members: None, pivot_rounds: int = 3) -> DataFrame:
-    """``(k, component)`` of linked vertices, from ``(band, k, n)``.
+def settle(
+    banded: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    percent: int,
+    keys: DataFrame,
+    n_bands: int,
+    prepare: Callable[[DataFrame], None] = lambda members: None,
+    sharpen: Callable[[DataFrame], DataFrame] | None = None,
+    alike: Callable[[Column, Column], Column] | None = None,
+    pivot_rounds: int = 2,
+) -> DataFrame:
+    """``(k, component)`` of linked vertices, from ``(number, band, k, n)``.
 
     ``verify`` keeps the linked of pairs ``(a, b)``, a < b; pairs whose sizes ``n`` differ by more than
-    ``percent`` can't be linked. ``prepare`` gets the members of shared buckets before the first test.
+    ``percent`` can't be linked. ``keys (k, keys)``: a vertex's bands by number. ``prepare`` gets the members
+    of shared buckets before the first test. ``sharpen`` gives ``(k, marks)`` for vertices ``(k)``, and ``alike`` tests two
+    marks for the last round.
     """
     shared = banded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi")
     members = cut(banded.join(shared, "band"))
@@ -48,23 +62,30 @@ def settle(banded: DataFrame, verify: Callable[[DataFrame], DataFrame], percent:
     tested = cut(pivots.where("a < b").distinct())
     links = cut(verify(tested))
     labels = components(links)
-    for number in range(pivot_rounds + 1):
-        placed = members.select("band", "k", "n").join(labels, "k", "left").select("band", "k", "n", F.coalesce("component", "k").alias("component"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.xxhash64("k", F.lit(number))).alias("chosen")).where("c0 < c1")
+    for turn in range(pivot_rounds + 1):
+        placed = members.select("number", "band", "k", "n").join(labels, "k", "left").select("number", "band", "k", "n", F.coalesce("component", "k").alias("component"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.xxhash64("k", F.lit(turn))).alias("chosen")).where("c0 < c1")
         open_rows = cut(placed.join(mixed.select("band", "chosen"), "band"))
-        left = open_rows.select("band", F.col("k").alias("ka"), F.col("n").alias("na"), F.col("component").alias("ca"), "chosen")
-        right = open_rows.select("band", F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        apart = F.col("ca") != F.col("cb")
-        if number < pivot_rounds:
-            left = left.where(F.xxhash64("ka", F.lit(number)) == F.col("chosen"))
+        last = turn == pivot_rounds
+        if last:
+            vertices = open_rows.select("k").distinct()
+            marks = sharpen(vertices) if sharpen else vertices.withColumn("marks", F.lit(None).cast("long"))
+            open_rows = cut(open_rows.join(keys.join(marks, "k"), "k"))
         else:
-            apart = F.col("ca") < F.col("cb")
-        pairs = left.join(right, "band").where(apart & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        fresh = cut(pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+            open_rows = open_rows.withColumn("keys", F.lit(None).cast("array<long>")).withColumn("marks", F.lit(None).cast("array<long>"))
+        a, b = open_rows.alias("a"), open_rows.alias("b")
+        fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+        if last:
+            earlier = reduce(lambda x, y: x | y, [(F.col("a.number") > i) & (F.col("a.keys")[i] == F.col("b.keys")[i]) for i in range(n_bands)])
+            fits &= (F.col("a.component") < F.col("b.component")) & ~earlier
+            fits &= alike(F.col("a.marks"), F.col("b.marks")) if alike else F.lit(True)
+        else:
+            a = open_rows.where(F.xxhash64("k", F.lit(turn)) == F.col("chosen")).alias("a")
+            fits &= F.col("a.component") != F.col("b.component")
+        pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & fits).select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"))
+        fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
-            if number < pivot_rounds:
-                continue
-            break
+            continue
         tested = tested.unionByName(fresh)
         more = cut(verify(fresh))
         if not more.isEmpty():
