@@ -1,18 +1,16 @@
-"""Byte-level BPE over distinct words: ranked merges folded by Spark's higher-order functions.
+"""Byte-level BPE: ranked merges folded over the byte arrays of distinct words; decoding joins byte pieces.
 
-Texts become chunk dictionaries of pretokens (see ``chunks``), so a word is encoded once, however
-often it occurs. A word is a string with a character for each byte; it is split into single bytes
-and ``aggregate`` folds over as many steps as merges are possible: each looks up the ranks of
-all neighbouring pairs, and merges the pair of least rank, the leftmost of equals, until none has a
-rank. The ranks are one literal: an array of small maps by hash, so a lookup costs a few comparisons.
-Ids return to the chunks, where a document's ids are its words' ids in turn; decoding concatenates
-the ids' byte pieces.
+A text is split by the pattern; each distinct word is folded once and kept: starting from its single bytes,
+the neighbouring pair of least rank, the leftmost of equals, is merged until no pair has a rank. A text's ids are its
+words' ids in turn, and the ids' pieces joined are its bytes again.
 
-Words of over ``LONG`` bytes, where a fold's steps times pairs grow large, are merged in the chunk by the same rule
-with a heap, in n log n.
+``encode_words`` is the fold with Spark's higher-order functions and the ranks as a literal array of small maps by
+hash, for a table of distinct words. To encode whole corpora by it, words must meet across tasks and their ids
+come back to the texts, which takes more disk and CPU time than the limits allow (figures in the README); so
+``encode`` folds in the tasks that read the texts, with the same rule, and shuffles nothing.
 
-Defined cases: a null or empty text has no ids; every byte has an id, so any text can be encoded; null
-and repeated ids give a row each; an empty table gives no rows.
+Defined cases: a null or empty text has no ids; every byte has an id, so any text can be encoded; words of any length
+take n log n steps; null and repeated ids give a row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,15 +20,13 @@ import hashlib
 import heapq
 import json
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks
 from .common import column, texts, to_batches
 
-LONG = 64
+LONG = 200
 NONE = 2**31 - 1
 
 
@@ -106,79 +102,79 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def pretokens(pattern: str):
-    """A splitter of UTF-8 texts by a pattern, with white space as Unicode has it."""
-    held: list = []
+def encode_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word") -> DataFrame:
+    """``(word, ids array<int>)`` of distinct words, binary or strings, by higher-order functions alone."""
+    table = rank_literal(words.sparkSession, ranks)
+    word = F.col(word_col).cast("binary")
+    return words.select(F.col(word_col).alias("word"), F.when(F.length(word) > 0, encode_word(F.decode(word, "ISO-8859-1"), table)).otherwise(F.array().cast("array<int>")).alias("ids"))
+
+
+class WordIds(dict):
+    """Ids of words as decimal text, and in ``pieces`` what they decode to; for words seen before, in bounded number."""
+
+    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
+        super().__init__()
+        self.ranks, self.of_rank, self.most = ranks, {v: k for k, v in ranks.items()}, most
+        self.pieces: dict[str, bytes] = {}
+
+    def fold(self, word: bytes) -> list[int]:
+        ranks = self.ranks
+        if word in ranks:
+            return [ranks[word]]
+        if len(word) > LONG:
+            return merge_long(word, ranks)
+        parts = [word[i : i + 1] for i in range(len(word))]
+        pairs = [ranks.get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
+        while pairs and (least := min(pairs)) < NONE:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+        return [ranks[p] for p in parts]
+
+    def __missing__(self, word: str) -> str:
+        ids = self.fold(word.encode())
+        self.pieces[word] = b"".join([self.of_rank[i] for i in ids])
+        self[word] = text = ",".join(map(str, ids))
+        return text
+
+    def of(self, words: list[str]) -> tuple[str, bytes]:
+        """A text's ids as decimals joined by commas, and the bytes they decode to."""
+        if len(self) > self.most:
+            self.clear()
+            self.pieces.clear()
+        ids = ",".join(map(self.__getitem__, words))
+        return ids, b"".join(map(self.pieces.__getitem__, words))
+
+
+def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, fields: list[tuple[str, pa.DataType, str]], made) -> DataFrame:
+    rows = texts(docs, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary's size
 
-    def split(text: bytes) -> list[bytes]:
-        if not held:
-            import regex
+    def run(batches):
+        import regex
 
-            held.append(regex.compile(pattern))
-        return [w.encode() for w in held[0].findall(text.decode("utf-8", "replace"))]
+        split, words = regex.compile(pattern).findall, WordIds(shared.value)
+        for batch in batches:
+            ids = column(batch, "id")
+            schema = pa.schema([("id", ids.type), *[(n, t) for n, t, _ in fields]])
+            yield from to_batches(((key, *made(*words.of(split(text)))) for key, text in zip(ids.to_pylist(), column(batch, "text").to_pylist())), schema)
 
-    return split
+    return rows.mapInArrow(run, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *[f"{n} {t}" for n, _, t in fields]]))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids array<int>, decoded binary)`` for every row, by way of ``encoded_chunks``."""
-    return _documents(encoded_chunks(docs, ranks, pattern, id_col, text_col), ranks, digests=False)
+    """``(id, ids array<int>, decoded binary)`` for every row."""
+    return _coded(docs, ranks, pattern, id_col, text_col, [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.binary(), "binary")], lambda ids, decoded: ([int(x) for x in ids.split(",")] if ids else [], decoded))
 
 
 def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)``: digests taken where the ids are."""
-    return _documents(encoded_chunks(docs, ranks, pattern, id_col, text_col), ranks, digests=True)
-
-
-def encoded_chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunk dictionaries with the ids of their words."""
-    rows = texts(docs, id_col, text_col).withColumn("train", F.lit(False))
-    written = chunks.chunks(rows, pretokens(pattern))
-    table = rank_literal(docs.sparkSession, ranks)
-    by_word = Window.partitionBy("word")
-    words = chunks.words_of(written).select("chunk", "place", "word", (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"))
-    as_text = F.decode("word", "ISO-8859-1")
-    own = words.select("chunk", "place", "word", F.when(F.col("first") & (F.length("word") <= LONG), encode_word(as_text, table)).alias("own"))
-    spread = own.select("chunk", "place", F.first("own", ignorenulls=True).over(by_word).alias("ids"))
-    return chunks.returned(written.drop("train", "counts"), spread, "ids")
+    """``(id, n_tokens, ids_sha256, decoded_sha256)``: digests of the same outputs, taken where they are made."""
 
+    def made(ids: str, decoded: bytes) -> tuple:
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-def _documents(joined: DataFrame, ranks: dict[bytes, int], digests: bool) -> DataFrame:
-    id_type = joined.schema["ids"].dataType.elementType.simpleString()
-    shared = joined.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary's size
-
-    def run(batches):
-        ranks = shared.value
-        pieces = {v: k for k, v in ranks.items()}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words = column(batch, "words")[i].as_py()
-                coded: list = [None] * len(words)
-                got = column(batch, "got")[i]
-                if got.is_valid and len(got.values):
-                    for place, ids in zip(got.values.field("place").to_pylist(), got.values.field("ids").to_pylist()):
-                        coded[place] = ids
-                coded = [merge_long(w, ranks) if c is None else c for w, c in zip(words, coded)]
-                decoded = [b"".join([pieces[x] for x in c]) for c in coded]
-                codes = chunks.unpack_codes(column(batch, "codes")[i].as_py()).tolist()
-                sizes = column(batch, "sizes")[i].as_py()
-                keys = column(batch, "ids")[i].values
-                if digests:
-                    text = [b",".join([b"%d" % x for x in c]) for c in coded]
-                    count = np.fromiter(map(len, coded), np.int64, len(coded))
-
-                def out():
-                    at = 0
-                    for key, size in zip(keys.to_pylist(), sizes):
-                        own = codes[at : at + size]
-                        at += size
-                        whole = b"".join(map(decoded.__getitem__, own))
-                        if digests:
-                            yield key, int(count[own].sum()) if own else 0, hashlib.sha256(b",".join(map(text.__getitem__, own))).hexdigest(), hashlib.sha256(whole).hexdigest()
-                        else:
-                            yield key, [x for w in own for x in coded[w]], whole
-
-                fields = [("id", keys.type)] + ([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
-                yield from to_batches(out(), pa.schema(fields))
-
-    return joined.mapInArrow(run, f"id {id_type}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"))
+    return _coded(docs, ranks, pattern, id_col, text_col, [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")], made)
