@@ -198,7 +198,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         banded, lambda pairs: verify(pairs, stored[0], percent), percent, sets.select("k", F.col("bands").alias("keys")).dropDuplicates(["k"]), bands, prepare,
         lambda vertices: finer(stored[0].join(vertices, "k")), lambda x, y: clearly_alike(x, y, percent),
     )
-    of_class = classes.join(labels.withColumnRenamed("k", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
+    # written first, so that the join back to all documents is of two plain inputs, which AQE can split at a class of many copies
+    of_class = cut(classes.join(labels.withColumnRenamed("k", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component")))
     placed = sets.select("k", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left").select("k", "n", F.coalesce("component", "k").alias("c"))
     null_last = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return placed.select(null_last("k").alias("id"), F.col("n").alias("n_shingles"), null_last("c").alias("component_id"), (F.col("k") == F.col("c")).alias("kept"))

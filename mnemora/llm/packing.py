@@ -21,6 +21,9 @@ packed like others; very long texts give many full windows; an empty table gives
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,27 +41,43 @@ END_ID = 1
 SEQUENCES_PER_TASK = 1 << 32
 
 
-class WordTokens:
-    """Ids of words as little-endian unsigned 32-bit bytes, kept for words seen before."""
+class WordTokens(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes, kept for words seen before.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Letters of Latin-1 with ASCII punctuation after them, the most common form, go to the vocabulary's model in
+    the two parts that the tokenizer's own splitting gives; all other words to the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 800_000):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.most, self.seen = most, {}
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        new = list(set(words).difference(seen))
-        if new:
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, coded):
-                seen[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(seen.__getitem__, words))
+        self.model = self.tokenizer.model.tokenize
+        self.most = most
+        self.plain = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        shown = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]  # a byte-level vocabulary writes these as they are
+        self.bytes_as = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+    def ids(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8", "replace")
+        parts = self.plain(text)
+        if parts:
+            as_bytes = (x.lower() if x.isascii() else x.lower().encode().decode("latin-1").translate(self.bytes_as) for x in parts.groups() if x)
+            return [t.id for x in as_bytes for t in self.model(x)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.ids(word)
+        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+    def of(self, text: bytes) -> bytes:
+        if len(self) > self.most:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.lower().split()))  # the tokenizer drops case; this is ASCII's part of it
 
 
 class Packer:
@@ -76,13 +95,12 @@ class Packer:
 
     def level_for(self, length: int) -> int:
         """The level whose windows take an item of ``length`` at the least sum of squares."""
-        size, n = self.size, self.counts
-        levels = np.arange(0, size - length + 1)
-        after = np.where(levels + length < size, 2 * n[levels + length] + 1, 0)
-        before = np.where(levels > 0, 2 * n[levels] - 1, 0)
-        change = np.where((levels == 0) | (n[levels] > 0), after - before, np.iinfo(np.int64).max)
-        best = change.min()
-        return int(levels[change == best][-1])  # of equals the fullest window
+        there = self.counts[: self.size - length + 1]
+        change = 2 * (self.counts[length:] - there) + 2  # one more at the level reached, one fewer at the level left
+        change[-1] = 1 - 2 * there[-1]  # a full window counts at no level
+        change[there == 0] = np.iinfo(np.int64).max
+        change[0] = 2 * self.counts[length] + 1  # a new window leaves no level
+        return len(change) - 1 - int(change[::-1].argmin())  # of equals the fullest window
 
     def add(self, doc, ids: bytes) -> Iterator[list]:
         total, size = len(ids) // 4, self.size
@@ -164,7 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
                 ids = column(batch, "id")
                 kind[0] = ids.type
                 for doc, text in zip(ids.to_pylist(), column_bytes(batch, "text")):
-                    yield from packer.add(doc, tokens(text) + end)
+                    yield from packer.add(doc, tokens.of(text) + end)
             yield from packer.refill()
 
         def pieces():
