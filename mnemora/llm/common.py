@@ -7,10 +7,6 @@ null text as empty.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.durable import cut, shared_dir  # noqa: F401
+
 #: White space of every contract here: space and the control characters 9 to 13.
 #: ``bytes.split()`` without arguments splits at exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,36 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
-
-    Only where neither the setting nor the context names a folder (local runs and
-    tests) a temporary one is made, used and removed at exit.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    chosen = spark.sparkContext.getCheckpointDir()
-    if chosen is None:
-        own = tempfile.mkdtemp(prefix="spark-mnemora-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{own}")
-        chosen = spark.sparkContext.getCheckpointDir()
-    return chosen.rstrip("/")
-
-
-def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here.
-
-    A lost executor then costs a re-read instead of a recomputation, and results of
-    Python stages that later steps refer to by position can't change in between.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mnemora-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of a few longs that may be broadcast: some tens of MB.
 SMALL_ROWS = 1_000_000
 

@@ -1,7 +1,7 @@
 """Links inside buckets, and their connected components, with DataFrame operations only.
 
-A bucket of m vertices has m*m/2 pairs, so pairs are never simply emitted. ``settle`` tests
-every member against two pivots, joins what is linked into components, and goes on only in
+A bucket of m vertices has m*m/2 pairs, so pairs are never simply emitted. First every
+member is tested against two pivots; ``settle`` joins what is linked into components, and goes on only in
 buckets whose members still lie in several components: with further pivots, then with all pairs
 across components that no round has tested. A pair inside a component can't change it, so every pair of every
 bucket is settled, by a test or by being connected. That last join emits a pair in the first bucket it shares
@@ -38,46 +38,40 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def settle(
-    banded: DataFrame,
+    members: DataFrame,
+    tested: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    percent: int,
+    near: Callable[[Column, Column], Column],
     keys: DataFrame,
     n_bands: int,
-    prepare: Callable[[DataFrame], None] = lambda members: None,
     sharpen: Callable[[DataFrame], DataFrame] | None = None,
     alike: Callable[[Column, Column], Column] | None = None,
     pivot_rounds: int = 2,
 ) -> DataFrame:
-    """``(k, component)`` of linked vertices, from ``(number, band, k, n)``.
+    """``(k, component)`` of linked vertices, from ``(band, k, mark)``, the members of shared buckets.
 
-    ``verify`` keeps the linked of pairs ``(a, b)``, a < b; pairs whose sizes ``n`` differ by more than
-    ``percent`` can't be linked. ``keys (k, keys)``: a vertex's bands by number. ``prepare`` gets the members
-    of shared buckets before the first test. ``sharpen`` gives ``(k, marks)`` for vertices ``(k)``, and ``alike`` tests two
-    marks for the last round.
+    ``tested``: the first pairs ``(a, b)``, a < b, of members and their buckets' pivots. ``verify`` keeps the linked of
+    pairs; pairs whose marks aren't ``near`` can't be linked and are never emitted. ``keys (k, keys)``: a vertex's bands
+    by number. ``sharpen`` gives ``(k, marks)`` for vertices ``(k)``, and ``alike`` tests two marks for the last round.
     """
-    shared = banded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi")
-    members = cut(banded.join(shared, "band"))
-    prepare(members)
-    pivots = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("k").alias("b")), F.struct(F.col("k").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
-    tested = cut(pivots.where("a < b").distinct())
+    tested = cut(tested)
     links = cut(verify(tested))
     labels = components(links)
     for turn in range(pivot_rounds + 1):
-        placed = members.select("number", "band", "k", "n").join(labels, "k", "left").select("number", "band", "k", "n", F.coalesce("component", "k").alias("component"))
+        placed = members.select("band", "k", "mark").join(labels, "k", "left").select("band", "k", "mark", F.coalesce("component", "k").alias("component"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.xxhash64("k", F.lit(turn))).alias("chosen")).where("c0 < c1")
         open_rows = cut(placed.join(mixed.select("band", "chosen"), "band"))
         last = turn == pivot_rounds
         if last:
             vertices = open_rows.select("k").distinct()
-            marks = sharpen(vertices) if sharpen else vertices.withColumn("marks", F.lit(None).cast("long"))
-            open_rows = cut(open_rows.join(keys.join(marks, "k"), "k"))
-        else:
-            open_rows = open_rows.withColumn("keys", F.lit(None).cast("array<long>")).withColumn("marks", F.lit(None).cast("array<long>"))
+            marks = sharpen(vertices) if sharpen else vertices.withColumn("marks", F.lit(None).cast("array<long>"))
+            number = F.array_position("keys", F.col("band")) - 1
+            open_rows = cut(open_rows.join(keys.join(marks, "k"), "k").select(*open_rows.columns, "keys", "marks", number.alias("number")))
         a, b = open_rows.alias("a"), open_rows.alias("b")
-        fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+        fits = near(F.col("a.mark"), F.col("b.mark"))
         if last:
             earlier = reduce(lambda x, y: x | y, [(F.col("a.number") > i) & (F.col("a.keys")[i] == F.col("b.keys")[i]) for i in range(n_bands)])
-            fits &= (F.col("a.component") < F.col("b.component")) & ~earlier
+            fits = (F.col("a.component") < F.col("b.component")) & fits & ~earlier
             fits &= alike(F.col("a.marks"), F.col("b.marks")) if alike else F.lit(True)
         else:
             a = open_rows.where(F.xxhash64("k", F.lit(turn)) == F.col("chosen")).alias("a")

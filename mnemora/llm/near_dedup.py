@@ -188,15 +188,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = cut(sketches(rows, bands, band_rows))
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("k").alias("rep"))
     chosen = sets.select("k", "n", "bands").join(classes.select(F.col("rep").alias("k")), "k", "left_semi")
-    banded = chosen.select("k", "n", F.posexplode("bands").alias("number", "band"))
-    stored: list[DataFrame] = []
-
-    def prepare(members: DataFrame) -> None:
-        stored.append(cut(compressed(rows.join(members.select("k").distinct(), "k", "left_semi")).dropDuplicates(["k"])))
-
+    banded = chosen.select(F.explode("bands").alias("band"), "k", F.col("n").alias("mark"))
+    shared = banded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi")
+    members = cut(banded.join(shared, "band"))
+    stored = cut(compressed(rows.join(members.select("k").distinct(), "k", "left_semi")).dropDuplicates(["k"]))
+    pivots = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("k").alias("b")), F.struct(F.col("k").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
     labels = settle(
-        banded, lambda pairs: verify(pairs, stored[0], percent), percent, sets.select("k", F.col("bands").alias("keys")).dropDuplicates(["k"]), bands, prepare,
-        lambda vertices: finer(stored[0].join(vertices, "k")), lambda x, y: clearly_alike(x, y, percent),
+        members, pivots.where("a < b").distinct(), lambda pairs: verify(pairs, stored, percent), lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y),
+        sets.select("k", F.col("bands").alias("keys")).dropDuplicates(["k"]), bands, lambda vertices: finer(stored.join(vertices, "k")), lambda x, y: clearly_alike(x, y, percent),
     )
     # written first, so that the join back to all documents is of two plain inputs, which AQE can split at a class of many copies
     of_class = cut(classes.join(labels.withColumnRenamed("k", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component")))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -126,7 +127,7 @@ def test_lines_match_all_pairs(spark):
     import xxhash
 
     base = "the quick brown fox jumps over the lazy dog and runs along the river bank until the evening comes again"
-    rows = corpus(60, seed=5) + [(300, base + "\nother line"), (301, base + " now\n\n" + base.upper()), (302, "line 12\nline 34\n---")]
+    rows = corpus(60, seed=5) + [(300, base + "\nother line"), (301, base + " now\n\n" + base.upper()), (302, "line 12\nline 34\n---"), (303, f"{base[:-6]}\n{base} Straße a b c"), (304, "a b\na c b"), (305, f"{base} {base} x\n{base} {base}")]
     norm = lambda x: regex.sub(r"[^\p{L}\p{N}]+", " ", regex.sub("[0-9]", "0", x.lower())).strip(" ")
     first = {}
     for i, t in rows:
@@ -135,7 +136,7 @@ def test_lines_match_all_pairs(spark):
                 first.setdefault(norm(x), (i, k))
 
     def signature(x):
-        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in x.split(" ")]
+        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in [w for w in x.split(" ") if len(w) >= 4] or x.split(" ")]
         return sum(1 << b for b in range(63) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
     def distance(a, b):
@@ -169,6 +170,32 @@ def test_lines_match_all_pairs(spark):
         assert (got[i].n_lines, got[i].n_removed, got[i].text) == (len(lines), len(lines) - len(kept), "\n".join(kept))
 
 
+def test_edit_similarity_matches_the_distance(spark):
+    r = random.Random(2)
+    words = [r.choice(["ab", "abc", "b", "ö", "xyz", "𝒳y"]) for _ in range(40)]
+    pairs = []
+    for n in range(120):
+        a = r.choices(words, k=r.randint(1, 9))
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = r.choices(words, k=r.randint(0, 1))
+        pairs.append((n, n + 1000, " ".join(a), " ".join(b) or "ab"))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    frame = spark.createDataFrame(pairs, "a long, b long, ta string, tb string")
+    assert {x.a for x in line_dedup.similar(frame).collect()} == {n for n, _, a, b in pairs if distance(a, b) * 100 <= 20 * max(len(a), len(b))}
+    assert {x.a for x in line_dedup.similar(frame, most_chars=0).collect()} == {n for n, _, a, b in pairs if distance(a.split(" "), b.split(" ")) * 100 <= 20 * max(len(a.split(" ")), len(b.split(" ")))}
+
+
 def test_lines_odd_rows(spark):
     docs = odd_rows(spark)
     got = line_dedup.dedup_lines(docs).collect()
