@@ -5,9 +5,10 @@ elements (inline ones such as ``b`` or ``a`` don't split a block). For each path
 length, the punctuation, the linked length and the number of leaves are summed; a path's ratio
 is its unlinked text and its punctuation for each leaf. Ratios are smoothed over the page with
 a Gaussian over neighbouring blocks, the text and the punctuation ratio are fused, and paths
-over a threshold (a share of the page's spread) hold the content. Where the page names its
-main element, the blocks in it are the candidates and only link lists among them must pass.
-Elements that are not content by name, role or class never become blocks.
+over a threshold (a share of the page's spread) hold the content. That a page names its main
+element is a prior: blocks outside it count ``OUTSIDE`` of their fused ratio, and all must pass the threshold.
+Elements that are not content by name, role or a whole class name are left out, unless they wrap
+the main element or, on a page that names none, most of the unlinked text.
 
 Pages are independent, so this is one map over the rows.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +53,8 @@ _DROPPED_WORDS = frozenset(
     " footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments disqus replies"
     " respond share sharing social related recommended widget toolbar pagination pager copyright disclaimer skip".split()
 )
+#: What a block outside the page's named main element counts of its fused ratio.
+OUTSIDE = 0.2
 _MAIN_WORDS = frozenset("article-body articlebody post-content entry-content main-content article-content story-body".split())
 
 
@@ -58,23 +62,37 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(source)}
 
 
-def _dropped(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
-    if tag in _DROPPED or tag == "header" and not in_main:
-        return True
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _DROPPED_ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return tag not in ("body", "html", "article", "main") and not _DROPPED_WORDS.isdisjoint(re.split(r"[\s_-]+", named))
+#: Whether an element can hold content: yes; only as the wrapper of the page's main part; never.
+_CONTENT, _WRAPPER, _NEVER = 0, 1, 2
+
+
+def _part(tag: str, attributes: dict[str, str], in_main: bool) -> int:
+    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""))
+    if tag == "head" or hidden:
+        return _NEVER
+    if tag in _DROPPED or tag == "header" and not in_main or attributes.get("role", "").lower() in _DROPPED_ROLES:
+        return _WRAPPER
+    named = {*attributes.get("class", "").lower().split(), attributes.get("id", "").lower()}
+    return _CONTENT if tag in ("body", "html", "article", "main") or _DROPPED_WORDS.isdisjoint(named) else _WRAPPER
+
+
+@dataclass
+class Element:
+    """An element of a page: its parent's number, what it can hold, how it names itself the main one, its unlinked text."""
+
+    parent: int
+    part: int
+    main: int  # 2: main element or role, 1: article or class, 0: not named
+    length: int = 0
 
 
 class Blocks:
     """The text blocks of one page: ``(path, text, linked characters, inside the main element)``."""
 
     def __init__(self, page: str):
-        self.found: list[tuple[str, str, int, bool]] = []
-        self.open: list[tuple[str, str, bool, bool]] = []  # tag, step of the path, dropped, main
+        self.read: list[tuple[str, str, int, int]] = []  # path, text, linked characters, element
+        self.elements = [Element(0, _CONTENT, 0)]
+        self.open: list[tuple[str, str, int]] = []  # tag, step of the path, element
         self.text: list[str] = []
         self.linked = self.link_depth = 0
         at = 0
@@ -97,19 +115,22 @@ class Blocks:
         if at < len(page):
             self._words(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", page[at:]))
         self._flush()
+        self.found = self._kept()
 
     def _words(self, raw: str) -> None:
-        if not (self.open and self.open[-1][2]):
-            text = entities.unescape(raw) if "&" in raw else raw
-            self.text.append(text)
-            if self.link_depth:
-                self.linked += len(text.strip())
+        text = entities.unescape(raw) if "&" in raw else raw
+        self.text.append(text)
+        if self.link_depth:
+            self.linked += len(text.strip())
 
     def _flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.found.append(("/".join(x[1] for x in self.open), text, min(self.linked, len(text)), any(x[3] for x in self.open)))
+                element = self.open[-1][2] if self.open else 0
+                linked = min(self.linked, len(text))
+                self.read.append(("/".join(x[1] for x in self.open), text, linked, element))
+                self.elements[element].length += len(text) - linked
             self.text = []
         self.linked = 0
 
@@ -127,11 +148,11 @@ class Blocks:
         if tag in _VOID or source.rstrip().endswith("/") and tag not in _CLOSES_P:
             return
         attributes = _attributes(source) if source.strip() else {}
-        inside = any(x[3] for x in self.open)
-        main = tag in ("article", "main") or attributes.get("role") == "main" or not _MAIN_WORDS.isdisjoint(attributes.get("class", "").lower().split())
-        dropped = bool(self.open and self.open[-1][2]) or _dropped(tag, attributes, inside)
+        inside = any(self.elements[x[2]].main for x in self.open)
         name = attributes.get("class", "").split()
-        self.open.append((tag, f"{tag}.{name[0]}" if name else tag, dropped, main and not dropped))
+        main = 2 if tag == "main" or attributes.get("role") == "main" else int(tag == "article" or not _MAIN_WORDS.isdisjoint(attributes.get("class", "").lower().split()))
+        self.elements.append(Element(self.open[-1][2] if self.open else 0, _part(tag, attributes, inside), main))
+        self.open.append((tag, f"{tag}.{name[0]}" if name else tag, len(self.elements) - 1))
 
     def _close(self, tag: str) -> None:
         self._flush()
@@ -142,6 +163,38 @@ class Blocks:
         if tag not in _INLINE:
             self.link_depth = 0 if not any(x[0] == "a" for x in self.open) else self.link_depth
 
+    def _worst(self) -> list[int]:
+        """For each element the worst part of itself and all around it; parents come before their children."""
+        worst: list[int] = []
+        for k, e in enumerate(self.elements):
+            worst.append(max(e.part, worst[e.parent]) if k else e.part)
+        return worst
+
+    def _kept(self) -> list[tuple[str, str, int, bool]]:
+        """The blocks that no element leaves out, once wrappers of the page's main part are known not to."""
+        elements, worst = self.elements, self._worst()
+        own = [e.length if w < _NEVER else 0 for e, w in zip(elements, worst)]
+        whole = list(own)
+        for k in range(len(elements) - 1, 0, -1):
+            whole[elements[k].parent] += whole[k]
+        named = [k for k, e in enumerate(elements) if e.main and worst[k] < _NEVER]
+        main = max(named, key=lambda k: (worst[k] == _CONTENT, elements[k].main, whole[k]), default=None)
+        if main is not None and worst[main] == _WRAPPER and elements[main].main == 1 and 2 * whole[main] < whole[0]:
+            main = None  # a teaser among the elements left out
+        if main is not None:
+            at = main
+            while at:
+                elements[at].part = _CONTENT
+                at = elements[at].parent
+        else:
+            for e, n in zip(elements, whole):
+                if e.part == _WRAPPER and 2 * n > whole[0]:
+                    e.part = _CONTENT
+        worst, inside = self._worst(), []
+        for k, e in enumerate(elements):
+            inside.append(bool(e.main) or k > 0 and inside[e.parent])
+        return [(path, text, linked, inside[k]) for path, text, linked, k in self.read if worst[k] == _CONTENT]
+
 
 def _smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     """A Gaussian over neighbours, two to each side, normalised at the ends."""
@@ -156,27 +209,23 @@ def _smooth(values: list[float], sigma: float = 1.0) -> list[float]:
 def main_text(page: str, share: float = 0.5, link_share: float = 0.6) -> str:
     """The content blocks of one page in their order, joined by an empty line."""
     blocks = Blocks(page).found
-    named = [b for b in blocks if b[3]]
-    blocks = named or blocks
+    named = any(b[3] for b in blocks)
     paths: dict[str, list[float]] = {}
     for path, text, linked, _ in blocks:
         sums = paths.setdefault(path, [0.0, 0.0, 0.0, 0.0])
         for k, v in enumerate((len(text), len(_PUNCTUATION.findall(text)), linked, 1)):
             sums[k] += v
     linked_lists = {p for p, (n, _, linked, _) in paths.items() if linked > link_share * n}
-    if named:
-        chosen = set(paths) - linked_lists or set(paths)
-    else:
-        text_ratio = _smooth([max(0.0, paths[b[0]][0] - paths[b[0]][2]) / paths[b[0]][3] for b in blocks])
-        mark_ratio = _smooth([paths[b[0]][1] / paths[b[0]][3] for b in blocks])
-        fused: dict[str, list[float]] = {}
-        for (path, *_), t, p in zip(blocks, text_ratio, mark_ratio):
-            fused.setdefault(path, []).append(t * (1 + p))
-        ratios = {p: sum(v) / len(v) for p, v in fused.items()}
-        mean = sum(ratios.values()) / max(1, len(ratios))
-        spread = math.sqrt(sum((v - mean) ** 2 for v in ratios.values()) / max(1, len(ratios)))
-        least = share * min(spread, mean) if len(ratios) > 1 else 0.0
-        chosen = {p for p, v in ratios.items() if v >= least} - linked_lists
+    text_ratio = _smooth([max(0.0, paths[b[0]][0] - paths[b[0]][2]) / paths[b[0]][3] for b in blocks])
+    mark_ratio = _smooth([paths[b[0]][1] / paths[b[0]][3] for b in blocks])
+    fused: dict[str, list[float]] = {}
+    for (path, _, _, inside), t, p in zip(blocks, text_ratio, mark_ratio):
+        fused.setdefault(path, []).append(t * (1 + p) * (OUTSIDE if named and not inside else 1.0))
+    ratios = {p: sum(v) / len(v) for p, v in fused.items()}
+    mean = sum(ratios.values()) / max(1, len(ratios))
+    spread = math.sqrt(sum((v - mean) ** 2 for v in ratios.values()) / max(1, len(ratios)))
+    least = share * min(spread, mean) if len(ratios) > 1 else 0.0
+    chosen = {p for p, v in ratios.items() if v >= least} - linked_lists
     return "\n\n".join(b[1] for b in blocks if b[0] in chosen)
 
 

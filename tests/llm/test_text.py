@@ -92,6 +92,25 @@ def test_html_without_named_main():
     assert text.count("Sentence") == 6 and "Home" not in text
 
 
+def test_html_ratios_decide_inside_the_main_element():
+    body = "".join(f"<p>Sentence {i}, with several words and marks; it goes on for a while, as text does.</p>" for i in range(8))
+    tools = "".join(f"<div class=tool>Tool {i}</div>" for i in range(12))
+    text = html_extract.main_text(f"<html><body><article><h1>Title of it</h1>{body}{tools}</article></body></html>")
+    assert text.startswith("Title of it\n\nSentence 0") and text.count("Sentence") == 8 and "Tool" not in text
+
+
+def test_html_wrappers_of_the_main_part_stay():
+    body = "".join(f"<p>Sentence {i}, with several words and marks; it goes on for a while, as text does.</p>" for i in range(6))
+    aside = '<div class="sidebar"><article><p>A teaser, short.</p></article></div>'
+    for wrapper in ('<div class="content no-sidebar">', '<div id="page-with-comments">', '<div class="overlay">', "<form>"):
+        end = f"</{wrapper[1:].split()[0].rstrip('>')}>"
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", body):
+            text = html_extract.main_text(f"<html><body>{wrapper}{inner}{end}{aside}</body></html>")
+            assert text.count("Sentence") == 6 and "teaser" not in text, (wrapper, inner[:6])
+    hidden = html_extract.main_text(f"<html><body><div hidden>{body}</div><p>Shown, in part.</p></body></html>")
+    assert hidden == "Shown, in part."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "z"), (None, None, "<p>x", "z"), (2, "v", "", "z"), (2, "v", "<", "z")], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages).collect()
