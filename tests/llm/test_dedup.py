@@ -196,6 +196,15 @@ def test_edit_similarity_matches_the_distance(spark):
     assert {x.a for x in line_dedup.similar(frame, most_chars=0).collect()} == {n for n, _, a, b in pairs if distance(a.split(" "), b.split(" ")) * 100 <= 20 * max(len(a.split(" ")), len(b.split(" ")))}
 
 
+def test_long_lines_are_compared_by_characters(spark):
+    words = [f"word{i:06d}" for i in range(150)]
+    edited = [w[:-1] + "x" if i % 2 else w for i, w in enumerate(words)]  # half of the words, a few of 100 characters
+    other = [w[:4] + "qqqqqq" if i % 2 else w for i, w in enumerate(words)]
+    rows = [(1, 2, " ".join(words), " ".join(edited)), (3, 4, " ".join(words), " ".join(edited[:70] + ["inserted"] + edited[70:])), (5, 6, " ".join(words), " ".join(other))]
+    pairs = spark.createDataFrame(rows, "a long, b long, ta string, tb string")
+    assert {x.a for x in line_dedup.similar(pairs).collect()} == {1, 3}
+
+
 def test_lines_odd_rows(spark):
     docs = odd_rows(spark)
     got = line_dedup.dedup_lines(docs).collect()
