@@ -53,7 +53,7 @@ def align(left: DataFrame, right: DataFrame) -> DataFrame:
 
     def one(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("place"), b.sort_values("place")
-        side = lambda d: (np.array(d["vector"].tolist(), float).reshape(len(d), -1), d["length"].to_numpy(float))
+        side = lambda d: (np.array(d["vector"].tolist(), float).reshape(len(d), -1 if len(d) else 0), d["length"].to_numpy(float))
         (va, la), (vb, lb) = side(a), side(b)
         rows = [(key[0], k, list(x), list(y)) for k, (x, y) in enumerate(groups(va, vb, la, lb))]
         return pd.DataFrame(rows, columns=["section", "number", "left", "right"])

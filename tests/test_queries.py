@@ -40,3 +40,23 @@ def test_entry_gives_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_alignment_takes_every_row(spark, tmp_path):
+    """Beyond the first 400 ids too: the groups of a section are those of the plain version over all of its rows."""
+    import numpy as np
+
+    from mnemora.operators import align
+
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=4).tolist(), i * 7 % 45) for i in range(900)] + [(900, [1.0, 0.0, 0.0, 0.0], 99)]  # a section of one side alone
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(x.section, x.number): (x.left, x.right) for x in registry.QUERIES["d_align_dp"](spark, str(tmp_path)).collect()}
+    want = {}
+    for label in [*range(45), 99]:
+        side = [[x for x in rows if x[2] == label and x[0] % 2 == k] for k in (0, 1)]
+        vectors = [np.array([x[1] for x in s], np.float32).reshape(len(s), 4).astype(float) for s in side]
+        lengths = [np.array([x[0] % 13 + 5 for x in s], float) for s in side]
+        for k, (x, y) in enumerate(align.groups(*vectors, *lengths)):
+            want[label, k] = (list(x), list(y))
+    assert got == want
