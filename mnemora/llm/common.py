@@ -11,34 +11,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.durable import cut, shared_dir  # noqa: F401
+from mnemora.durable import cut, discard, shared_dir  # noqa: F401
 
 #: White space of every contract here: space and the control characters 9 to 13.
 #: ``bytes.split()`` without arguments splits at exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: The last key, and how many keys up to it stand for null ids.
+LAST, NULLS = 2**63 - 1, 1 << 40
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input directory, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Rows of a few longs that may be broadcast: some tens of MB.
-SMALL_ROWS = 1_000_000
+#: What may be broadcast, in bytes of rows whose width is known.
+SMALL_BYTES = 16 << 20
+
+
+def small(df: DataFrame, rows: int, width: int = 24) -> DataFrame:
+    """``df`` for a join: broadcast where its counted rows of ``width`` bytes are few, else left to the shuffle."""
+    return F.broadcast(df) if rows * width <= SMALL_BYTES else df
+
+
+def keyed(id_col: str, text_col: str) -> list[Column]:
+    """``k`` and ``tag``: a row's id as a long, and a hash of its text, which tells rows of one id apart.
+
+    Null ids come last, in the order of that hash, so that rows without ids don't all meet at one key.
+    """
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return [F.coalesce(F.col(id_col).cast("long"), LAST - F.pmod(tag, F.lit(NULLS))).alias("k"), tag.alias("tag")]
+
+
+def known(k: str) -> Column:
+    """The id of a key, null where it stands for none."""
+    return F.when(F.col(k) <= LAST - NULLS, F.col(k))
+
+
+def losing(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``(k, tag, left)`` of identities that lose rows where one row of each group of ``rows (group, k, tag)`` stays.
 
+    The one of the smallest id stays; of one id's texts that of the smallest hash; ``left``: how many of an identity's rows stay.
+    """
+    counted = rows.groupBy(*group, "k", "tag").agg(F.count(F.lit(1)).alias("m"))
+    first = counted.groupBy(*group).agg(F.min(F.struct("k", "tag")).alias("own"))
+    left = (F.struct("k", "tag") == F.col("own")).cast("int").alias("left")
+    return counted.join(first, group).select("k", "tag", "m", left).where("left < m").select("k", "tag", "left")
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` for a join: broadcast where its counted rows are few, else left to the shuffle."""
-    return F.broadcast(df) if rows <= SMALL_ROWS else df
 
+def without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows that ``lost (k, tag, left)`` takes; same columns. Only what is lost is joined.
 
-def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept (id)``, which is written once and counted."""
-    kept = cut(kept.select(F.col("id").alias("__kept")).distinct())
-    return docs.join(small(kept, kept.count()), docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    Rows of one id and one text are told apart by nothing; where one of them stays, it is any of them.
+    """
+    lost = cut(lost.select(F.col("k").alias("__k"), F.col("tag").alias("__tag"), F.col("left").alias("__left")))
+    rows, partly = lost.agg(F.count(F.lit(1)), F.count(F.when(F.col("__left") > 0, 1))).first()
+    k, tag = keyed(id_col, text_col)
+    marked = docs.select("*", k.alias("__key"), tag.alias("__text")).join(small(lost, rows), (F.col("__key") == F.col("__k")) & (F.col("__text") == F.col("__tag")), "left")
+    kept = marked.where("__left is null").select(*docs.columns)
+    return kept.unionByName(marked.where("__left > 0").dropDuplicates(["__key", "__text"]).select(*docs.columns)) if partly else kept
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

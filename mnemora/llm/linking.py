@@ -1,82 +1,84 @@
 """Links inside buckets, and their connected components, with DataFrame operations only.
 
-A bucket of m vertices has m*m/2 pairs, so pairs are never simply emitted. First every
-member is tested against two pivots; ``settle`` joins what is linked into components, and goes on only in
-buckets whose members still lie in several components: with further pivots, then with all pairs
+A bucket of m vertices has m*m/2 pairs, so only buckets of up to ``FEW`` members are taken pair by pair. In
+larger ones every member is tested against one pivot of its bucket in each of some rounds; what is linked is joined into
+components, and ``settle`` goes on only in buckets whose members still lie in several components. The last round takes all pairs
 across components that no round has tested. A pair inside a component can't change it, so every pair of every
-bucket is settled, by a test or by being connected. That last join emits a pair in the first bucket it shares
+bucket is settled, by a test or by being connected. That last round emits a pair in the least bucket it shares
 only, and may be given a sharper estimate of similarity to leave out pairs that are clearly apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, small
+
+
+#: Members of a bucket whose pairs are all taken at once.
+FEW = 12
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(k, component)`` for every vertex of ``links (a, b)``: the smallest vertex it reaches.
 
-    Labels spread over links and then jump to their labels' labels, so a chain halves each round.
+    Labels spread over links and then jump to their labels' labels, so a chain halves each round. A round shuffles
+    once while the labels are small enough to broadcast; beyond that its joins are of plain inputs, which AQE
+    splits where many vertices have one neighbour or one label.
     """
     links = cut(links)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "k"))
+    size = labels.count()
     while True:
-        near = both.join(labels, both["b"] == labels["k"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["k"] == near["a"]).select("k", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        target = step.select(F.col("k").alias("to"), F.col("component").alias("further"))
-        moved = cut(step.join(target, step["component"] == target["to"], "left").select("k", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
-        labels = moved.select("k", "component")
+        named = lambda key, value: small(labels.select(F.col("k").alias(key), F.col("component").alias(value)), size)
+        near = both.join(named("b", "c"), "b").groupBy("a").agg(F.min("c").alias("near"))
+        step = near.join(named("a", "was"), "a").select("a", "was", F.least("was", "near").alias("now"))
+        moved = cut(step.join(named("now", "further"), "now", "left").select(F.col("a").alias("k"), "was", F.least("now", F.coalesce("further", "now")).alias("component")))
+        discard(labels)
+        labels = moved
         if moved.where("component <> was").isEmpty():
-            return labels
+            return moved.select("k", "component")
 
 
 def settle(
     members: DataFrame,
-    tested: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     near: Callable[[Column, Column], Column],
-    keys: DataFrame,
-    n_bands: int,
     sharpen: Callable[[DataFrame], DataFrame] | None = None,
     alike: Callable[[Column, Column], Column] | None = None,
     pivot_rounds: int = 2,
 ) -> DataFrame:
-    """``(k, component)`` of linked vertices, from ``(band, k, mark)``, the members of shared buckets.
+    """``(k, component)`` of linked vertices, from ``(band, k, mark, m)``, the members of shared buckets and their numbers.
 
-    ``tested``: the first pairs ``(a, b)``, a < b, of members and their buckets' pivots. ``verify`` keeps the linked of
-    pairs; pairs whose marks aren't ``near`` can't be linked and are never emitted. ``keys (k, keys)``: a vertex's bands
-    by number. ``sharpen`` gives ``(k, marks)`` for vertices ``(k)``, and ``alike`` tests two marks for the last round.
+    ``verify`` keeps the linked of pairs ``(a, b)``, a < b; pairs whose marks aren't ``near`` can't be linked and are
+    never emitted. ``sharpen`` gives ``(k, marks)`` for vertices ``(k)``, and ``alike`` tests two marks in the last round.
     """
-    tested = cut(tested)
-    links = cut(verify(tested))
-    labels = components(links)
-    for turn in range(pivot_rounds + 1):
-        placed = members.select("band", "k", "mark").join(labels, "k", "left").select("band", "k", "mark", F.coalesce("component", "k").alias("component"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.xxhash64("k", F.lit(turn))).alias("chosen")).where("c0 < c1")
-        open_rows = cut(placed.join(mixed.select("band", "chosen"), "band"))
-        last = turn == pivot_rounds
-        if last:
-            vertices = open_rows.select("k").distinct()
-            marks = sharpen(vertices) if sharpen else vertices.withColumn("marks", F.lit(None).cast("array<long>"))
-            number = F.array_position("keys", F.col("band")) - 1
-            open_rows = cut(open_rows.join(keys.join(marks, "k"), "k").select(*open_rows.columns, "keys", "marks", number.alias("number")))
-        a, b = open_rows.alias("a"), open_rows.alias("b")
-        fits = near(F.col("a.mark"), F.col("b.mark"))
-        if last:
-            earlier = reduce(lambda x, y: x | y, [(F.col("a.number") > i) & (F.col("a.keys")[i] == F.col("b.keys")[i]) for i in range(n_bands)])
-            fits = (F.col("a.component") < F.col("b.component")) & fits & ~earlier
-            fits &= alike(F.col("a.marks"), F.col("b.marks")) if alike else F.lit(True)
+    spark = members.sparkSession
+    labels = spark.range(0).selectExpr("id as k", "id as component")
+    links = tested = spark.range(0).selectExpr("id as a", "id as b")
+    size = 0
+    many = members.where(F.col("m") > FEW)
+    for turn in range(-1, pivot_rounds + 1):
+        if turn < 0:
+            few = members.where(F.col("m") <= FEW)
+            a, b = few.alias("a"), few.alias("b")
+            pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.k") < F.col("b.k")) & near(F.col("a.mark"), F.col("b.mark"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
         else:
-            a = open_rows.where(F.xxhash64("k", F.lit(turn)) == F.col("chosen")).alias("a")
-            fits &= F.col("a.component") != F.col("b.component")
-        pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & fits).select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"))
+            placed = many.join(small(labels, size), "k", "left").select("band", "k", "mark", F.coalesce("component", "k").alias("component"))
+            pivot = F.min_by(F.struct("k", "mark", "component"), F.xxhash64("k", F.lit(turn))).alias("pivot")
+            mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), pivot).where("c0 < c1").select("band", "pivot")
+            open_rows = cut(placed.join(mixed, "band"))
+            if open_rows.isEmpty():
+                break
+            if turn < pivot_rounds:
+                found = open_rows.where((F.col("component") != F.col("pivot.component")) & near(F.col("mark"), F.col("pivot.mark")))
+                pairs = found.select(F.least("k", "pivot.k").alias("a"), F.greatest("k", "pivot.k").alias("b"))
+            else:
+                pairs = _all_pairs(open_rows.drop("pivot"), members, near, sharpen, alike)
         fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             continue
@@ -85,4 +87,19 @@ def settle(
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
+            size = labels.count()
     return labels
+
+
+def _all_pairs(rows: DataFrame, members: DataFrame, near, sharpen, alike) -> DataFrame:
+    """Pairs ``(a, b)`` of ``rows (band, k, mark, component)`` across components, each in the least of all its shared buckets."""
+    keys = members.groupBy("k").agg(F.collect_set("band").alias("keys"))
+    vertices = rows.select("k").distinct()
+    marks = sharpen(vertices) if sharpen else vertices.withColumn("marks", F.lit(0))
+    sharp = cut(rows.join(marks.join(keys, "k"), "k"))
+    a, b = sharp.alias("a"), sharp.alias("b")
+    fits = (F.col("a.component") < F.col("b.component")) & near(F.col("a.mark"), F.col("b.mark"))
+    if alike:
+        fits &= alike(F.col("a.marks"), F.col("b.marks"))
+    least = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.band")
+    return a.join(b, (F.col("a.band") == F.col("b.band")) & fits & least).select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"))

@@ -6,21 +6,22 @@ each in turn. A bin keeps the least (round, value), so every coordinate is fille
 are negatively associated, which gives the concentration of independent MinHash at the cost of
 few rounds for sets larger than t ln t.
 
-1. A map over whole texts gives each document its set's size, a 128-bit hash of the whole set and its bands.
-2. Documents with equal sets form a class and are linked; only its smallest id goes on, so thousands
+1. A map over whole texts gives each row its set's size, a 128-bit hash of the whole set, its bands and its text
+   compressed; this is written once with a number for each row, and rows, not ids, are what is linked.
+2. Rows with equal sets form a class and are linked; only one of them goes on, so thousands
    of copies cost a row each.
-3. Bands of class representatives: an aggregate finds buckets of two or more with their smallest and largest id.
-   Every member is paired with these two pivots, never all with all.
-4. Pairs are distinct, their texts join them compressed, and the full sets decide: 100 * |A & B| >= 80 * |A | B|.
+3. Bands of class representatives: an aggregate finds buckets of two or more.
+4. Every member is tested against a pivot of its bucket, never all with all: texts join the distinct pairs
+   compressed, and the full sets decide: 100 * |A & B| >= 80 * |A | B|.
 5. Components of the links; buckets whose members still lie in several components go on until
    each of their pairs is settled, by a test or by being connected (see ``linking``).
 
 With 40 bands of 6 a pair of similarity 0.8 misses all bands with probability 5e-6. The last round's pairs must
-also look alike by a sketch of 1024 coordinates, within 5 deviations of 0.8: probability 3e-7 to miss.
+also look alike by a sketch of 1024 bits, within 5 deviations of 0.8: probability 3e-7 to miss.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing; texts under
-four words are one shingle; null ids come last in the order and a component of them alone has a null id;
-rows that share an id are one vertex; an empty table gives no rows.
+four words (``shingle`` words) are one shingle; null ids come last in the order and a component of them alone has a null id;
+rows that share an id are rows of their own: each is linked by its own text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, column_bytes, cut, keep_ids, mix, texts, windows_hash
+from .common import WordHashes, column, column_bytes, cut, discard, keyed, known, losing, mix, small, windows_hash, without
 from .linking import settle
 
-SHINGLE, BANDS, ROWS = 4, 40, 6
-#: Coordinates of the estimate that the last round of pairs must pass.
+SHINGLE, BANDS, ROWS = 5, 40, 6
+#: Coordinates of the estimate that the last round of pairs must pass, a bit of each.
 FINE = 1024
-LAST = 2**63 - 1
 LOW48 = np.uint64((1 << 48) - 1)
 FULL = np.uint64(2**64 - 1)
 
@@ -69,27 +69,28 @@ def sketch(elements: np.ndarray, t: int) -> np.ndarray:
     return out
 
 
-def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+def shingles(words: list[bytes], hashes: WordHashes, shingle: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text's words."""
     if not words:
         return np.empty(0, np.uint64)
     h = hashes(words)
-    if len(h) < SHINGLE:
+    if len(h) < shingle:
         return windows_hash(h + np.uint64(len(h)), len(h))
-    return np.unique(windows_hash(h, SHINGLE))
+    return np.unique(windows_hash(h, shingle))
 
 
-def sketches(rows: DataFrame, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
-    """``(k, n, hi, lo, bands array<long>)`` from ``(k, text)``; no bands for empty sets."""
+def sketches(rows: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+    """``(k, tag, n, hi, lo, bands array<long>, z)`` from ``(k, tag, text)``; no bands and no text ``z`` for empty sets."""
 
     def run(batches):
         import xxhash
+        import zstandard
 
-        hashes, number = WordHashes(), np.arange(1, bands + 1, dtype=np.uint64)
+        hashes, number, pack = WordHashes(), np.arange(1, bands + 1, dtype=np.uint64), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text in column_bytes(batch, "text"):
-                found = shingles(text.lower().split(), hashes)
+                found = shingles(text.lower().split(), hashes, shingle)
                 both = xxhash.xxh3_128_digest(found.tobytes())
                 out[0].append(len(found))
                 out[1].append(int.from_bytes(both[:8], "little", signed=True))
@@ -102,25 +103,16 @@ def sketches(rows: DataFrame, bands: int = BANDS, band_rows: int = ROWS) -> Data
                     out[3].append(key.view(np.int64))
                 else:
                     out[3].append(np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([column(batch, "k"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], ["k", "n", "hi", "lo", "bands"])
-
-    return rows.mapInArrow(run, "k long, n long, hi long, lo long, bands array<long>")
-
+                out[4].append(pack.compress(text) if len(found) else None)
+            long = pa.int64()
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "k"), column(batch, "tag"), pa.array(out[0], long), pa.array(out[1], long), pa.array(out[2], long), pa.array(out[3], pa.list_(long)), pa.array(out[4], pa.binary())], ["k", "tag", "n", "hi", "lo", "bands", "z"]
+            )
 
-def compressed(rows: DataFrame) -> DataFrame:
-    """``(k, z)``: texts as zstd frames."""
+    return rows.mapInArrow(run, "k long, tag long, n long, hi long, lo long, bands array<long>, z binary")
 
-    def run(batches):
-        import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([column(batch, "k"), pa.array([pack.compress(t) for t in column_bytes(batch, "text")], pa.binary())], ["k", "z"])
-
-    return rows.mapInArrow(run, "k long, z binary")
-
-
-def verify(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, stored: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """Of ``(a, b)`` those whose full sets have ``percent`` or more of their union in common."""
     a, b = stored.select(F.col("k").alias("a"), F.col("z").alias("za")), stored.select(F.col("k").alias("b"), F.col("z").alias("zb"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "za", "zb")
@@ -135,7 +127,7 @@ def verify(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
             if z not in held:
                 if len(held) > 256:
                     held.clear()
-                held[z] = shingles(unpack.decompress(z).lower().split(), hashes)
+                held[z] = shingles(unpack.decompress(z).lower().split(), hashes, shingle)
             return held[z]
 
         for batch in batches:
@@ -152,58 +144,53 @@ def verify(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def finer(stored: DataFrame) -> DataFrame:
-    """``(k, marks)`` from ``(k, z)``: sketches of ``FINE`` coordinates, 4 bits of each, as longs."""
+def finer(stored: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``(k, marks)`` from ``(k, z)``: sketches of ``FINE`` coordinates, the last bit of each, as longs."""
 
     def run(batches):
         import zstandard
 
         unpack, hashes = zstandard.ZstdDecompressor(), WordHashes()
         for batch in batches:
-            marks = []
-            for z in column(batch, "z").to_pylist():
-                low = (mix(sketch(shingles(unpack.decompress(z).lower().split(), hashes), FINE)) & np.uint64(15)).astype(np.uint8)
-                marks.append((low[::2] | low[1::2] << 4).view(np.int64))
+            marks = [np.packbits(mix(sketch(shingles(unpack.decompress(z).lower().split(), hashes, shingle), FINE)).astype(np.uint8) & 1).view(np.int64) for z in column(batch, "z").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "k"), pa.array(marks, pa.list_(pa.int64()))], ["k", "marks"])
 
     return stored.select("k", "z").mapInArrow(run, "k long, marks array<long>")
 
 
 def clearly_alike(a: Column, b: Column, percent: int) -> Column:
-    """Whether equal coordinates are within 5 deviations of what ``percent`` gives, or more."""
-    share = percent / 100 + (1 - percent / 100) / 16
+    """Whether equal bits are within 5 deviations of what ``percent`` gives, or more."""
+    share = (1 + percent / 100) / 2
     least = math.floor(FINE * share - 5 * math.sqrt(FINE * share * (1 - share)))
-    apart = F.lit(0)
-    for i in range(FINE // 16):
-        x = a[i].bitwiseXOR(b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        apart = apart + F.bit_count(x)
-    return FINE - apart >= least
+    return FINE - sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(FINE // 64)), F.lit(0)) >= least
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, bands: int, band_rows: int) -> DataFrame:
+    """``(k, tag, n, component, c)``: for every row its set's size, its component and the smallest ``k`` of that; null for empty sets."""
+    rows = docs.select(*keyed(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sets = cut(sketches(rows, shingle, bands, band_rows).withColumn("row", F.monotonically_increasing_id()))
+    classes = cut(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("row").alias("rep"), F.min("k").alias("first")))
+    chosen = sets.select(F.col("row").alias("k"), "n", "bands").join(classes.select(F.col("rep").alias("k")), "k", "left_semi")
+    banded = cut(chosen.select(F.explode("bands").alias("band"), "k", F.col("n").alias("mark")))
+    members = cut(banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "band"))
+    discard(banded)
+    stored = cut(sets.select(F.col("row").alias("k"), "z").join(members.select("k").distinct(), "k", "left_semi"))
+    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    labels = settle(members, lambda pairs: verify(pairs, stored, percent, shingle), fits, lambda vertices: finer(stored.join(vertices, "k"), shingle), lambda x, y: clearly_alike(x, y, percent))
+    named = classes.join(labels.withColumnRenamed("k", "rep"), "rep", "left").select("hi", "lo", "first", F.coalesce("component", "rep").alias("component"))
+    least = cut(named.groupBy("component").agg(F.min("first").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("component", "c"))
+    # written first, so that the join back to all rows is of two plain inputs, which AQE can split at a class of many copies
+    of_class = cut(named.join(small(least, least.count()), "component", "left").select("hi", "lo", "component", F.coalesce("c", "first").alias("c")))
+    return sets.select("k", "tag", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left").select("k", "tag", "n", "component", "c")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+    """``(id, n_shingles, component_id, kept)`` for every row; ids are whole numbers."""
+    placed = _linked(docs, id_col, text_col, percent, shingle, bands, band_rows).withColumn("c", F.coalesce("c", "k"))
+    return placed.select(known("k").alias("id"), F.col("n").alias("n_shingles"), known("c").alias("component_id"), (F.col("k") == F.col("c")).alias("kept"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` for every row; ids are whole numbers."""
-    rows = texts(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("k"), "text")
-    sets = cut(sketches(rows, bands, band_rows))
-    classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("k").alias("rep"))
-    chosen = sets.select("k", "n", "bands").join(classes.select(F.col("rep").alias("k")), "k", "left_semi")
-    banded = chosen.select(F.explode("bands").alias("band"), "k", F.col("n").alias("mark"))
-    shared = banded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi")
-    members = cut(banded.join(shared, "band"))
-    stored = cut(compressed(rows.join(members.select("k").distinct(), "k", "left_semi")).dropDuplicates(["k"]))
-    pivots = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("k").alias("b")), F.struct(F.col("k").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
-    labels = settle(
-        members, pivots.where("a < b").distinct(), lambda pairs: verify(pairs, stored, percent), lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y),
-        sets.select("k", F.col("bands").alias("keys")).dropDuplicates(["k"]), bands, lambda vertices: finer(stored.join(vertices, "k")), lambda x, y: clearly_alike(x, y, percent),
-    )
-    # written first, so that the join back to all documents is of two plain inputs, which AQE can split at a class of many copies
-    of_class = cut(classes.join(labels.withColumnRenamed("k", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component")))
-    placed = sets.select("k", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left").select("k", "n", F.coalesce("component", "k").alias("c"))
-    null_last = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return placed.select(null_last("k").alias("id"), F.col("n").alias("n_shingles"), null_last("c").alias("component_id"), (F.col("k") == F.col("c")).alias("kept"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id; same columns. Ids must be unique."""
-    return keep_ids(docs, near_groups(docs, id_col, text_col).where("kept"), id_col)
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; same columns. Texts without words all stay."""
+    placed = _linked(docs, id_col, text_col, percent, shingle, bands, band_rows)
+    return without(docs, losing(placed.where("n > 0"), ["component"]), id_col, text_col)

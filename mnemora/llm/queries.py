@@ -45,7 +45,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document the component of its near copies."""
-    return near_dedup.near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=4).withColumnRenamed("id", "doc_id")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

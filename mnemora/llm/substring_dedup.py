@@ -168,9 +168,7 @@ def _first_pass(joined: DataFrame) -> DataFrame:
                 _mark(delta, found.start[found.again], found.count[found.again])
                 _mark(delta, *_listed(batch, "paths", part, tags, words, found))
                 start, count = _listed(batch, "points", part, tags, words, found)
-                order = np.argsort(start)
-                start, count = start[order], count[order]
-                windows = np.repeat(start - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+                windows = np.unique(np.repeat(start - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()))  # rows of one id and text list each twice
                 segment = np.searchsorted(found.start, windows, "right") - 1
                 text, anchor, w = found.text[segment], found.anchor[segment], found.window[windows]
                 _, one = np.unique(mix(w + anchor * _C1) + text.astype(np.uint64) * _C2, return_index=True)
@@ -224,17 +222,18 @@ def _second_pass(joined: DataFrame) -> DataFrame:
 
 
 def compressed(rows: DataFrame) -> DataFrame:
-    """``(k, id, z)``: texts as zstd frames, a third of their size in a shuffle."""
+    """``(k, tag, id, z)``: texts as zstd frames, a third of their size in a shuffle."""
 
     def run(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            z = [pack.compress(t) for t in column_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([column(batch, "k"), column(batch, "id"), pa.array(z, pa.binary())], ["k", "id", "z"])
+            texts = column_bytes(batch, "text")
+            z, tags = [pack.compress(t) for t in texts], [_tag(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([column(batch, "k"), pa.array(tags, pa.int32()), column(batch, "id"), pa.array(z, pa.binary())], ["k", "tag", "id", "z"])
 
-    return rows.mapInArrow(run, _schema("k long", rows, "z binary"))
+    return rows.mapInArrow(run, _schema("k long, tag int", rows, "z binary"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,8 +260,8 @@ def _resolved(rows: DataFrame) -> DataFrame:
     )
     hits = found.select("anchor", "k", "at", "n").join(anchors, "anchor").where(F.col("branching") | (F.col("k") > F.col("first")))
     pair = F.struct("at", "n")
-    lists = hits.groupBy("k").agg(F.collect_list(F.when(~F.col("branching"), pair)).alias("paths"), F.collect_list(F.when(F.col("branching"), pair)).alias("points"))
-    read = cut(_first_pass(compressed(rows).join(lists, "k", "left").select("k", "id", "z", "paths", "points")))
+    lists = hits.groupBy("k", F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag")).agg(F.collect_list(F.when(~F.col("branching"), pair)).alias("paths"), F.collect_list(F.when(F.col("branching"), pair)).alias("points"))
+    read = cut(_first_pass(compressed(rows).join(lists, ["k", "tag"], "left").select("k", "id", "z", "paths", "points")))
     windows = read.select("k", "tag", F.explode("open").alias("o")).select("o.a", "o.w", "k", "tag", "o.start")
     firsts = windows.groupBy("a", "w").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("last > first").select("a", "w", "first")
     later = windows.join(firsts, ["a", "w"]).where("k > first").groupBy("k", "tag").agg(F.collect_list("start").alias("starts"))
