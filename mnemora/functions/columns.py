@@ -51,16 +51,17 @@ def uuid5(namespace: str, name: Column) -> Column:
 
 
 def period_key(ms: Column, period: str) -> Column:
-    """Calendar bucket of epoch milliseconds in UTC: ``month``, ``day``, ``year`` or ``all``; right for times before 1970."""
+    """Calendar bucket of epoch milliseconds in UTC, in any session's zone: ``month``, ``day``, ``year`` or ``all``; right for times before 1970."""
     if period == "all":
         return F.lit("all")
-    form = {"month": "yyyy-MM", "day": "yyyy-MM-dd", "year": "yyyy"}[period]
-    return F.date_format(F.timestamp_seconds(F.floor(ms / 1000)), form)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))
+    return F.date_format(day, {"month": "yyyy-MM", "day": "yyyy-MM-dd", "year": "yyyy"}[period])
 
 
 def epoch_ms(ts: Column) -> Column:
-    """Milliseconds since 1970 of a timestamp without zone, read as UTC."""
-    return F.unix_millis(ts.cast("timestamp"))
+    """Milliseconds since 1970 of a timestamp without zone, read as UTC in any session's zone."""
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
 
 
 def human_bytes(n: Column) -> Column:
@@ -111,3 +112,36 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays of numbers, in double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def canonical_json(payload: Column) -> Column:
+    """A JSON text with the keys of every object in order and no white space; null where it can't be read."""
+    return F.to_json(F.try_parse_json(payload))
+
+
+def percent_encode(text: Column) -> Column:
+    """Text as a part of a URL: all but letters, digits and ``-_.~`` as percent escapes of UTF-8."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def autolink(text: Column) -> Column:
+    """Web addresses in escaped text as links."""
+    return F.regexp_replace(text, r"(https?://[^\s<>\"]*[^\s<>\".,;:!?)])", '<a href="$1">$1</a>')
+
+
+def yaml_safe(text: Column) -> Column:
+    """A YAML scalar: in double quotes where it isn't plain."""
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+    return F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9 _./-]*$") & ~F.lower(text).isin("null", "true", "false", "yes", "no", "on", "off") & ~text.endswith(" "), text).otherwise(quoted)
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(n, 0)
+
+
+def id_token(value: Column) -> Column:
+    """An id from a link that ends with it: the last part of its path without query and dashes; other values trimmed."""
+    tail = F.regexp_extract(value, r"^https?://[^?#]*/([^/?#]+)/?(?:[?#].*)?$", 1)
+    hexes = F.regexp_extract(F.replace(tail, F.lit("-"), F.lit("")), r"([0-9a-fA-F]{32})$", 1)
+    return F.when(hexes != "", F.lower(hexes)).when(tail != "", tail).otherwise(F.trim(value))

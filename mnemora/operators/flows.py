@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemora.durable import cut
 from mnemora.functions.columns import period_key, uuid5
 from mnemora.operators.grid import ordered_text
 
@@ -80,25 +81,170 @@ def children(blocks: DataFrame, key: str, payload: str) -> DataFrame:
     return blocks.select(key, F.explode(F.from_json(F.get_json_object(payload, "$.content"), "array<string>")).alias("child"))
 
 
-def owners(blocks: DataFrame, key: str = "id", parent: str = "parent_id", is_page: str = "is_page", most_steps: int = 7) -> DataFrame:
-    """``(id, owner)``: the nearest ancestor that is a page, by pointer doubling: 2**``most_steps`` levels, cycles end without owner."""
-    step = blocks.select(F.col(key).alias("id"), F.when(F.col(is_page), F.col(key)).alias("owner"), F.when(~F.col(is_page), F.col(parent)).alias("up"))
-    for _ in range(most_steps):
+def owners(blocks: DataFrame, key: str = "id", parent: str = "parent_id", is_page: str = "is_page") -> DataFrame:
+    """``(id, owner)``: the nearest ancestor that is a page, itself included; on a cycle or without one null.
+
+    Pointers double each round, so a chain of n levels takes log2 n joins; it ends when no row is open or none moves on.
+    """
+    step = cut(blocks.select(F.col(key).alias("id"), F.when(F.col(is_page), F.col(key)).alias("owner"), F.when(~F.coalesce(F.col(is_page), F.lit(False)), F.col(parent)).alias("up")))
+    open_rows = step.where("owner is null and up is not null").count()
+    while open_rows:
         above = step.select(F.col("id").alias("up"), F.col("owner").alias("__o"), F.col("up").alias("__u"))
-        step = step.join(above, "up", "left").select("id", F.coalesce("owner", "__o").alias("owner"), F.when(F.col("owner").isNull() & F.col("__o").isNull(), F.col("__u")).alias("up"))
+        ended = F.col("owner").isNull() & F.col("__o").isNull()
+        step = cut(step.join(above, "up", "left").select("id", F.coalesce("owner", "__o").alias("owner"), F.when(ended, F.col("__u")).alias("up")))
+        left = step.where("owner is null and up is not null").count()
+        if left == open_rows:
+            break  # what is left goes round in circles
+        open_rows = left
     return step.select("id", "owner")
 
 
+#: How the lines begin and end that attribute a quotation.
+ATTRIBUTIONS = (("On ", "wrote:"), ("Le ", "a écrit :"), ("> On ", "wrote:"))
+ORIGINAL = "-----Original Message-----"
+
+
 def split_quoted(body: Column) -> Column:
     """A mail's own text: up to an attribution line, or up to a run of two or more quoted lines at its end; all of it where nothing is its own."""
-    trimmed = lambda x: F.trim(x)
     lines = F.split(body, "\n")
-    attribution = lambda x: (trimmed(x).startswith("On ") & trimmed(x).endswith("wrote:")) | (trimmed(x).startswith("Le ") & trimmed(x).endswith("a écrit :")) | x.contains("-----Original Message-----") | (trimmed(x).startswith("> On ") & trimmed(x).endswith("wrote:"))
-    at = F.array_position(F.transform(lines, lambda x: attribution(x)), F.lit(True)).cast("int")
+
+    def attributes(line: Column) -> Column:
+        stated = line.contains(ORIGINAL)
+        for begin, end in ATTRIBUTIONS:
+            stated |= F.trim(line).startswith(begin) & F.trim(line).endswith(end)
+        return stated
+
+    at = F.array_position(F.transform(lines, attributes), F.lit(True)).cast("int")
     quoted = F.regexp_extract(body, r"(?s)(?:^|\n)((?:[ \t]*>[^\n]*(?:\n[ \t]*)*)+)$", 1)
-    run = F.size(F.filter(F.split(quoted, "\n"), lambda x: trimmed(x) != ""))
-    own = F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), at - 1), "\n")).when((quoted != "") & (run >= 2), F.regexp_replace(F.substring(body, F.lit(1), F.length(body) - F.length(quoted)), r"\n\z", "")).otherwise(body)
-    return F.when(trimmed(F.regexp_replace(own, r"\s+", "")) == "", body).otherwise(own)
+    run = F.size(F.filter(F.split(quoted, "\n"), lambda x: F.trim(x) != ""))
+    before = F.regexp_replace(F.substring(body, F.lit(1), F.length(body) - F.length(quoted)), r"\n\z", "")
+    own = F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), at - 1), "\n")).when((quoted != "") & (run >= 2), before).otherwise(body)
+    return F.when(F.regexp_replace(own, r"\s+", "") == "", body).otherwise(own)
+
+
+#: What opens, parts and closes a marked region of an assistant's text.
+REGION_OPENS, REGION_PARTS, REGION_CLOSES = "\ue200", "\ue202", "\ue201"
+
+
+def clean_regions(text: Column) -> Column:
+    """Marked regions of the form (url, label, address) as links, other regions left out; an opener without an end alone goes."""
+    o, p, c = REGION_OPENS, REGION_PARTS, REGION_CLOSES
+    links = F.regexp_replace(text, f"{o}url{p}([^{p}{c}]*){p}([^{p}{c}]*){c}", "[$1]($2)")
+    return F.replace(F.regexp_replace(links, f"(?s){o}[^{c}]*{c}", ""), F.lit(o), F.lit(""))
+
+
+def content_text(content: Column) -> Column:
+    """The text of a JSON content by its type: parts of a text, code, output, thoughts, recap, context; other types are empty."""
+    kind = F.get_json_object(content, "$.content_type")
+    field = lambda name: F.coalesce(F.get_json_object(content, f"$.{name}"), F.lit(""))
+    parts = F.from_json(F.get_json_object(content, "$.parts"), "array<variant>")
+    part = lambda v: F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string")), F.try_variant_get(v, "$.text", "string"))
+    thoughts = F.from_json(F.get_json_object(content, "$.thoughts"), "array<struct<summary:string,content:string>>")
+    said = F.filter(F.flatten(F.transform(thoughts, lambda t: F.array(t["summary"], t["content"]))), lambda x: x.isNotNull())
+    text = (
+        F.when(kind == "text", clean_regions(F.array_join(F.filter(F.transform(parts, part), lambda x: x.isNotNull()), "\n")))
+        .when(kind.isin("code", "execution_output"), field("text"))
+        .when(kind == "thoughts", clean_regions(F.array_join(said, "\n\n")))
+        .when(kind == "reasoning_recap", clean_regions(field("content")))
+        .when(kind == "model_editable_context", clean_regions(field("model_set_context")))
+    )
+    return F.coalesce(text, F.lit(""))
+
+
+#: A few names of emoji as chat programs write them between colons.
+EMOJI = {"thumbsup": "👍", "+1": "👍", "thumbsdown": "👎", "heart": "❤️", "smile": "😄", "joy": "😂", "tada": "🎉", "eyes": "👀", "fire": "🔥", "rocket": "🚀", "pray": "🙏", "white_check_mark": "✅", "wave": "👋", "100": "💯"}
+
+
+def to_markdown(text: Column, names: Column | None = None, emoji: dict[str, str] | None = None) -> Column:
+    """A chat program's markup as Markdown: mentions, channels, groups, links, bold, strike, entities, quotes, emoji.
+
+    ``names``: a map from the ids of users to their names; an id it lacks stands for itself. A line after a quoted one is parted from it by an empty line.
+    """
+    shown = emoji or EMOJI
+    out = F.regexp_replace(text, r"<@[UW][A-Z0-9_]+\|([^>]+)>", "@$1")
+    if names is not None:  # text and mentions in turn: each mention's id is looked up
+        ids = F.regexp_extract_all(out, F.lit(r"<@([UW][A-Z0-9_]+)>"), F.lit(1))
+        between = F.split(out, r"<@[UW][A-Z0-9_]+>")
+        named = F.transform(ids, lambda i: F.concat(F.lit("@"), F.coalesce(F.element_at(names, i), i)))
+        out = F.when(F.size(ids) > 0, F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(named, i), F.lit("")))), "")).otherwise(out)
+    steps = (
+        (r"<@([UW][A-Z0-9_]+)>", "@$1"), (r"<#[CG][A-Z0-9_]+\|([^>]+)>", "#$1"), (r"<#([CG][A-Z0-9_]+)>", "#$1"), (r"<!subteam\^[A-Z0-9_]+\|([^>]+)>", "@$1"), (r"<!subteam\^[A-Z0-9_]+>", "@group"),
+        (r"<!(here|channel|everyone)(?:\|[^>]+)?>", "@$1"), (r"<((?:https?|mailto):[^|>\s]+)\|(?:\1)?>", "<$1>"), (r"<((?:https?|mailto):[^|>\s]+)\|([^>]+)>", "[$2]($1)"),
+        (r"(^|[^\w*])\*([^\s*][^*\n]*?[^\s*]|[^\s*])\*(?=[^\w*]|$)", "$1**$2**"), (r"(^|[^\w~])~([^\s~][^~\n]*?[^\s~]|[^\s~])~(?=[^\w~]|$)", "$1~~$2~~"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
+        (r"(?m)^(>[^\n]*)\n(?=[^>\n])", "$1\n\n"),
+    )
+    for pattern, by in steps:
+        out = F.regexp_replace(out, pattern, by)
+    for name, sign in shown.items():
+        out = F.replace(out, F.lit(f":{name}:"), F.lit(sign))
+    return out
+
+
+def sentences(text: Column, terminators: str = ".!?") -> Column:
+    """The sentences of a text as ``array<struct<text,start,length>>``, in characters from 0.
+
+    One ends after a terminator that white space and a capital follow (Latin and Greek ones; all of the extended Greek letters count).
+    """
+    marks = "".join("\\" + c for c in terminators)
+    parts = F.split(text, rf"(?<=[{marks}])(?=\s+[A-Z\u0391-\u03A9\u1F00-\u1FFD])")
+    placed = F.aggregate(
+        parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,length:int>>").alias("found")),
+        lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["found"], F.array(F.struct(F.regexp_replace(x, r"^\s+|\s+$", "").alias("text"), (s["at"] + F.length(F.regexp_extract(x, r"^\s*", 0))).alias("start"), F.length(F.regexp_replace(x, r"^\s+|\s+$", "")).alias("length")))).alias("found")),
+        lambda s: s["found"],
+    )
+    return F.filter(placed, lambda x: x["length"] > 0)
+
+
+def mail_threads(mails: DataFrame, labels: str = "labels") -> DataFrame:
+    """``(account, thread_id, n, subject, first_at, last_at, ids, labels)`` from mails ``(account, thread_id, id, received_at, subject, labels)``.
+
+    Mails are in the order of (received_at, id); the subject is the first's; labels are distinct and in order.
+    """
+    order = F.struct("received_at", "id")
+    return mails.groupBy("account", "thread_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("subject", order).alias("subject"), F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"),
+        ordered_text(F.col("id").cast("string"), order, delimiter=",").alias("ids"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list(labels)))), ",").alias("labels"),
+    )
+
+
+def chat_threads(messages: DataFrame) -> DataFrame:
+    """Messages ``(channel, ts, thread_ts, uuid)`` with their thread's root time, its uuid where it is there, and their place, by (time, uuid)."""
+    root = F.coalesce("thread_ts", "ts").alias("root_ts")
+    placed = messages.select("*", root)
+    own = Window.partitionBy("channel", "root_ts").orderBy("ts", "uuid")
+    whole = Window.partitionBy("channel", "root_ts")
+    return placed.withColumn("place", F.row_number().over(own) - 1).withColumn("root_uuid", F.min(F.when(F.col("ts") == F.col("root_ts"), F.col("uuid"))).over(whole))
+
+
+def phone_log(texts: DataFrame, calls: DataFrame) -> DataFrame:
+    """Texts ``(number, at_ms, outgoing, body, name)`` and calls ``(number, at_ms, outgoing, seconds, name)`` as items of one chat for each number.
+
+    A call's text states its direction and its length as h:mm:ss. The chat's name is the first that isn't a number, else the first at all, else the number; items have their month.
+    """
+    s = F.col("seconds")
+    length = F.concat_ws(":", F.floor(s / 3600).cast("string"), F.lpad(F.floor(s % 3600 / 60).cast("string"), 2, "0"), F.lpad((s % 60).cast("string"), 2, "0"))
+    spoken = calls.select("number", "at_ms", "outgoing", F.concat(F.when(F.col("outgoing"), "Outgoing").otherwise("Incoming"), F.lit(" call "), length).alias("text"), "name", F.lit("call").alias("kind"))
+    both = texts.select("number", "at_ms", "outgoing", F.col("body").alias("text"), "name", F.lit("text").alias("kind")).unionByName(spoken)
+    named = both.groupBy("number").agg(display_name(F.col("name"), F.struct("at_ms", "kind", "text")).alias("display"))
+    return both.drop("name").join(named, "number", "left").withColumn("display", F.coalesce("display", F.col("number"))).withColumn("period", period_key(F.col("at_ms"), "month"))
+
+
+def review_timeline(reviews: DataFrame, general: DataFrame, inline: DataFrame) -> DataFrame:
+    """A request's notes in their order: reviews and general comments by time, then inline ones by (path, line) of the thread they are in, then time.
+
+    ``reviews`` and ``general``: ``(request, id, at, author, body)``; ``inline`` also ``path``, ``line`` and ``reply_to``: a reply takes its parent's place.
+    """
+    placed = thread_anchor(inline.withColumn("thread", F.coalesce("reply_to", "id")).withColumnRenamed("reply_to", "parent"), "id", "parent", ["path", "line"])
+    head = lambda d, n: d.select("request", "id", "at", "author", "body", F.lit(n).alias("section"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("line"), F.col("id").alias("thread"))
+    both = head(reviews, 0).unionByName(head(general, 1)).unionByName(placed.select("request", "id", "at", "author", "body", F.lit(2).alias("section"), "path", F.col("line").cast("long").alias("line"), "thread"))
+    order = [F.col("section"), F.col("path").asc_nulls_first(), F.col("line").asc_nulls_first(), F.when(F.col("section") == 2, F.col("thread")).asc_nulls_first(), F.col("at"), F.col("id")]
+    return both.withColumn("place", (F.row_number().over(Window.partitionBy("request").orderBy(*order)) - 1).cast("long"))
+
+
+def contact_text(display: Column, key: Column, fields: Column) -> Column:
+    """A contact's search text: its name (its id where it has none), then the value of every field on a line of its own."""
+    title = F.coalesce(F.nullif(F.trim(display), F.lit("")), key)
+    return F.concat_ws("\n", title, F.transform(fields, lambda f: f["value"]))
 
 
 def sentence_edges(groups: DataFrame, key: str, left: str, right: str) -> DataFrame:

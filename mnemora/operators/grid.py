@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemora.schema import CHAT_KINDS, conform
+from mnemora.operators.payloads import item_text
+from mnemora.schema import CHAT_KINDS, GRID_ROWS, conform
 
 #: Message kinds by role.
 ROLE_KINDS = {"user": "User Input", "assistant": "LLM Response", "system": "System Prompt", "tool": "Tool Result"}
@@ -73,9 +74,16 @@ def canonical(rows: DataFrame) -> DataFrame:
     return rows.where("markdown_uuid is not null").withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n")
 
 
+#: Columns of a row whose change makes its document another.
+CONTENT = [f.name for f in GRID_ROWS if f.name not in ("when_ts", "markdown_uuid")]
+
+
 def markdowns(rows: DataFrame) -> DataFrame:
-    """A row for each document: rows, first and last time, and a hash of its rows in (time, uuid) order."""
-    cell = F.concat_ws("\x1f", F.coalesce(F.date_format("when_ts_utc", "yyyy-MM-dd HH:mm:ss"), F.lit("")), "uuid", "kind", "text")
+    """A row for each document: rows, first and last time, and a hash of its rows in (time, uuid) order.
+
+    All content columns take part, times to the microsecond, nulls apart from empty values; each row goes in as its own hash.
+    """
+    cell = F.sha2(item_text(*[F.col(c) for c in CONTENT]), 256)
     item = F.struct(F.col("when_ts_utc").alias("w"), F.col("uuid").alias("u"), cell.alias("c"))
     return rows.where("markdown_uuid is not null").groupBy("markdown_uuid").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("when_ts_utc").alias("first_ts"), F.max("when_ts_utc").alias("last_ts"),

@@ -9,10 +9,11 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
+from pyspark.errors import AnalysisException, PySparkRuntimeError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.functions.columns import first_chars, snippet
+from mnemora.functions.columns import snippet
 from mnemora.schema import CHAT_KINDS
 
 #: Fields of a search and the columns they compare.
@@ -101,12 +102,48 @@ def ranked(rows: DataFrame, hits: DataFrame, q: Filters, limit: int = DEFAULT_LI
     return matching(rows.join(best, "uuid"), Filters(**{**q.__dict__, "text": "", "rows": q.rows or "message"})).orderBy("rank", "uuid").limit(min(limit, MOST_ROWS))
 
 
+#: Columns of a result as they are shown: name, title, whether it is shown unless asked for.
+MANIFEST = (
+    ("score", "Score", True), ("source", "Source", True), ("kind", "Type", True), ("when", "Time", True), ("snippet", "Contents", True), ("author", "Author", True),
+    ("account", "Account", True), ("org_name", "Org", False), ("conversation_name", "Conversation Name", False), ("project", "Project", False), ("entire_chat", "Entire Chat", False),
+)
+
+
+def default_order(rows: DataFrame) -> DataFrame:
+    """Scored results best first, others oldest first, as whether any row has a score decides."""
+    scored = "score" in rows.columns and not rows.where("score is not null").isEmpty()
+    return rows.orderBy(F.col("score").desc_nulls_last(), "uuid") if scored else rows.orderBy(F.col("when_ts_utc").asc_nulls_first(), "uuid")
+
+
+def hit_limit(limit: int) -> int:
+    """How many hits a search for ``limit`` rows asks an index for: twice as many, 50 to 1000."""
+    return min(max(2 * limit, 50), 1000)
+
+
+def channels_to_read(channels: DataFrame) -> DataFrame:
+    """Channels that the account is a member of and that aren't archived; one of which that isn't known counts as not archived."""
+    return channels.where(F.col("is_member") & ~F.coalesce(F.col("is_archived"), F.lit(False)))
+
+
+def routed(rows: DataFrame, q: Filters, retrieve=None, limit: int = DEFAULT_LIMIT) -> tuple[DataFrame, str | None]:
+    """The rows of a search and what went wrong with retrieval, if anything.
+
+    Without free text the filters decide alone. With it ``retrieve(text, hits)`` gives ranked hits; where there is none or it fails,
+    the text is looked for as it is.
+    """
+    if not q.text:
+        return search(rows, q, limit), None
+    if retrieve is None:
+        return search(rows, q, limit), "no index"
+    try:
+        return ranked(rows, retrieve(q.text, hit_limit(limit)), q, limit), None
+    except (AnalysisException, PySparkRuntimeError, OSError, ValueError) as error:
+        return search(rows, q, limit), str(error)
+
+
 def document(rows: DataFrame, edges: DataFrame, markdowns: DataFrame, markdown_uuid: str) -> tuple[DataFrame, DataFrame]:
     """A document's header row (chat kinds first) and its outgoing links, dangling ones with a null title."""
     own = rows.where(F.col("markdown_uuid") == markdown_uuid)
     header = own.orderBy(F.when(F.col("kind").isin(*CHAT_KINDS), 0).otherwise(1), F.col("when_ts_utc").asc_nulls_last(), "uuid").limit(1)
     out = edges.where(F.col("src") == markdown_uuid).join(markdowns.select(F.col("markdown_uuid").alias("dst"), "title"), "dst", "left")
     return header, out
-
-
-__all__ = ["Filters", "document", "first_chars", "grid_order", "kind_class", "matching", "predicates", "ranked", "search", "time_bound", "uuid_value"]

@@ -25,20 +25,26 @@ def to_si(readings: DataFrame) -> DataFrame:
     return joined.withColumn("value", known).drop("factor", "shift")
 
 
-def upper_median(values: Column) -> Column:
-    """Aggregate: element n/2 of the sorted values."""
-    sorted_ = F.sort_array(F.collect_list(values))
-    return F.get(sorted_, F.floor(F.size(sorted_) / 2).cast("int"))
+def upper_medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``(keys, name)``: element n/2, from 0, of a group's n sorted values that aren't null.
+
+    Equal values are counted before they meet, so what a group sorts is its distinct values.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    own = Window.partitionBy(*keys)
+    placed = counted.select("*", F.sum("__n").over(own.orderBy("__v")).alias("__upto"), F.sum("__n").over(own).alias("__all"))
+    return placed.where(F.col("__upto") > F.floor(F.col("__all") / 2)).groupBy(*keys).agg(F.min("__v").alias(name))
 
 
 def summary(readings: DataFrame, keys: list[str], at: str = "ts_ms", value: str = "value") -> DataFrame:
     """Count, minimum, maximum, mean, last value, first and last time and median gap of each series."""
     own = Window.partitionBy(*keys).orderBy(at)
     gaps = readings.withColumn("__gap", F.col(at) - F.lag(at).over(own))
-    return gaps.groupBy(*keys).agg(
+    summed = gaps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.max_by(value, at).alias("last"),
-        F.min(at).alias("first_ts"), F.max(at).alias("last_ts"), upper_median(F.col("__gap")).alias("median_gap"),
+        F.min(at).alias("first_ts"), F.max(at).alias("last_ts"),
     )
+    return summed.join(upper_medians(gaps, keys, "__gap", "median_gap"), keys, "left")
 
 
 def series(readings: DataFrame, keys: list[str], at: str = "ts_ms", value: str = "value") -> DataFrame:

@@ -147,3 +147,9 @@ def last_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
     """The row that is first in ``order`` for each key."""
     own = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n")
+
+
+def flushed(fetched: DataFrame, failed: DataFrame, keys: list[str], content_hash: str = "hash") -> DataFrame:
+    """A link to a content for each key; where the fetch failed ``failed (keys, error)`` it is null, with the error."""
+    joined = fetched.join(failed, keys, "left")
+    return joined.withColumn(content_hash, F.when(F.col("error").isNull(), F.col(content_hash))).select(*keys, content_hash, "error")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemora.functions import columns as C
@@ -38,21 +39,37 @@ def d_role_kind(t):
     return t.conversations.select("conv_id", "turn", grid.role_kind(F.col("role")).alias("kind"))
 
 
-@query("SELECT root, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS ids FROM (SELECT *, coalesce(CASE WHEN event_id % 4 <> 0 THEN event_id - event_id % 4 END, event_id) AS root FROM events) GROUP BY 1")
+@query(
+    "WITH m AS (SELECT 'c' || (user_id % 3) AS channel, event_id, CASE WHEN event_id % 4 <> 0 THEN event_id - event_id % 4 ELSE event_id END AS root FROM events) "
+    "SELECT event_id, channel, root AS root_ts, row_number() OVER (PARTITION BY channel, root ORDER BY event_id) - 1 AS place, min(CASE WHEN event_id = root THEN 'e' || event_id END) OVER (PARTITION BY channel, root) AS root_uuid FROM m"
+)
 def d_slack_threads(t):
-    root = F.coalesce(F.when(F.col("event_id") % 4 != 0, F.col("event_id") - F.col("event_id") % 4), F.col("event_id"))
-    return t.events.groupBy(root.alias("root")).agg(F.count(F.lit(1)).alias("n"), grid.ordered_text(F.col("event_id").cast("string"), F.struct("ts", "event_id"), delimiter=",").alias("ids"))
+    k = F.col("event_id")
+    messages = t.events.select("event_id", F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("channel"), k.alias("ts"), F.when(k % 4 != 0, k - k % 4).alias("thread_ts"), F.concat(F.lit("e"), k.cast("string")).alias("uuid"))
+    return flows.chat_threads(messages).select("event_id", "channel", "root_ts", F.col("place").cast("long").alias("place"), "root_uuid")
 
 
-@query("SELECT l_orderkey, count(*) AS n, min(l_shipdate) AS first_at, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS labels FROM lineitem GROUP BY 1")
+@query(
+    "WITH m AS (SELECT 'a' || (l_orderkey % 3) AS account, l_orderkey AS thread_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || floor(l_extendedprice)::BIGINT AS id, l_shipdate AS sent, CASE WHEN l_linenumber > 1 THEN 'Re: ' ELSE '' END || l_orderkey AS subject, l_returnflag, l_linestatus FROM lineitem), "
+    "lab AS (SELECT account, thread_id, string_agg(DISTINCT l, ',' ORDER BY l) AS labels FROM (SELECT account, thread_id, l_returnflag AS l FROM m UNION ALL SELECT account, thread_id, l_linestatus FROM m) GROUP BY 1, 2) "
+    "SELECT account, thread_id, count(*) AS n, arg_min(subject, (sent, id)) AS subject, min(sent) AS first_at, max(sent) AS last_at, string_agg(id, ',' ORDER BY sent, id) AS ids, any_value(labels) AS labels FROM m JOIN lab USING (account, thread_id) GROUP BY 1, 2"
+)
 def d_email_threads(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("l_shipdate").alias("first_at"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("labels"))
+    text = lambda c: F.col(c).cast("string")
+    mails = t.lineitem.select(
+        F.concat(F.lit("a"), (F.col("l_orderkey") % 3).cast("string")).alias("account"), F.col("l_orderkey").alias("thread_id"),
+        F.concat_ws("-", text("l_linenumber"), text("l_partkey"), text("l_suppkey"), F.floor("l_extendedprice").cast("string")).alias("id"), F.col("l_shipdate").alias("received_at"),
+        F.concat(F.when(F.col("l_linenumber") > 1, "Re: ").otherwise(""), text("l_orderkey")).alias("subject"), F.array("l_returnflag", "l_linestatus").alias("labels"),
+    )
+    return flows.mail_threads(mails)
 
 
-@query("SELECT doc_id, substr(text, 1, 40) AS own FROM documents")
+@query(
+    "SELECT doc_id, CASE WHEN trim(replace(replace(coalesce(text, ''), chr(10), ''), chr(9), '')) = '' THEN coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'On Monday someone wrote:' ELSE '' END || chr(10) || '> old' || chr(10) || '> words' ELSE text END AS own FROM documents"
+)
 def d_split_quoted(t):
-    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring("text", 1, 40), F.lit("\nOn Monday someone wrote:\n> old\n> words"))).otherwise(F.concat(F.substring("text", 1, 40), F.lit("\n> old\n> words")))
-    return t.documents.select("doc_id", flows.split_quoted(body).alias("own"))
+    tail = F.concat(F.when(F.col("doc_id") % 2 == 0, "\nOn Monday someone wrote:").otherwise(""), F.lit("\n> old\n> words"))
+    return t.documents.select("doc_id", flows.split_quoted(F.concat(F.coalesce("text", F.lit("")), tail)).alias("own"))
 
 
 @query("SELECT r_regionkey * 1000 AS id, r_name AS path FROM region UNION ALL SELECT n_nationkey, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -74,9 +91,21 @@ def d_notion_children(t):
     return flows.children(t.documents.select("doc_id", payload.alias("payload")), "doc_id", "payload")
 
 
-@query("SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_returnflag, l_linenumber, l_partkey, l_suppkey) AS shown FROM lineitem GROUP BY 1")
+@query(
+    """
+    WITH n AS (SELECT l_orderkey AS request, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_shipdate AS sent, l_returnflag, l_linestatus AS path, l_quantity::BIGINT AS line, l_linenumber FROM lineitem),
+    i AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN id - 1 END AS reply_to FROM n WHERE l_returnflag = 'R'),
+    p AS (SELECT i.request, i.id, i.sent, CASE WHEN u.id IS NULL THEN i.path ELSE u.path END AS path, CASE WHEN u.id IS NULL THEN i.line ELSE u.line END AS line, coalesce(i.reply_to, i.id) AS thread FROM i LEFT JOIN i u ON u.id = i.reply_to),
+    b AS (SELECT request, id, sent, 1 AS section, NULL AS path, NULL AS line, NULL AS thread FROM n WHERE l_returnflag = 'A' UNION ALL SELECT request, id, sent, 0, NULL, NULL, NULL FROM n WHERE l_returnflag = 'N' UNION ALL SELECT request, id, sent, 2, path, line, thread FROM p)
+    SELECT request, id, section, path, line, row_number() OVER (PARTITION BY request ORDER BY section, path NULLS FIRST, line NULLS FIRST, thread NULLS FIRST, sent, id) - 1 AS place FROM b
+    """
+)
 def d_github_pr(t):
-    return t.lineitem.groupBy("l_orderkey").agg(grid.ordered_text(F.col("l_linenumber").cast("string"), F.struct("l_returnflag", "l_linenumber", "l_partkey", "l_suppkey"), delimiter=",").alias("shown"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    numbered = t.lineitem.orderBy(*order).withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long"))  # the driver table has no key of its own
+    notes = numbered.select(F.col("l_orderkey").alias("request"), "id", F.col("l_shipdate").alias("at"), F.col("l_suppkey").alias("author"), F.lit("").alias("body"), "l_returnflag", F.col("l_linestatus").alias("path"), F.col("l_quantity").cast("long").alias("line"), F.when(F.col("l_linenumber") % 2 == 0, F.col("id") - 1).alias("reply_to"))
+    kind = lambda flag: notes.where(F.col("l_returnflag") == flag)
+    return flows.review_timeline(kind("N"), kind("A"), kind("R")).select("request", "id", "section", "path", "line", "place")
 
 
 @query("SELECT conv_id, k AS note_index FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), generate_series(0, 200) s(k) WHERE k < n")
@@ -96,10 +125,21 @@ def d_grid_rows_chat(t):
     return chat_grid(t).select("uuid", "kind", "when_ts_utc", "author", "conversation_uuid", "message_index", "entire_chat", "text", "markdown_uuid")
 
 
-@query("SELECT phone, strftime(ts, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (what = 'call') AS calls FROM (SELECT o_custkey AS phone, o_orderdate AS ts, 'text' AS what FROM orders UNION ALL SELECT l_suppkey, l_shipdate, 'call' FROM lineitem) GROUP BY 1, 2")
+@query(
+    """
+    WITH b AS (SELECT '+' || o_custkey AS number, epoch_us(o_orderdate) // 1000 AS at_ms, o_orderkey % 2 = 0 AS outgoing, o_orderpriority AS text, CASE WHEN o_orderkey % 3 = 0 THEN 'Name ' || o_custkey END AS name, 'text' AS kind FROM orders
+      UNION ALL SELECT '+' || l_suppkey, epoch_us(l_shipdate) // 1000, l_linenumber % 2 = 0, CASE WHEN l_linenumber % 2 = 0 THEN 'Outgoing' ELSE 'Incoming' END || ' call ' || (l_partkey // 3600) || ':' || lpad((l_partkey % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((l_partkey % 60)::VARCHAR, 2, '0'), '+' || l_suppkey, 'call' FROM lineitem),
+    d AS (SELECT number, coalesce(arg_min(name, (at_ms, kind, text)) FILTER (name <> '' AND NOT regexp_matches(name, '^[+0-9]')), arg_min(name, (at_ms, kind, text)) FILTER (name <> '')) AS display FROM b GROUP BY 1)
+    SELECT number, coalesce(display, number) AS display, strftime(make_timestamp(at_ms * 1000), '%Y-%m') AS period, count(*) AS n, count(*) FILTER (kind = 'call') AS calls, min(text) AS least FROM b JOIN d USING (number) GROUP BY 1, 2, 3
+    """
+)
 def d_sms_merge(t):
-    both = t.orders.select(F.col("o_custkey").alias("phone"), F.col("o_orderdate").alias("at"), F.lit("text").alias("what")).unionByName(t.lineitem.select(F.col("l_suppkey").alias("phone"), F.col("l_shipdate").alias("at"), F.lit("call").alias("what")))
-    return both.groupBy("phone", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("what") == "call", 1)).alias("calls"))
+    number = lambda c: F.concat(F.lit("+"), F.col(c).cast("string"))
+    k = F.col("o_orderkey")
+    texts = t.orders.select(number("o_custkey").alias("number"), C.epoch_ms(F.col("o_orderdate")).alias("at_ms"), (k % 2 == 0).alias("outgoing"), F.col("o_orderpriority").alias("body"), F.when(k % 3 == 0, F.concat(F.lit("Name "), F.col("o_custkey").cast("string"))).alias("name"))
+    calls = t.lineitem.select(number("l_suppkey").alias("number"), C.epoch_ms(F.col("l_shipdate")).alias("at_ms"), (F.col("l_linenumber") % 2 == 0).alias("outgoing"), F.col("l_partkey").alias("seconds"), number("l_suppkey").alias("name"))
+    log = flows.phone_log(texts, calls)
+    return log.groupBy("number", "display", "period").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kind") == "call", 1)).alias("calls"), F.min("text").alias("least"))
 
 
 @query("SELECT l_orderkey, CASE WHEN len(m) = 1 THEN m[1] ELSE 'group-' || substr(sha256(array_to_string(m, ',')), 1, 8) END AS channel FROM (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey::VARCHAR))) AS m FROM lineitem GROUP BY 1)")
@@ -131,10 +171,11 @@ def d_contact_identity(t):
     return flows.contact_identity(contacts, "uid", "name", "c_custkey").select("c_custkey", "identity", "n_sharing")
 
 
-@query("SELECT c_custkey, 'name: ' || c_name || ' | segment: ' || c_mktsegment AS text FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'id-' || c_custkey ELSE c_name END || chr(10) || c_mktsegment || chr(10) || c_nationkey AS text FROM customer")
 def d_contact_row(t):
-    fields = F.array(F.struct(F.lit("name").alias("l"), F.col("c_name").alias("v")), F.struct(F.lit("segment").alias("l"), F.col("c_mktsegment").alias("v")))
-    return t.customer.select("c_custkey", F.array_join(F.transform(fields, lambda x: F.concat_ws(": ", x["l"], x["v"])), " | ").alias("text"))
+    k = F.col("c_custkey")
+    fields = F.array(F.struct(F.lit("segment").alias("label"), F.col("c_mktsegment").alias("value")), F.struct(F.lit("nation").alias("label"), F.col("c_nationkey").cast("string").alias("value")))
+    return t.customer.select("c_custkey", flows.contact_text(F.when(k % 4 != 0, F.col("c_name")), F.concat(F.lit("id-"), k.cast("string")), fields).alias("text"))
 
 
 @query("SELECT DISTINCT a.l_orderkey AS k, a.l_partkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R'")
@@ -143,15 +184,25 @@ def d_edges(t):
     return flows.sentence_edges(groups, "k", "a", "b").select("k", "src", "dst")
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[.!?]\s+[A-Z]')) AS n FROM documents")
+@query(
+    r"""
+    WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])(\s+[A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS x, unnest(range(100000)[1:len(string_split(regexp_replace(text, '([.!?])(\s+[A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)))]) AS n FROM documents),
+    s AS (SELECT doc_id, n, regexp_replace(x, '^\s+|\s+$', '', 'g') AS text, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY n) - length(x) + length(regexp_extract(x, '^\s*')) AS start FROM p)
+    SELECT doc_id, text, start::BIGINT AS start, length(text)::BIGINT AS length FROM s WHERE text <> ''
+    """
+)
 def d_sentence_split(t):
-    return t.documents.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"([.!?]\s+[A-Z])"), F.lit(1))).cast("long").alias("n"))
+    each = t.documents.select("doc_id", F.explode(flows.sentences(F.col("text"))).alias("s"))
+    return each.select("doc_id", "s.text", F.col("s.start").cast("long").alias("start"), F.col("s.length").cast("long").alias("length"))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings WHERE false UNION ALL SELECT vec_id, 1.0 FROM embeddings")
+@query(
+    "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings) "
+    "SELECT vec_id, array_to_string(list_transform(e, lambda x: round(CASE WHEN norm > 0 THEN x / norm ELSE x END * 10000)::BIGINT), ',') AS unit FROM n"
+)
 def d_embed_norm(t):
-    unit = t.embeddings.select("vec_id", align.normalised(F.col("embedding")).alias("u"))
-    return unit.select("vec_id", F.round(F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+    unit = F.transform(align.normalised(F.col("embedding")), lambda x: F.round(x * 10000).cast("long").cast("string"))
+    return t.embeddings.select("vec_id", F.array_join(unit, ",").alias("unit"))
 
 
 @query()
@@ -171,17 +222,39 @@ def d_dactal_row(t):
     return chat_grid(t).select("uuid", F.coalesce(F.nullif("text", F.lit("")), "conversation_uuid", "uuid").alias("name"))
 
 
-@query(r"SELECT doc_id, regexp_replace(CASE WHEN doc_id % 2 = 0 THEN 'a' || chr(57856) || 'cite' || chr(57858) || 'b' ELSE 'plain' END, chr(57856) || '[^' || chr(57858) || ']*' || chr(57858), '', 'g') AS text FROM documents")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a [label](https://x.org) b' WHEN 1 THEN 'a  b' WHEN 2 THEN 'a open ' || lang ELSE text END AS text FROM documents")
 def d_clean_sentinels(t):
-    raw = F.when(F.col("doc_id") % 2 == 0, F.lit("aciteb")).otherwise("plain")
-    return t.documents.select("doc_id", F.regexp_replace(raw, "[^]*", "").alias("text"))
+    o, p, c = flows.REGION_OPENS, flows.REGION_PARTS, flows.REGION_CLOSES
+    n = F.col("doc_id") % 4
+    raw = F.when(n == 0, F.lit(f"a {o}url{p}label{p}https://x.org{c} b")).when(n == 1, F.lit(f"a {o}cite{p}one{p}two{p}three{c} b")).when(n == 2, F.concat(F.lit(f"a {o}open "), F.col("lang"))).otherwise(F.col("text"))
+    return t.documents.select("doc_id", flows.clean_regions(raw).alias("text"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(regexp_replace('*' || role || '* <https://x.org|' || role || '>', '<(https?://[^|>]+)\\|([^>]+)>', '[\\2](\\1)', 'g'), '\\*([^*]+)\\*', '**\\1**', 'g') AS md FROM conversations")
+@query(
+    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text || chr(10) || 'more' WHEN 1 THEN text WHEN 2 THEN 'short' || chr(10) || chr(10) || text WHEN 3 THEN lang WHEN 4 THEN source ELSE '' END AS text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL"
+)
+def d_content_text(t):
+    n = F.col("doc_id") % 6
+    kind = lambda name: F.lit(name).alias("content_type")
+    made = (
+        F.when(n == 0, F.to_json(F.struct(kind("text"), F.array(F.to_variant_object(F.struct("text")), F.lit("more").cast("variant"), F.lit(7).cast("variant")).alias("parts"))))
+        .when(n == 1, F.to_json(F.struct(kind("code"), "text")))
+        .when(n == 2, F.to_json(F.struct(kind("thoughts"), F.array(F.struct(F.lit("short").alias("summary"), F.col("text").alias("content"))).alias("thoughts"))))
+        .when(n == 3, F.to_json(F.struct(kind("reasoning_recap"), F.col("lang").alias("content"))))
+        .when(n == 4, F.to_json(F.struct(kind("model_editable_context"), F.col("source").alias("model_set_context"))))
+        .otherwise(F.to_json(F.struct(kind("image"), "text")))
+    )
+    return t.documents.where("text is not null and source is not null").select("doc_id", flows.content_text(made).alias("text"))
+
+
+@query(
+    "SELECT conv_id, turn, '**' || role || '** ~~old~~ [' || role || '](https://x.org) <https://y.org> @' || CASE WHEN role = 'user' THEN 'Ann Lee' ELSE 'U_OTHER' END || ' @bob #ops @here a & b <3 👍 :nosuch:' || chr(10) || '> q' || chr(10) || chr(10) || 'after' AS md FROM conversations"
+)
 def d_slack_mrkdwn(t):
-    raw = F.concat(F.lit("*"), F.col("role"), F.lit("* <https://x.org|"), F.col("role"), F.lit(">"))
-    linked = F.regexp_replace(raw, r"<(https?://[^|>]+)\|([^>]+)>", "[$2]($1)")
-    return t.conversations.select("conv_id", "turn", F.regexp_replace(linked, r"\*([^*]+)\*", "**$1**").alias("md"))
+    mention = F.when(F.col("role") == "user", "<@U_ANN>").otherwise("<@U_OTHER>")
+    raw = F.concat(F.lit("*"), F.col("role"), F.lit("* ~old~ <https://x.org|"), F.col("role"), F.lit("> <https://y.org> "), mention, F.lit(" <@U_BOB|bob> <#C_OPS|ops> <!here> a &amp; b &lt;3 :thumbsup: :nosuch:\n> q\nafter"))
+    names = F.create_map(F.lit("U_ANN"), F.lit("Ann Lee"))
+    return t.conversations.select("conv_id", "turn", flows.to_markdown(raw, names).alias("md"))
 
 
 # ---- scalar functions
@@ -192,9 +265,25 @@ def fn_text(t):
     return t.pages.select("page_id", C.norm_path(F.col("url")).alias("path"), C.slugify(F.col("url")).alias("slug"))
 
 
-@query("SELECT doc_id, md5(text) AS m, sha256(text) AS s, replace(replace(replace(substr(text, 1, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
+@query("SELECT doc_id, md5(text) AS m, sha256(text) AS s, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
 def fn_hash(t):
-    return t.documents.select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s"), C.escape_html(F.substring("text", 1, 60)).alias("html"))
+    return t.documents.select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s"), C.escape_html(F.col("text")).alias("html"))
+
+
+@query("SELECT p_partkey, replace(replace(replace(p_name || '/a b?' || p_partkey, ' ', '%20'), '/', '%2F'), '?', '%3F') AS url, 'see <a href=\"https://x.org/' || p_partkey || '\">https://x.org/' || p_partkey || '</a>.' AS linked, CASE WHEN p_partkey % 2 = 0 THEN 'plain words' ELSE '\"a: \\\"b\\\"\"' END AS yaml, replace(format('{:,}', p_partkey * 1000), '.', ',') AS n, 'x' || p_partkey AS token FROM part")
+def fn_url(t):
+    k = F.col("p_partkey")
+    address = F.concat(F.lit("https://x.org/"), k.cast("string"))
+    return t.part.select(
+        "p_partkey", C.percent_encode(F.concat("p_name", F.lit("/a b?"), k.cast("string"))).alias("url"), C.autolink(F.concat(F.lit("see "), address, F.lit("."))).alias("linked"),
+        C.yaml_safe(F.when(k % 2 == 0, "plain words").otherwise('a: "b"')).alias("yaml"), C.thousands(k * 1000).alias("n"), C.id_token(F.concat(F.lit("https://x.org/some/x"), k.cast("string"), F.lit("?q=1"))).alias("token"),
+    )
+
+
+@query("SELECT c_custkey, '{\"a\":{\"b\":' || c_nationkey || ',\"c\":null},\"z\":\"' || c_mktsegment || '\"}' AS canonical FROM customer")
+def fn_canonical_json(t):
+    raw = F.concat(F.lit('{ "z": "'), F.col("c_mktsegment"), F.lit('", "a": {"c": null, "b": '), F.col("c_nationkey").cast("string"), F.lit("}}"))
+    return t.customer.select("c_custkey", C.canonical_json(raw).alias("canonical"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -212,7 +301,22 @@ def fn_gap(t):
 
 @query("SELECT time_bucket(INTERVAL 1 day, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def st_tumbling(t):
-    return stream.run_once(stream.tumbling(stream.read(t.spark, t.sf_dir), "1 day"), "st_tumbling", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return stream.run_once(stream.tumbling(stream.read(t.spark, t.sf_dir), "1 day"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 hours THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 hours AS \"end\", count(*) AS n FROM s GROUP BY user_id, s.n"
+)
+def st_sessions(t):
+    found = stream.run_once(stream.sessions(stream.read(t.spark, t.sf_dir), "12 hours"), "complete")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT event_id FROM events")
+def st_deduplicated(t):
+    events = stream.read(t.spark, t.sf_dir)
+    return stream.run_once(stream.deduplicated(events.unionByName(events), "event_id")).select("event_id")
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")

@@ -159,10 +159,11 @@ def a_fork_having(t):
     return fs.duplicates(files(t))
 
 
-@query("SELECT sha256(text) AS hash, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT hash, n, doc_id FROM (SELECT sha256(text) AS hash, doc_id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1")
 def a_dup_cluster(t):
-    grouped = t.documents.groupBy(F.sha2("text", 256).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return grouped.where("n > 1")
+    hashed = t.documents.select(F.sha2("text", 256).alias("hash"), "doc_id")
+    several = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return hashed.join(several, "hash").select("hash", "n", "doc_id")
 
 
 @query(f"WITH {GRID_SQL} SELECT coalesce(author, '') AS channel, count(DISTINCT markdown_uuid) AS threads, count(message_index) AS messages FROM grid GROUP BY 1")
@@ -186,7 +187,11 @@ def a_canonical(t):
     return grid.canonical(review_grid(t)).select("markdown_uuid", "uuid")
 
 
-@query(f"WITH {GRID_SQL} SELECT markdown_uuid, sha256(string_agg(strftime(when_ts_utc, '%Y-%m-%d %H:%M:%S') || chr(31) || uuid || chr(31) || kind || chr(31) || text, chr(30) ORDER BY when_ts_utc, uuid)) AS row_set_hash FROM grid GROUP BY 1")
+_CELLS = ["uuid", "'assistant'", "kind", "'assistant'", "strftime(when_ts_utc, '%Y-%m-%d %H:%M:%S')", "'Z'", "author", *["NULL"] * 13, "conversation_uuid", "message_index::VARCHAR", "entire_chat::VARCHAR", "text"]
+_ROW = " || chr(31) || ".join("'-'" if c == "NULL" else f"coalesce('=' || {c}, '-')" for c in _CELLS)
+
+
+@query(f"WITH {GRID_SQL} SELECT markdown_uuid, sha256(string_agg(sha256({_ROW}), chr(30) ORDER BY when_ts_utc, uuid)) AS row_set_hash FROM grid GROUP BY 1")
 def a_row_set_hash(t):
     return grid.markdowns(chat_grid(t)).select("markdown_uuid", "row_set_hash")
 
@@ -278,9 +283,10 @@ def w_last_per_key(t):
     return versioned.last_per_key(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
 
 
-@query(f"WITH {READINGS_SQL} SELECT device, metric, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY ts_ms, event_id) AS ids FROM readings GROUP BY 1, 2")
+@query(f"WITH {READINGS_SQL} SELECT device, metric, count(*) AS n, arg_min(event_id, (ts_ms, event_id)) AS first_id, arg_max(event_id, (ts_ms, event_id)) AS last_id FROM readings GROUP BY 1, 2")
 def w_runs(t):
-    return readings(t).groupBy("device", "metric").agg(F.count(F.lit(1)).alias("n"), grid.ordered_text(F.col("event_id").cast("string"), F.struct("ts_ms", "event_id"), delimiter=",").alias("ids"))
+    order = F.struct("ts_ms", "event_id")
+    return readings(t).groupBy("device", "metric").agg(F.count(F.lit(1)).alias("n"), F.min_by("event_id", order).alias("first_id"), F.max_by("event_id", order).alias("last_id"))
 
 
 # ---- sets
@@ -315,7 +321,7 @@ def u_set_intersection(t):
 
 @query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def u_set_difference(t):
-    return t.customer.select(F.col("c_custkey").alias("k")).exceptAll(t.orders.where("o_orderstatus = 'F'").select("o_custkey")).distinct().join(t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("SELECT coalesce(a.turn, b.turn) AS locator, coalesce(a.n, 0) AS left_n, coalesce(b.n, 0) AS right_n FROM (SELECT turn, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1) a FULL JOIN (SELECT turn, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1) b ON a.turn = b.turn")
@@ -337,7 +343,10 @@ def diff_stat(t):
     return versioned.diff_stat(old_orders(t), new_orders(t), ["o_orderkey"], _CONTENT)
 
 
-@query("SELECT * FROM (VALUES ('orders', false, true), ('part', false, false), ('supplier', true, false)) v(\"table\", schema_changed, data_changed)")
+@query(
+    f"WITH {ORDERS_SQL}, changed AS ((SELECT * FROM old EXCEPT SELECT * FROM new) UNION ALL (SELECT * FROM new EXCEPT SELECT * FROM old)) "
+    "SELECT 'orders' AS \"table\", false AS schema_changed, EXISTS (SELECT 1 FROM changed) AS data_changed UNION ALL SELECT 'part', false, EXISTS (SELECT * FROM part EXCEPT SELECT * FROM part) UNION ALL SELECT 'supplier', (SELECT count(*) FROM (DESCRIBE supplier)) <> (SELECT count(*) - 1 FROM (DESCRIBE supplier)), false"
+)
 def diff_summary(t):
     old = {"orders": old_orders(t), "part": t.part, "supplier": t.supplier.drop("s_acctbal")}
     return versioned.diff_summary(old, {"orders": new_orders(t), "part": t.part, "supplier": t.supplier}, {"orders": ["o_orderkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"]})
@@ -456,10 +465,10 @@ def cas_put(t):
     return t.documents.groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("first_id"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN sha256(text) END AS hash FROM documents")
+@query("SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN NULL ELSE sha256(d.text) END AS hash, CASE WHEN l.toxic = 1 THEN 'refused' END AS error FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)")
 def cas_flush(t):
-    ok = t.documents.where("doc_id % 9 <> 0").select("doc_id", F.sha2("text", 256).alias("hash"))
-    return ok.unionByName(t.documents.where("doc_id % 9 = 0").select("doc_id", F.lit(None).cast("string").alias("hash")))
+    refused = t.labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic = 1").select("doc_id", F.lit("refused").alias("error"))
+    return versioned.flushed(t.documents.select("doc_id", F.sha2("text", 256).alias("hash")), refused, ["doc_id"])
 
 
 @query(f"WITH {FILES_SQL} SELECT path, CASE WHEN size % 4 <> 0 AND size % 6 <> 0 THEN hash END AS hash FROM files")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import columns as C
 from mnemora.operators import grid, retrieval
-from mnemora.operators.search import Filters, matching, ranked, search
+from mnemora.operators.search import Filters, channels_to_read, matching, ranked, search
 from mnemora.plans.registry import query
 from mnemora.plans.views import GRID_SQL, REVIEW_SQL, chat_grid, review_grid
+from mnemora.sources.readers import chosen
 
 SHOWN = ["uuid", "kind", "when_ts_utc", "author", "message_index", "text"]
 
@@ -107,17 +108,16 @@ def f_label_any(t):
     return t.orders.select("o_orderkey", "o_custkey").join(marked, "o_orderkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE coalesce(c_acctbal < 0, false) = false")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 AND (c_custkey % 3 = 0 OR c_acctbal >= 0)")
 def f_fringe_provider(t):
-    return t.customer.where(~F.coalesce(F.col("c_acctbal") < 0, F.lit(False))).select("c_custkey", "c_name")
+    k = F.col("c_custkey")
+    channels = t.customer.select("c_custkey", "c_name", (k % 2 == 0).alias("is_member"), F.when(k % 3 != 0, F.col("c_acctbal") < 0).alias("is_archived"))
+    return channels_to_read(channels).select("c_custkey", "c_name")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders")
 def f_glob(t):
-    from fnmatch import fnmatchcase
-
-    kept = [c for c in t.orders.columns if any(fnmatchcase(c, g) for g in ("o_*key", "o_orderd*")) and not fnmatchcase(c, "*price")]
-    return t.orders.select(*kept)
+    return t.orders.select(*chosen(t.orders.columns, ["o_*key", "o_orderd*", "o_total*"], ["*price"]))
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic = 1 OR (d.text IS NULL AND coalesce(l.quality, 0) > 0)")
@@ -147,11 +147,6 @@ def s_chat_meta(t):
     return grid.canonical(chat_grid(t)).select("markdown_uuid", "uuid", "kind")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 30")
-def s_topk_rerank(t):
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(30)
-
-
 @query(
     "SELECT loc, n FROM (SELECT p_size::VARCHAR || CASE WHEN p_partkey % 5 = 0 THEN 'a' ELSE '' END AS loc, count(*) AS n FROM part GROUP BY 1) ORDER BY try_cast(loc AS BIGINT) ASC NULLS LAST, loc LIMIT 40"
 )
@@ -169,23 +164,35 @@ def s_thread_order(t):
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 _BM25 = f"""
 tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
-cnt AS (SELECT doc_id, len(t) AS dl, len(list_filter(t, lambda w: w = 'the')) AS f0, len(list_filter(t, lambda w: w = 'tion')) AS f1 FROM tok),
+cnt AS (SELECT doc_id, len(t) AS dl, len(list_filter(t, lambda w: starts_with(w, 'the'))) AS f0, len(list_filter(t, lambda w: starts_with(w, 'tion'))) AS f1 FROM tok),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM cnt),
 bm AS (SELECT doc_id, ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score
   FROM cnt, st WHERE f0 > 0 AND f1 > 0)
 """
 
 
+@query(f"WITH {_BM25} SELECT doc_id, round(0.1 * (doc_id % 11) * 0.5 + 0.5 * score, 6) AS score FROM (SELECT * FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 30)")
+def s_topk_rerank(t):
+    best = retrieval.candidates(retrieval.bm25(t.documents, ["the", "tion"]).withColumn("score", F.round("score", 9)), "doc_id")
+    return best.select("doc_id", F.round(0.1 * (F.col("doc_id") % 11) * 0.5 + 0.5 * F.col("score"), 6).alias("score"))
+
+
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
 def r_bm25(t):
     return retrieval.bm25(t.documents, ["the", "tion"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(
-    r"SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: starts_with(w, 'thor'))) > 0 AND contains(lower(text), 'of the') AND NOT contains(lower(text), 'license')"
-)
+_SYNTAX = f"""
+tok AS (SELECT doc_id, lower(text) AS low, {_TOKENS} AS t FROM documents),
+cnt AS (SELECT doc_id, low, len(t) AS dl, len(list_filter(t, lambda w: starts_with(w, 'thor'))) AS f0, len(list_filter(t, lambda w: starts_with(w, 'of'))) AS f1, len(list_filter(t, lambda w: starts_with(w, 'the'))) AS f2 FROM tok),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1, count(*) FILTER (f2 > 0) AS d2 FROM cnt)
+"""
+_PART = "ln(1 + (n - d{0} + 0.5) / (d{0} + 0.5)) * f{0} * 2.2 / (f{0} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+
+
+@query(f"WITH {_SYNTAX} SELECT doc_id, round({_PART.format(0)} + {_PART.format(1)} + {_PART.format(2)}, 6) AS score FROM cnt, st WHERE f0 > 0 AND f1 > 0 AND f2 > 0 AND contains(low, 'of the') AND NOT contains(low, 'license')")
 def r_bm25_syntax(t):
-    return retrieval.bm25(t.documents, ["thor"], prefix=True, phrases=("of the",), excluded=("license",)).select("doc_id")
+    return retrieval.lexical(t.documents, 'thor "of the" -license').select("doc_id", F.round("score", 6).alias("score"))
 
 
 _PROBE = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
@@ -239,13 +246,10 @@ def r_blend(t):
     return placed.select("doc_id", F.round(retrieval.blend(placed, (F.col("doc_id") % 11) / 10), 6).alias("score"))
 
 
-@query(f"WITH {REVIEW_SQL}, h AS (SELECT uuid, conversation_uuid AS doc, row_number() OVER (ORDER BY uuid) AS rank FROM reviews WHERE kind = 'PR Comment') SELECT doc, uuid, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY rank) AS n FROM h) WHERE n = 1")
+@query(f"WITH {REVIEW_SQL}, h AS (SELECT uuid, conversation_uuid AS doc, (message_index * 7919 + length(author)) % 101 AS rank FROM reviews WHERE kind = 'PR Comment') SELECT doc, uuid, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY rank, uuid) AS n FROM h) WHERE n = 1")
 def w_one_per_doc(t):
-    from pyspark.sql import Window as W
-
-    hits = review_grid(t).where("kind = 'PR Comment'").select("uuid", F.col("conversation_uuid").alias("doc"))
-    ranks = hits.withColumn("rank", F.row_number().over(W.orderBy("uuid")).cast("long"))
-    return retrieval.one_per_document(ranks, "doc").select("doc", "uuid", "rank")
+    hits = review_grid(t).where("kind = 'PR Comment'").select("uuid", F.col("conversation_uuid").alias("doc"), ((F.col("message_index") * 7919 + F.length("author")) % 101).alias("rank"))
+    return retrieval.one_per_document(hits, "doc").select("doc", "uuid", "rank")
 
 
 @query(

@@ -5,18 +5,23 @@ Each uses Spark's own formats; Python runs only where a format has none (mail he
 
 from __future__ import annotations
 
+import csv
 import email
 import email.policy
+import re
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mnemora.functions.columns import epoch_ms
 
 def raw_payloads(table: DataFrame, schema: str, key: str = "id", payload: str = "payload") -> DataFrame:
-    """``(key, data)`` of rows whose JSON payload is there and can be read, in key order."""
-    return table.where(F.col(payload).isNotNull()).select(key, F.from_json(payload, schema, {"mode": "PERMISSIVE"}).alias("data")).where("data is not null").orderBy(key)
+    """``(key, data)`` of rows whose JSON payload is there and can be read, in key order; others are skipped."""
+    readable = table.where(F.try_parse_json(F.col(payload)).isNotNull())
+    return readable.select(key, F.from_json(payload, schema, {"mode": "PERMISSIVE"}).alias("data")).orderBy(key)
 
 
 def jsonl_latest(spark: SparkSession, created: str, updated: str, keys: list[str], schema: StructType | str) -> DataFrame:
@@ -45,17 +50,42 @@ def sidecars(spark: SparkSession, root: str, schema: StructType | str) -> DataFr
 
 
 def csv_export(spark: SparkSession, path: str, key: str | None = None, preamble_lines: int = 0) -> DataFrame:
-    """A CSV table as strings with an ``id``: its natural key, else a hash of its cells. Lines before the header are skipped by count."""
-    numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")).alias("n", "line"))
-    header = numbered.where(F.col("n") == preamble_lines).first()  # one line
-    names = [c.strip().strip('"') for c in (header["line"].lstrip("\ufeff") if header else "").split(",")]
-    unique = [n if names.index(n) == k else f"{n}_{names[:k].count(n) + 1}" for k, n in enumerate(names)]
-    cells = F.from_csv(F.col("line"), ", ".join(f"`{n}` string" for n in unique))
-    table = numbered.where((F.col("n") > preamble_lines) & (F.trim("line") != "")).select(cells.alias("c")).select("c.*")
+    """One CSV file as a table of strings with an ``id``: its natural key, else a hash of its cells.
+
+    Lines before the header are skipped by count and repeated names numbered. Cells may hold commas, quotes and line ends. A
+    file without a preamble is read by Spark's own reader; one with a preamble is a small export, whose text is parsed again from its header on.
+    """
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False}
+    if preamble_lines:
+        whole = spark.read.text(path, wholetext=True)
+        body = whole.select(F.regexp_replace("value", rf"(?s)\A\ufeff?(?:[^\n]*\n){{{preamble_lines}}}", "").alias("value"))
+        records = body.select(F.explode(F.regexp_extract_all("value", F.lit(r'((?:"(?:[^"]|"")*"|[^"\n])+)(?:\n|\z)'), F.lit(1))).alias("record"))
+        numbered = records.select(F.monotonically_increasing_id().alias("n"), F.regexp_replace("record", r"\r\z", "").alias("record"))
+        header = numbered.orderBy("n").first()  # one line
+        names = _unique(next(csv.reader([header["record"]]))) if header else ["_c0"]
+        schema = ", ".join(f"`{n}` string" for n in names)
+        cells = F.from_csv("record", schema, {"quote": '"', "escape": '"', "multiLine": "true"})
+        table = numbered.where(F.col("n") > (header["n"] if header else 0)).where(F.trim("record") != "").select(cells.alias("c")).select("c.*")
+    else:
+        first = spark.read.options(**options | {"header": False}).csv(path).limit(1).first()
+        names = _unique([str(c or "") for c in first] if first else ["_c0"])
+        table = spark.read.options(**options | {"enforceSchema": True}).schema(", ".join(f"`{n}` string" for n in names)).csv(path)
     row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]), {"ignoreNullFields": "false"}), 256)
     return table.withColumn("id", F.col(f"`{key}`") if key else row)
 
 
+def _unique(names: list[str]) -> list[str]:
+    """Column names as they are; a repeated one with its number."""
+    plain = [n.lstrip("\ufeff").strip() for n in names]
+    return [n if plain.index(n) == k else f"{n}_{plain[:k].count(n) + 1}" for k, n in enumerate(plain)]
+
+
+def table_name(path: str) -> str:
+    """The name of an exported file's table: its stem in lower case, words joined by ``_``."""
+    stem = path.rstrip("/").rpartition("/")[2].rpartition(".")[0]
+    return re.sub(r"[^a-z0-9]+", "_", stem.lower()).strip("_")
+
+
 def sms_backup(spark: SparkSession, path: str) -> DataFrame:
     """``(kind, address, at_ms, outgoing, body, name)`` of text messages and calls of an XML backup."""
     fields = lambda *names: StructType.fromDDL(", ".join(f"`_{n}` string" for n in names))
@@ -67,31 +97,36 @@ def sms_backup(spark: SparkSession, path: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def sensor_csv(spark: SparkSession, path: str, time_column: str = "time") -> DataFrame:
-    """``(device, metric, ts_ms, value)`` of one CSV for each device; a metric given in two units is an error."""
-    table = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    metrics = [c for c in table.columns if c != time_column]
-    stems = [m.rpartition("_")[0] for m in metrics]
-    if len(set(stems)) < len(stems):
-        raise ValueError(f"one metric in two units: {metrics}")
-    device = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
-    long = table.withColumn("device", device).unpivot(["device", time_column], metrics, "metric", "value")
-    return long.select("device", "metric", F.unix_millis(F.to_timestamp(time_column)).alias("ts_ms"), F.col("value").cast("double").alias("value")).where("value is not null")
+def sensor_csv(spark: SparkSession, path: str, time_column: str = "time", device: str = r"([^/]+)\.csv$") -> DataFrame:
+    """``(device, metric, ts_ms, value)`` of CSV files, one for each device, read each by its own header; a metric given in two units is an error.
+
+    ``device``: the pattern that finds a device's name in its file's path.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    headers = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"), F.min("n").alias("first"))  # a line of each file
+    cells = lambda c: F.transform(F.split(c, ","), lambda x: F.regexp_replace(F.trim(x), r'^"|"$', ""))
+    names = cells("header")
+    stems = F.transform(F.filter(names, lambda x: x != time_column), lambda x: F.regexp_replace(x, "_[^_]*$", ""))
+    checked = headers.select("file", "first", F.when(F.size(F.array_distinct(stems)) < F.size(stems), F.raise_error(F.concat(F.lit("one metric in two units: "), F.col("header"))).cast("array<string>")).otherwise(names).alias("names"))
+    rows = lines.join(checked, "file").where((F.col("n") != F.col("first")) & (F.trim("value") != "")).select("file", "names", cells("value").alias("cells"))
+    at = F.element_at(F.col("cells"), F.array_position("names", F.lit(time_column)).cast("int"))
+    long = rows.select("file", at.alias("at"), F.explode(F.arrays_zip("names", "cells")).alias("x")).where(F.col("x.names") != time_column)
+    read = long.select(F.regexp_extract("file", device, 1).alias("device"), F.col("x.names").alias("metric"), epoch_ms(F.col("at").cast("timestamp_ntz")).alias("ts_ms"), F.nullif("x.cells", F.lit("")).cast("double").alias("value"))
+    return read.where("value is not null")
 
 
 def mailbox(spark: SparkSession, path: str) -> DataFrame:
     """``(position, sender, subject, date, labels, body)`` of the mails of an mbox file, split at ``From `` lines by Spark's line separator."""
-    parts = spark.read.option("lineSep", "\nFrom ").text(path).select(F.monotonically_increasing_id().alias("position"), "value")
+    parts = spark.read.option("lineSep", "\nFrom ").text(path).select(F.monotonically_increasing_id().alias("position"), F.col("value").cast("binary").alias("value"))
     schema = pa.schema([("position", pa.int64()), ("sender", pa.string()), ("subject", pa.string()), ("date", pa.string()), ("labels", pa.string()), ("body", pa.string())])
 
     def run(batches):
         for batch in batches:
             rows = []
             for position, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mail = email.message_from_string((value or "").partition("\n")[2], policy=email.policy.default)
-                body = mail.get_body(("plain", "html"))
-                text = body.get_content() if body else ""
-                rows.append((position, mail["From"], mail["Subject"], mail["Date"], mail["X-Gmail-Labels"], "\n".join(x[1:] if x.startswith(">From ") else x for x in text.split("\n"))))
+                mail = email.message_from_bytes((value or b"").partition(b"\n")[2], policy=email.policy.default)
+                text = re.sub(r"(?m)^>(>*From )", r"\1", _content(mail.get_body(("plain", "html"))))
+                rows.append((position, mail["From"], mail["Subject"], mail["Date"], mail["X-Gmail-Labels"], text))
             columns = list(zip(*rows)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array([None if v is None else v if f.name == "position" else str(v) for v in c], f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -99,6 +134,17 @@ def mailbox(spark: SparkSession, path: str) -> DataFrame:
     return mails.withColumn("labels", gmail_labels(F.col("labels")))
 
 
+def _content(part) -> str:
+    """A mail part's text; bytes that its charset, or one nobody knows, can't read are replaced."""
+    raw = part.get_payload(decode=True) if part is not None else None
+    if raw is None:
+        return ""
+    try:
+        return raw.decode(part.get_content_charset() or "utf-8", "replace")
+    except LookupError:
+        return raw.decode("utf-8", "replace")
+
+
 def gmail_labels(value: Column) -> Column:
     """A list of labels from a comma list whose items may be in quotes."""
     items = F.regexp_extract_all(value, F.lit(r'("(?:[^"\\]|\\.)*"|[^,]+)'), F.lit(1))
@@ -130,10 +176,67 @@ def file_tree(spark: SparkSession, root: str, ignore: str | None = None) -> Data
     return kept.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"))
 
 
+def chosen(names: list[str], include: list[str], exclude: list[str] = ()) -> list[str]:
+    """Names that a pattern of ``include`` and none of ``exclude`` matches."""
+    return [n for n in names if any(fnmatchcase(n, g) for g in include) and not any(fnmatchcase(n, g) for g in exclude)]
+
+
 def mirrored(tables: dict[str, DataFrame], include: list[str], exclude: list[str] = (), drop_columns: list[str] = ()) -> dict[str, DataFrame]:
     """Tables and columns chosen by globs, as a mirror keeps them."""
-    from fnmatch import fnmatchcase
+    return {n: d.select(*[c for c in d.columns if not any(fnmatchcase(f"{n}.{c}", g) for g in drop_columns)]) for n, d in tables.items() if chosen([n], include, exclude)}
+
+
+def mirror_key(table: DataFrame, stated: list[str] = (), stable: list[str] = (), declared: list[str] = ()) -> tuple[list[str], str]:
+    """A mirrored table's key and where it is from: stated, else the first of ``stable`` that is there and unique, else declared, else none.
+
+    Uniqueness is counted on the data, a column at a time.
+    """
+    if stated:
+        return list(stated), "stated"
+    for name in (c for c in stable if c in table.columns):
+        whole, filled, distinct = table.agg(F.count(F.lit(1)), F.count(name), F.countDistinct(name)).first()
+        if whole == filled == distinct:
+            return [name], "stable"
+    if declared and set(declared) <= set(table.columns):
+        return list(declared), "declared"
+    return [], "none"
+
+
+def with_natural_keys(rows: DataFrame, names: DataFrame, foreign: dict[str, str], key: str = "id", name: str = "name") -> DataFrame:
+    """``rows`` with row numbers of another table replaced by that table's lasting names, ``foreign``: column to the name's column; unknown ones are null."""
+    for column, to in foreign.items():
+        rows = rows.join(names.select(F.col(key).alias(column), F.col(name).alias(to)), column, "left").drop(column)
+    return rows
+
+
+def takeout_messages(spark: SparkSession, root: str) -> DataFrame:
+    """``(space, sender, at, text)`` of the ``messages.json`` of every group folder below ``root``; the folder names the space."""
+    schema = "messages array<struct<creator:struct<name:string,email:string>,created_date:string,text:string,topic_id:string>>"
+    files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "messages.json").json(root)
+    each = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/messages\.json$", 1).alias("space"), F.explode("messages").alias("m"))
+    return each.select("space", F.coalesce("m.creator.name", "m.creator.email").alias("sender"), export_time(F.col("m.created_date")).alias("at"), F.col("m.text").alias("text"))
+
+
+def export_time(stated: Column) -> Column:
+    """A time as exports write it, ``Monday, January 1, 2024 at 10:00:00 AM UTC``, without zone; null where it isn't one."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(stated, r"^[A-Z][a-z]+, ", ""), r"[\u202f\u00a0]", " "), " UTC$", "")
+    return F.try_to_timestamp(plain, F.lit("MMMM d, y 'at' h:mm:ss a")).cast("timestamp_ntz")
+
+
+def takeout_history(spark: SparkSession, path: str) -> DataFrame:
+    """``(title, url, channel, at)`` of a watch history in JSON; entries without a link are left out."""
+    schema = "title string, titleUrl string, subtitles array<struct<name:string,url:string>>, time string"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).where("titleUrl is not null")
+    return rows.select(F.regexp_replace("title", "^Watched ", "").alias("title"), F.col("titleUrl").alias("url"), F.get("subtitles", F.lit(0))["name"].alias("channel"), F.regexp_replace("time", "Z$", "").cast("timestamp_ntz").alias("at"))
+
+
+def write_sidecars(rows: DataFrame, path: str, document: str = "markdown_uuid") -> None:
+    """A line of JSON for each document, ``{header, rows}``: its canonical row and all of its rows in order of (time, uuid)."""
+    row = F.struct(*[F.col(c) for c in rows.columns if c != document])
+    listed = rows.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(F.col("when_ts_utc").alias("w"), F.col("uuid").alias("u"), row.alias("r")))).alias("s"))
+    listed.select(F.struct(document, F.size("s").alias("n_rows")).alias("header"), F.transform("s", lambda x: x["r"]).alias("rows")).write.mode("overwrite").json(path)
 
-    chosen = {n: d for n, d in tables.items() if any(fnmatchcase(n, g) for g in include) and not any(fnmatchcase(n, g) for g in exclude)}
-    return {n: d.select(*[c for c in d.columns if not any(fnmatchcase(f"{n}.{c}", g) for g in drop_columns)]) for n, d in chosen.items()}
 
+def append_tape(rows: DataFrame, path: str) -> None:
+    """One line of JSON for each row that was stored, after those that are there."""
+    rows.write.mode("append").json(path)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.durable import cut
+from mnemora.durable import cut, discard, shared_dir
 from mnemora.operators.versioned import last_per_key
 
 
@@ -38,25 +38,38 @@ def deduplicated(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return events.withWatermark("at", late).dropDuplicatesWithinWatermark([key])
 
 
-def run_once(result: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything there is now, as a table; ``complete`` for aggregates that shall show all windows."""
-    table = f"{name}_{uuid.uuid4().hex}"
-    query = result.writeStream.outputMode(mode).format("memory").queryName(table).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return result.sparkSession.table(table)
+def run_once(result: DataFrame, mode: str = "append") -> DataFrame:
+    """Everything there is now, as a table in the shared folder; ``complete`` for aggregates that shall show all windows.
+
+    Each batch is written whole under its number, so that a batch that runs again replaces itself; nothing is kept on the driver.
+    """
+    spark = result.sparkSession
+    path = f"{shared_dir(spark)}/mnemora-stream-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last.append(number)
+
+    result.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], result.schema)
+    return spark.read.schema(result.schema).parquet(f"{path}/batch={last[-1]}" if mode == "complete" else path).select(*result.columns)
 
 
 def latest(spark: SparkSession, events: DataFrame, keys: list[str]) -> DataFrame:
     """The last event of each key, kept up to date batch by batch.
 
-    Each batch is merged with the last version of the state, which is written anew to the shared folder.
+    Each batch is merged with the last version of the state; a new version is written to the shared folder and the one before it deleted.
     """
     state: dict[str, DataFrame] = {}
 
     def merge(batch: DataFrame, _: int) -> None:
-        fresh = batch.drop("at")
-        both = state["rows"].unionByName(fresh) if state else fresh
+        fresh, before = batch.drop("at"), state.get("rows")
+        both = before.unionByName(fresh) if before is not None else fresh
         state["rows"] = cut(last_per_key(both, keys, [F.desc("ts"), F.desc("event_id")]))
+        if before is not None:
+            discard(before)
 
-    events.writeStream.foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
+    events.writeStream.option("checkpointLocation", f"{shared_dir(spark)}/mnemora-stream-{uuid.uuid4().hex}").foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
     return state["rows"] if state else spark.createDataFrame([], events.drop("at").schema)

@@ -171,14 +171,135 @@ def test_csv_sms_mail_and_cards(spark, tmp_path):
 def test_sensor_csv_and_file_tree(spark, tmp_path):
     (tmp_path / "porch.csv").write_text("time,temperature_f,humidity_pct\n2024-01-01 00:00:00,50,40\n2024-01-01 00:05:00,,41\n")
     assert readers.sensor_csv(spark, str(tmp_path / "porch.csv")).count() == 3
-    (tmp_path / "bad.csv").write_text("time,temperature_f,temperature_c\n")
-    with pytest.raises(ValueError, match="two units"):
-        readers.sensor_csv(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "bad.csv").write_text("time,temperature_f,temperature_c\n2024-01-01 00:00:00,1,2\n")
+    with pytest.raises(Exception, match="two units"):
+        readers.sensor_csv(spark, str(tmp_path / "bad.csv")).collect()
     tree = readers.file_tree(spark, str(tmp_path), ignore="bad").collect()
     assert len(tree) == 1 and tree[0].size > 0
 
 
 def test_stream_sessions_and_dedup(spark, sf_dir):
-    rows = stream.run_once(stream.sessions(stream.read(spark, sf_dir), "12 hours"), "sessions", "complete")
+    rows = stream.run_once(stream.sessions(stream.read(spark, sf_dir), "12 hours"), "complete")
     assert rows.selectExpr("sum(n)").first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    assert stream.run_once(stream.deduplicated(stream.read(spark, sf_dir), "event_id"), "once").count() == rows.selectExpr("sum(n)").first()[0]
+    assert stream.run_once(stream.deduplicated(stream.read(spark, sf_dir), "event_id")).count() == rows.selectExpr("sum(n)").first()[0]
+
+
+def test_deep_trees(spark):
+    """80 levels: every directory has a hash, every node its path and its owner."""
+    import hashlib
+
+    path = "/".join(f"d{k}" for k in range(80))
+    got = {r.path: r.hash for r in files.merkle(spark.createDataFrame([(f"{path}/x", "1")], "path string, hash string")).collect()}
+    name, tag, want = "x", "F", "1"
+    for k in range(79, -1, -1):
+        want, tag = hashlib.sha256(f"{name}\0{tag}{want}\n".encode()).hexdigest(), "D"
+        name = f"d{k}"
+    assert len(got) == 80 and got["d0"] == want
+    rows = [(0, None, "n0")] + [(k, k - 1, f"n{k}") for k in range(1, 80)] + [(900, 901, "a"), (901, 900, "b"), (902, 777, "c")]
+    paths = {r.id: r.path for r in files.tree_paths(spark.createDataFrame(rows, "id long, parent_id long, name string"), F.col("name")).collect()}
+    assert len(paths) == 80 and paths[79].count("/") == 79 and paths[2] == "n0/n1/n2"
+    blocks = spark.createDataFrame([(k, k == 0, p) for k, p, _ in rows], "id long, is_page boolean, parent_id long")
+    owned = {r.id: r.owner for r in flows.owners(blocks).collect()}
+    assert all(owned[k] == 0 for k in range(80)) and owned[900] is None and owned[902] is None
+
+
+def test_alignment_is_the_cheapest_of_all():
+    r = np.random.default_rng(5)
+
+    def every(m, n):
+        if not m and not n:
+            yield []
+        for p, q in align.MOVES:
+            if m >= p and n >= q:
+                for head in every(m - p, n - q):
+                    yield [*head, (range(m - p, m), range(n - q, n))]
+
+    def cost(found, a, b, la, lb):
+        total = 0.0
+        for x, y in found:
+            u, v = a[x].mean(0), b[y].mean(0)
+            total += 1 - u @ v / np.linalg.norm(u) / np.linalg.norm(v) + align.PENALTY * abs(np.log((la[x].sum() + 1) / (lb[y].sum() + 1)))
+        return total
+
+    for m, n in ((1, 3), (3, 3), (4, 5), (5, 4), (2, 6)):
+        a, b, la, lb = r.normal(size=(m, 4)), r.normal(size=(n, 4)), r.integers(1, 30, m), r.integers(1, 30, n)
+        best = min(cost(f, a, b, la, lb) for f in every(m, n))
+        assert abs(cost(align.groups(a, b, la, lb), a, b, la, lb) - best) < 1e-9
+
+
+def test_split_and_overlay_of_payloads(spark):
+    """Null is a value, absent paths change nothing, and laying over gives the payload back."""
+    import json
+
+    from mnemora.operators import payloads
+
+    given = [
+        {"id": "C", "parent": None, "updated": 17, "topic": {"creator": "U", "last_set": 0, "value": ""}, "names": [], "ids": ["T"]},
+        {"id": "C", "name": "x"}, {"id": "C", "topic": "text", "updated": None}, {"topic": {"last_set": {"deep": {"k": [1]}}}},
+    ]
+    split = payloads.split_volatile(F.col("p"), [("updated",), ("topic", "last_set")])
+    rows = spark.createDataFrame([(k, json.dumps(p)) for k, p in enumerate(given)], "n int, p string").select("n", split.alias("s"))
+    got = {r.n: r for r in rows.select("n", "s.*", payloads.overlay(F.col("s.base"), F.col("s.volatile")).alias("whole")).collect()}
+    for k, p in enumerate(given):
+        assert json.loads(got[k].whole) == p, k
+    assert json.loads(got[0].volatile) == {"updated": 17, "topic": {"last_set": 0}} and json.loads(got[0].base)["parent"] is None
+    assert got[1].volatile is None and json.loads(got[2].volatile) == {"updated": None} and json.loads(got[3].base) == {"topic": {}}
+    over = spark.createDataFrame([('{"a":1,"b":2}', '{"b":null}'), ('{"a":{"x":1}}', '{"a":{"y":{"z":2}}}'), ('{"a":1}', '[2]')], "b string, v string")
+    assert [json.loads(r[0]) for r in over.select(payloads.overlay(F.col("b"), F.col("v"))).collect()] == [{"a": 1, "b": None}, {"a": {"x": 1, "y": {"z": 2}}}, [2]]
+
+
+def test_chunks_cover_texts_and_cut_at_headings(spark):
+    text = "\n".join(f"# Part {k}\n" + "word " * 120 for k in range(12)) + "\n```\n" + "code\n" * 300 + "```\nend"
+    spans = retrieval.chunk_spans(text, 2000, 500)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text)
+    assert all(a < d and c <= b and b < d for (a, b), (c, d) in zip(spans, spans[1:]))
+    assert all(text[b:].startswith("# Part") for _, b in spans[:5])
+    assert retrieval.chunk_spans("") == [] and retrieval.chunk_spans("short") == [(0, 5)]
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "x" * 9000)], "doc_id long, text string")
+    got = retrieval.chunks(docs).collect()
+    assert {r.doc_id for r in got} == {1, 3} and all((text if r.doc_id == 1 else "x" * 9000)[r.pos : r.pos + len(r.text)] == r.text for r in got)
+
+
+def test_query_syntax():
+    assert retrieval.parsed_lex('auth "rate Limiter" -saml -"test data" perf') == (["auth", "perf"], ("rate limiter",), ("saml", "test data"))
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [("hello *world*", "hello **world**"), ("~old~ news", "~~old~~ news"), ("hi <@U_ANN>!", "hi @Ann Lee!"), ("<@U_X> <@U_ANN>", "@U_X @Ann Lee"), ("<https://x.com|X>", "[X](https://x.com)"), ("<https://x.com>", "<https://x.com>"),
+     ("see <#C_B|bridge>", "see #bridge"), ("<!subteam^S_O|ops> go", "@ops go"), ("<!here> up", "@here up"), ("a &amp; b &lt;3 &gt;_&lt;", "a & b <3 >_<"), (":nosuch:", ":nosuch:"), ("> q\nplain", "> q\n\nplain"), ("2*3*4 a * b", "2*3*4 a * b")],
+)
+def test_chat_markup(spark, raw, want):
+    names = F.create_map(F.lit("U_ANN"), F.lit("Ann Lee"))
+    assert spark.createDataFrame([(raw,)], "t string").select(flows.to_markdown(F.col("t"), names)).first()[0] == want
+
+
+def test_times_in_another_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.sql("select timestamp_ntz'2024-03-10 02:30:00.123' as ts, 1709251200000L as ms, -1L as old")
+        assert tuple(rows.select(C.epoch_ms(F.col("ts")), C.period_key(F.col("ms"), "month"), C.period_key(F.col("old"), "day")).first()) == (1710037800123, "2024-03", "1969-12-31")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_readers_of_odd_files(spark, tmp_path):
+    table = spark.createDataFrame([(1, '{"x":1}'), (2, "{bad"), (3, None)], "id int, payload string")
+    assert [(r.id, r.data.x) for r in readers.raw_payloads(table, "x int").collect()] == [(1, 1)]
+    (tmp_path / "a.csv").write_text("time,temperature_f,humidity_pct\n2024-01-01 00:00:00,50,40\n")
+    (tmp_path / "b.csv").write_text("time,humidity_pct,temperature_f\n2024-01-01 00:00:00,77,60\n")
+    got = {(r.device, r.metric): r.value for r in readers.sensor_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {("a", "temperature_f"): 50, ("a", "humidity_pct"): 40, ("b", "temperature_f"): 60, ("b", "humidity_pct"): 77}
+    (tmp_path / "x.txt").write_text('A,B,A\n1,"two\nlines, ""q""",3\n')
+    row = readers.csv_export(spark, str(tmp_path / "x.txt"), "A").collect()
+    assert [(r.A, r.B, r.A_2) for r in row] == [("1", 'two\nlines, "q"', "3")]
+    (tmp_path / "m.mbox").write_bytes(b"From a Mon\nFrom: a@x\nContent-Type: text/plain; charset=nosuch\n\nb\xf6dy\n>>From x\n")
+    mail = readers.mailbox(spark, str(tmp_path / "m.mbox")).collect()
+    assert len(mail) == 1 and "dy" in mail[0].body and ">From x" in mail[0].body
+    assert readers.table_name("/x/My Export (2).csv") == "my_export_2"
+
+
+def test_stream_results_are_tables(spark, sf_dir):
+    rows = stream.latest(spark, stream.read(spark, sf_dir, 1), ["user_id"])
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
