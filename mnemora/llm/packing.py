@@ -5,11 +5,11 @@ The rest, shorter than a window, is an item of the online rule: with ``N[h]`` wi
 filled to level ``h`` (0 < h < size), it goes to the level, or to a new window, that
 makes the sum of ``N[h]**2`` least. The levels' counts are one array; windows of a level
 are taken last in, first out. A window that is exactly full is closed and emitted.
-At a task's end the windows still open are refilled end to end, cutting documents at the
-edges, and what is left of the last one is cut at powers of two, which need no padding.
+At a task's end the fullest windows still open keep what the rule gave them, and the items of the emptiest
+fill them up, cut at the edges; what is left of the last one is cut at powers of two, which need no padding.
 
 Each task packs the rows it reads: nothing is shuffled, a task holds the ids of its open
-windows alone (``max_open`` at most, then they are refilled early), and a task that runs
+windows alone (some hundreds of windows; at most the ids of what it reads), and a task that runs
 again gives the same windows for the same rows.
 
 Tokens: a word-level cache over the tokenizer. Its pre-tokenizer splits at white space, which
@@ -54,7 +54,6 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model.tokenize
         self.most = most
         self.plain = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
@@ -77,7 +76,9 @@ class WordTokens(dict):
     def of(self, text: bytes) -> bytes:
         if len(self) > self.most:
             self.clear()
-        return b"".join(map(self.__getitem__, text.lower().split()))  # the tokenizer drops case; this is ASCII's part of it
+        # the tokenizer drops case, and this is ASCII's part of it; but its special tokens, which begin with this, are told by case
+        words = text.split() if b"<|" in text else text.lower().split()
+        return b"".join(map(self.__getitem__, words))
 
 
 class Packer:
@@ -87,11 +88,11 @@ class Packer:
     lists of pieces, each exactly ``size`` ids or a power of two.
     """
 
-    def __init__(self, size: int = SIZE, max_open: int = 4096):
-        self.size, self.max_open = size, max_open
+    def __init__(self, size: int = SIZE):
+        self.size = size
         self.counts = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[list]] = defaultdict(list)
-        self.n_open = 0
+        self.by_rule = self.moved = 0  # ids of windows that the rule filled or kept, and of items moved at the end
 
     def level_for(self, length: int) -> int:
         """The level whose windows take an item of ``length`` at the least sum of squares."""
@@ -115,40 +116,43 @@ class Packer:
         level = self.level_for(length)
         window = self.open[level].pop() if level else []
         self.counts[level] -= level > 0
-        self.n_open += level == 0
         window.append(piece)
         if level + length == self.size:
-            self.n_open -= 1
+            self.by_rule += self.size
             yield window
         else:
             self.counts[level + length] += 1
             self.open[level + length].append(window)
-            if self.n_open > self.max_open:
-                yield from self.refill(last=False)
 
-    def refill(self, last: bool = True) -> Iterator[list]:
-        """Close all open windows by joining their pieces end to end; ``last``: the rest too."""
-        pieces = [p for level in sorted(self.open, reverse=True) for window in self.open[level] for p in window]
+    def finish(self) -> Iterator[list]:
+        """Close all open windows: the fullest first, with the items of the emptiest, cut where a window is full."""
+        windows = [w for level in sorted(self.open) for w in self.open[level]]
         self.open.clear()
         self.counts[:] = 0
-        self.n_open = 0
-        window, room = [], self.size
-        for doc, start, ids, total in pieces:
-            while ids:
+        filler: list[tuple] = []
+        first, last = 0, len(windows) - 1
+        while first <= last:
+            window = windows[last]
+            last -= 1
+            room = self.size - sum(len(ids) for _, _, ids, _ in window) // 4
+            self.by_rule += self.size - room
+            while room and (filler or first <= last):
+                if not filler:
+                    filler, first = windows[first][::-1], first + 1
+                doc, start, ids, total = filler.pop()
                 part, ids = ids[: 4 * room], ids[4 * room :]
                 window.append((doc, start, part, total))
-                start += len(part) // 4
                 room -= len(part) // 4
-                if not room:
-                    yield window
-                    window, room = [], self.size
-        left = self.size - room
-        if left and not last:
-            self.counts[left] += 1
-            self.open[left].append(window)
-            self.n_open = 1
-        elif left:
-            yield from self._powers(window, left)
+                self.moved += len(part) // 4
+                if ids:
+                    filler.append((doc, start + len(part) // 4, ids, total))
+            if room:
+                yield from self._powers(window, self.size - room)
+            else:
+                yield window
+        if filler:
+            filler = filler[::-1]
+            yield from self._powers(filler, sum(len(ids) for _, _, ids, _ in filler) // 4)
 
     def _powers(self, pieces: list, left: int) -> Iterator[list]:
         for power in (1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1):
@@ -162,7 +166,7 @@ class Packer:
             yield window
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", max_open: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all texts: ``(id, start, length, doc_tokens, sequence_id, offset, ids binary)``.
 
     ``ids``: the piece's ids, little-endian unsigned 32-bit. A sequence's pieces have the
@@ -174,7 +178,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokens, packer, number = WordTokens(tokenizer_path), Packer(size, max_open), task_number() * SEQUENCES_PER_TASK
+        tokens, packer, number = WordTokens(tokenizer_path), Packer(size), task_number() * SEQUENCES_PER_TASK
         kind = [arrow_id]
 
         def windows():
@@ -183,7 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
                 kind[0] = ids.type
                 for doc, text in zip(ids.to_pylist(), column_bytes(batch, "text")):
                     yield from packer.add(doc, tokens.of(text) + end)
-            yield from packer.refill()
+            yield from packer.finish()
 
         def pieces():
             nonlocal number
