@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,14 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import column, to_batches
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|textarea|select|object|canvas|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SKIPPED = re.compile(r"[\s/]*")
+_ATTRIBUTE_NAME = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 # Element names of HTML by their part in a page's layout.
@@ -47,77 +45,141 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _CLOSES_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _STOPS = frozenset("ul ol dl table article section main div".split())
 _DROPPED = frozenset("nav footer aside form head button menu dialog".split())
+_HIDDEN = frozenset("head svg math template select object canvas datalist".split())
+#: Elements whose content is text up to their own end tag, and never the page's.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in "script style textarea title iframe noembed noframes noscript xmp".split()}
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar tablist form".split())
 _DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar"
     " footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments disqus replies"
     " respond share sharing social related recommended widget toolbar pagination pager copyright disclaimer skip".split()
 )
+#: Beginnings of class names that are parts of the same kinds, and words of inline elements that aren't the text's.
+_DROPPED_PREFIXES = ("ad-", "ads-", "advert", "comment-", "comments-", "comment_", "sidebar-", "share-", "sharing-", "social-", "cookie-", "newsletter-", "breadcrumb", "nav-", "footer-", "menu-", "promo-", "sponsor", "related-posts", "related-articles", "related-links", "popup-", "modal-")
+_MUTED_WORDS = frozenset("ad ads advert adverts advertisement sponsored".split())
 #: What a block outside the page's named main element counts of its fused ratio.
 OUTSIDE = 0.2
 _MAIN_WORDS = frozenset("article-body articlebody post-content entry-content main-content article-content story-body".split())
 
 
-def _attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(source)}
-
-
 #: Whether an element can hold content: yes; only as the wrapper of the page's main part; never.
 _CONTENT, _WRAPPER, _NEVER = 0, 1, 2
 
 
-def _part(tag: str, attributes: dict[str, str], in_main: bool) -> int:
-    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""))
-    if tag == "head" or hidden:
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
+
+
+def _part(tag: str, attributes: dict[str, str], in_main: bool, in_article: bool) -> int:
+    if tag in _HIDDEN or attributes and _is_hidden(attributes):
         return _NEVER
-    if tag in _DROPPED or tag == "header" and not in_main or attributes.get("role", "").lower() in _DROPPED_ROLES:
+    if tag in _DROPPED or tag == "header" and not in_main or tag == "article" and in_article or attributes.get("role", "").lower() in _DROPPED_ROLES:
         return _WRAPPER
     named = {*attributes.get("class", "").lower().split(), attributes.get("id", "").lower()}
-    return _CONTENT if tag in ("body", "html", "article", "main") or _DROPPED_WORDS.isdisjoint(named) else _WRAPPER
+    if tag in ("body", "html", "article", "main") or _DROPPED_WORDS.isdisjoint(named) and not any(x.startswith(_DROPPED_PREFIXES) for x in named):
+        return _CONTENT
+    return _WRAPPER
 
 
 @dataclass
 class Element:
-    """An element of a page: its parent's number, what it can hold, how it names itself the main one, its unlinked text."""
+    """An element of a page: its parent's number, its path's, what it can hold, how it names itself the main one, its unlinked text."""
 
     parent: int
+    path: int
     part: int
     main: int  # 2: main element or role, 1: article or class, 0: not named
+    inside: bool = False  # it or one around it is named
+    article: bool = False
     length: int = 0
 
 
 class Blocks:
-    """The text blocks of one page: ``(path, text, linked characters, inside the main element)``."""
+    """The text blocks of one page: ``(path, text, linked characters, inside the main element)``.
+
+    Markup is read once from left to right, each tag by its attributes as browsers do, so that broken pages take no longer than others.
+    """
 
     def __init__(self, page: str):
-        self.read: list[tuple[str, str, int, int]] = []  # path, text, linked characters, element
-        self.elements = [Element(0, _CONTENT, 0)]
-        self.open: list[tuple[str, str, int]] = []  # tag, step of the path, element
+        self.read: list[tuple[int, str, int, int]] = []  # path, text, linked characters, element
+        self.elements = [Element(0, 0, _CONTENT, 0)]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.open: list[tuple[str, int]] = []  # tag, element
+        self.count: dict[str, int] = defaultdict(int)
         self.text: list[str] = []
         self.linked = self.link_depth = 0
-        at = 0
-        for m in _TOKEN.finditer(page):
-            if m.start() > at:
-                self._words(page[at : m.start()])
-            at = m.end()
-            tag = m[3] and m[3].lower()
-            if not tag:
-                continue
-            if tag == "br":
-                self.text.append(" ")
-            elif tag in _INLINE:
-                if tag == "a":
-                    self.link_depth = max(0, self.link_depth + (-1 if m[2] else 1))
-            elif m[2]:
-                self._close(tag)
-            else:
-                self._start(tag, m[4] or "")
-        if at < len(page):
-            self._words(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", page[at:]))
+        self.muted: list[str] = []  # an inline element that isn't text, and those of its name in it
+        self.muted_at = 0
+        self._parse(page)
         self._flush()
         self.found = self._kept()
 
+    def _parse(self, page: str) -> None:
+        at, n, last = 0, len(page), page.rfind(">")
+        while at < n:
+            begin = page.find("<", at)
+            if begin < 0:
+                self._words(page[at:])
+                return
+            if begin > at:
+                self._words(page[at:begin])
+            after = page[begin + 1 : begin + 2]
+            closing = after == "/"
+            name = _NAME.match(page, begin + 1 + closing)
+            if name:
+                if begin > last:
+                    return  # a tag that the page's end cuts
+                tag = name[0].lower()
+                if closing:
+                    self._end(tag)
+                    at = page.find(">", name.end()) + 1
+                    continue
+                at, attributes, closed = self._attributes(page, name.end())
+                if at > n:
+                    return
+                self._begin(tag, attributes, closed)
+                if tag in _RAW and not closed:
+                    end = _RAW[tag].search(page, at)
+                    at = end.start() if end else n
+            elif page.startswith("<!--", begin):
+                end = page.find("-->", begin + 2 if page.startswith("<!-->", begin) else begin + 4)
+                at = end + 3 if end >= 0 else n
+            elif after in ("!", "?", "/"):
+                end = page.find(">", begin + 2)
+                at = end + 1 if end >= 0 else n
+            else:
+                self._words("<")
+                at = begin + 1
+
+    @staticmethod
+    def _attributes(page: str, at: int) -> tuple[int, dict[str, str], bool]:
+        """Where the tag ends (beyond the page's end if it doesn't), its attributes, and whether it closes itself."""
+        n, found = len(page), {}
+        while True:
+            skipped = _SKIPPED.match(page, at)
+            at = skipped.end()
+            if at >= n:
+                return n + 1, found, False
+            if page[at] == ">":
+                return at + 1, found, skipped[0].endswith("/")
+            name = _ATTRIBUTE_NAME.match(page, at)
+            at, value = name.end(), ""
+            if equals := _EQUALS.match(page, at):
+                at = equals.end()
+                quote = page[at : at + 1]
+                if quote in ('"', "'"):
+                    end = page.find(quote, at + 1)
+                    if not quote or end < 0:
+                        return n + 1, found, False
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    value = _UNQUOTED.match(page, at)[0]
+                    at += len(value)
+            found.setdefault(name[0].lower(), entities.unescape(value) if "&" in value else value)
+
     def _words(self, raw: str) -> None:
+        if self.muted:
+            return
         text = entities.unescape(raw) if "&" in raw else raw
         self.text.append(text)
         if self.link_depth:
@@ -127,41 +189,75 @@ class Blocks:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                element = self.open[-1][2] if self.open else 0
+                element = self.open[-1][1] if self.open else 0
                 linked = min(self.linked, len(text))
-                self.read.append(("/".join(x[1] for x in self.open), text, linked, element))
+                self.read.append((self.elements[element].path, text, linked, element))
                 self.elements[element].length += len(text) - linked
             self.text = []
         self.linked = 0
 
-    def _start(self, tag: str, source: str) -> None:
+    def _pop(self, upto: int) -> None:
+        for tag, _ in self.open[upto:]:
+            self.count[tag] -= 1
+        del self.open[upto:]
+        if self.muted and upto < self.muted_at:
+            self.muted = []
+
+    def _begin(self, tag: str, attributes: dict[str, str], closed: bool) -> None:
+        if tag == "br":
+            self.text.append(" ")
+        elif tag in _INLINE:
+            if tag in _VOID:
+                return
+            if self.muted:
+                if tag == self.muted[0]:
+                    self.muted.append(tag)
+            elif attributes and (_is_hidden(attributes) or not _MUTED_WORDS.isdisjoint(attributes.get("class", "").lower().split())):
+                self.muted, self.muted_at = [tag], len(self.open)
+            if tag == "a":
+                self.link_depth += 1
+        elif tag not in _RAW:
+            self._start(tag, attributes, closed)
+
+    def _start(self, tag: str, attributes: dict[str, str], closed: bool) -> None:
         self._flush()
         if tag in _CLOSES_P and self.open and self.open[-1][0] == "p":
-            self.open.pop()
+            self._pop(len(self.open) - 1)
         for own in _CLOSES_OWN.get(tag, ()):
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == own:
-                    del self.open[k:]
-                    break
-                if self.open[k][0] in _STOPS:
-                    break
-        if tag in _VOID or source.rstrip().endswith("/") and tag not in _CLOSES_P:
+            if self.count[own]:
+                for k in range(len(self.open) - 1, -1, -1):
+                    if self.open[k][0] == own:
+                        self._pop(k)
+                        break
+                    if self.open[k][0] in _STOPS:
+                        break
+        if tag in _VOID or closed and tag not in _CLOSES_P:
             return
-        attributes = _attributes(source) if source.strip() else {}
-        inside = any(self.elements[x[2]].main for x in self.open)
-        name = attributes.get("class", "").split()
+        parent = self.open[-1][1] if self.open else 0
+        around = self.elements[parent]
+        names = attributes.get("class", "").split()
         main = 2 if tag == "main" or attributes.get("role") == "main" else int(tag == "article" or not _MAIN_WORDS.isdisjoint(attributes.get("class", "").lower().split()))
-        self.elements.append(Element(self.open[-1][2] if self.open else 0, _part(tag, attributes, inside), main))
-        self.open.append((tag, f"{tag}.{name[0]}" if name else tag, len(self.elements) - 1))
-
-    def _close(self, tag: str) -> None:
+        step = f"{tag}.{names[0]}" if names else tag
+        path = self.paths.setdefault((around.path, step), len(self.paths) + 1)
+        part = _part(tag, attributes, around.inside, around.article)
+        self.elements.append(Element(parent, path, part, 0 if tag == "article" and around.article else main, bool(main) or around.inside, tag == "article" or around.article))
+        self.open.append((tag, len(self.elements) - 1))
+        self.count[tag] += 1
+
+    def _end(self, tag: str) -> None:
+        if tag in _INLINE:
+            if self.muted and tag == self.muted[0]:
+                self.muted.pop()
+            if tag == "a":
+                self.link_depth = max(0, self.link_depth - 1)
+            return
         self._flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                break
-        if tag not in _INLINE:
-            self.link_depth = 0 if not any(x[0] == "a" for x in self.open) else self.link_depth
+        if self.count[tag]:
+            k = len(self.open) - 1
+            while self.open[k][0] != tag:
+                k -= 1
+            self._pop(k)
+        self.link_depth = 0
 
     def _worst(self) -> list[int]:
         """For each element the worst part of itself and all around it; parents come before their children."""
@@ -170,7 +266,7 @@ class Blocks:
             worst.append(max(e.part, worst[e.parent]) if k else e.part)
         return worst
 
-    def _kept(self) -> list[tuple[str, str, int, bool]]:
+    def _kept(self) -> list[tuple[int, str, int, bool]]:
         """The blocks that no element leaves out, once wrappers of the page's main part are known not to."""
         elements, worst = self.elements, self._worst()
         own = [e.length if w < _NEVER else 0 for e, w in zip(elements, worst)]
@@ -190,10 +286,8 @@ class Blocks:
             for e, n in zip(elements, whole):
                 if e.part == _WRAPPER and 2 * n > whole[0]:
                     e.part = _CONTENT
-        worst, inside = self._worst(), []
-        for k, e in enumerate(elements):
-            inside.append(bool(e.main) or k > 0 and inside[e.parent])
-        return [(path, text, linked, inside[k]) for path, text, linked, k in self.read if worst[k] == _CONTENT]
+        worst = self._worst()
+        return [(path, text, linked, elements[k].inside) for path, text, linked, k in self.read if worst[k] == _CONTENT]
 
 
 def _smooth(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -210,7 +304,7 @@ def main_text(page: str, share: float = 0.5, link_share: float = 0.6) -> str:
     """The content blocks of one page in their order, joined by an empty line."""
     blocks = Blocks(page).found
     named = any(b[3] for b in blocks)
-    paths: dict[str, list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for path, text, linked, _ in blocks:
         sums = paths.setdefault(path, [0.0, 0.0, 0.0, 0.0])
         for k, v in enumerate((len(text), len(_PUNCTUATION.findall(text)), linked, 1)):
@@ -218,7 +312,7 @@ def main_text(page: str, share: float = 0.5, link_share: float = 0.6) -> str:
     linked_lists = {p for p, (n, _, linked, _) in paths.items() if linked > link_share * n}
     text_ratio = _smooth([max(0.0, paths[b[0]][0] - paths[b[0]][2]) / paths[b[0]][3] for b in blocks])
     mark_ratio = _smooth([paths[b[0]][1] / paths[b[0]][3] for b in blocks])
-    fused: dict[str, list[float]] = {}
+    fused: dict[int, list[float]] = {}
     for (path, _, _, inside), t, p in zip(blocks, text_ratio, mark_ratio):
         fused.setdefault(path, []).append(t * (1 + p) * (OUTSIDE if named and not inside else 1.0))
     ratios = {p: sum(v) / len(v) for p, v in fused.items()}
