@@ -14,6 +14,7 @@ that happens to look alike and is not reported; equal values give equal results.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -28,7 +29,18 @@ from .common import column, column_bytes, texts, to_batches
 UNKNOWN = "application/octet-stream"
 
 
-def _wave(b: memoryview, i: int) -> int:
+class Value(bytes):
+    """A value whose searches for one string, at rising places, read it once in all."""
+
+    def next(self, part: bytes, at: int) -> int:
+        seen = self.__dict__.setdefault("seen", {})
+        begin, found = seen.get(part, (0, -2))
+        if found == -2 or at < begin or 0 <= found < at:
+            seen[part] = begin, found = at, self.find(part, at)
+        return found
+
+
+def _wave(b: bytes, i: int) -> int:
     """RIFF: the chunks after the header must fill the stated size; fmt before data."""
     if len(b) < i + 44 or bytes(b[i + 8 : i + 12]) != b"WAVE":
         return 0
@@ -41,7 +53,7 @@ def _wave(b: memoryview, i: int) -> int:
     return end - i if at == end and seen[:1] == [b"fmt "] and b"data" in seen else 0
 
 
-def _png(b: memoryview, i: int) -> int:
+def _png(b: bytes, i: int) -> int:
     """Chunks with right checksums from IHDR to IEND."""
     at, first = i + 8, True
     while at + 12 <= len(b):
@@ -54,7 +66,7 @@ def _png(b: memoryview, i: int) -> int:
     return 0
 
 
-def _gif(b: memoryview, i: int) -> int:
+def _gif(b: bytes, i: int) -> int:
     """Blocks up to the trailer."""
     if len(b) < i + 13:
         return 0
@@ -79,7 +91,7 @@ def _gif(b: memoryview, i: int) -> int:
     return 0
 
 
-def _jpeg(b: memoryview, i: int) -> int:
+def _jpeg(b: Value, i: int) -> int:
     """Marker segments by their lengths, then scan data up to the end marker."""
     at = i + 2
     while at + 4 <= len(b) and b[at] == 0xFF and 0xC0 <= b[at + 1] <= 0xFE:
@@ -88,12 +100,12 @@ def _jpeg(b: memoryview, i: int) -> int:
             return 0
         at += 2 + n
         if kind == 0xDA:
-            end = bytes(b[at:]).find(b"\xff\xd9")
-            return at + end + 2 - i if end >= 0 else 0
+            end = b.next(b"\xff\xd9", at)
+            return end + 2 - i if end >= 0 else 0
     return 0
 
 
-def _bmp(b: memoryview, i: int) -> int:
+def _bmp(b: bytes, i: int) -> int:
     """Size field, header size and data offset agree."""
     if len(b) < i + 54:
         return 0
@@ -101,7 +113,7 @@ def _bmp(b: memoryview, i: int) -> int:
     return size if not reserved and header in (40, 52, 56, 108, 124) and 14 + header <= data <= size <= len(b) - i else 0
 
 
-def _gzip(b: memoryview, i: int) -> int:
+def _gzip(b: bytes, i: int) -> int:
     """A whole member that inflates."""
     if len(b) < i + 18 or b[i + 2] != 8 or b[i + 3] & 0xE0:
         return 0
@@ -115,16 +127,15 @@ def _gzip(b: memoryview, i: int) -> int:
     return at - i - len(one.unused_data) if one.eof else 0
 
 
-def _pdf(b: memoryview, i: int) -> int:
+def _pdf(b: Value, i: int) -> int:
     if len(b) < i + 8 or not (48 <= b[i + 5] <= 57 and b[i + 6] == 46):
         return 0
-    whole = bytes(b[i:])
-    end = whole.find(b"%%EOF")
-    return end + 5 if end >= 0 and b"startxref" in whole[:end] else 0
+    end, start = b.next(b"%%EOF", i), b.next(b"startxref", i)
+    return end + 5 - i if 0 <= start < end and re.match(rb"startxref\s+\d+\s+%%EOF", b[b.rfind(b"startxref", start, end) : end + 5]) else 0
 
 
 #: Magic bytes, media type and validator of the formats known here.
-FORMATS: tuple[tuple[bytes, str, Callable[[memoryview, int], int]], ...] = (
+FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int]], ...] = (
     (b"RIFF", "audio/wav", _wave),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
@@ -148,12 +159,13 @@ class Sniffer:
         self.automaton.make_automaton()
 
     def __call__(self, value: bytes) -> list[tuple[int, str, int]]:
-        """Confirmed media as ``(offset, type, length)``: the outermost by place, then those inside them."""
-        view, found = memoryview(value), []
+        """Confirmed media as ``(offset, type, length)`` by place: the value itself, where it is one, and in it or in unknown bytes the outermost ones."""
+        whole, found, upto = Value(value), [], 0
         hits = sorted((end + 1 - len(FORMATS[k][0]), k) for end, k in self.automaton.iter(value.decode("latin-1")))
         for at, k in hits:
-            if n := FORMATS[k][2](view, at):
+            if at >= upto and (n := FORMATS[k][2](whole, at)):
                 found.append((at, FORMATS[k][1], n))
+                upto = at + n if at else 1  # what is inside of an embedded one is part of it
         return found
 
 

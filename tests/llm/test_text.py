@@ -2,10 +2,11 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from mnemora.llm import byte_bpe, class_lm, html_extract, media, packing, quality
@@ -17,18 +18,24 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+@lru_cache
 def _tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
+
+
+@lru_cache
+def _word_tokens():
+    return packing.WordTokens(WORDS)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
+@example("hello <|startoftext|> world")
+@example("Up<|endoftext|>DOWN <|ENDOFTEXT|> <| X")
 def test_word_tokens_are_the_tokenizers(text):
-    ids = np.frombuffer(packing.WordTokens(WORDS).of(text.encode("utf-8", "replace")), "<u4").tolist()
+    ids = np.frombuffer(_word_tokens().of(text.encode("utf-8", "replace")), "<u4").tolist()
     assert ids == _tokenizer().encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
 
 
@@ -70,6 +77,20 @@ def test_level_rule_is_the_least_sum_of_squares():
         assert options[packer.level_for(length)] == min(options.values())
 
 
+def test_most_windows_are_filled_by_the_rule():
+    rng = np.random.default_rng(3)
+    packer = packing.Packer()
+    items = [bytes(4 * int(x)) for x in rng.lognormal(6, 1, 3000).clip(1, 2047)]
+    windows = [w for k, ids in enumerate(items) for w in packer.add(k, ids)]
+    kept = packer.by_rule
+    windows += packer.finish()
+    lengths = [sum(len(p[2]) for p in w) // 4 for w in windows]
+    assert sum(lengths) == sum(map(len, items)) // 4 and all(n == 2048 or n & (n - 1) == 0 for n in lengths)
+    share = packer.moved / sum(lengths)
+    print(f"{kept / sum(lengths):.2f} of the ids are in windows that the rule filled, {share:.2f} were moved at the end")
+    assert share < 0.15
+
+
 def test_packing_odd_rows(spark):
     docs = odd_rows(spark)
     got = packing.digest(packing.pack(docs, WORDS))
@@ -111,6 +132,57 @@ def test_html_wrappers_of_the_main_part_stay():
     assert hidden == "Shown, in part."
 
 
+def test_html_broken_markup():
+    text = html_extract.main_text(
+        "<article><svg class=i /><p>First sentence, is here.</p><title-card>Card text, too.</title-card><p title=it's>Quote, fine, a < b.</p>"
+        "<p>An <span class='ad'>AD</span>end <span hidden>no <span>more</span></span>here, now.</p><div class='related-work'>Work, it is related, it stays.</div>"
+        "<article class=reply><p>Reader, one of them, says so.</p></article><div class='comment-item'>Another, the last.</div></article>"
+    )
+    assert text == "First sentence, is here.\n\nCard text, too.\n\nQuote, fine, a < b.\n\nAn end here, now.\n\nWork, it is related, it stays."
+
+
+@pytest.mark.parametrize("part", ['<a "', '<p x="', "<div>", "<!--", "<li>", "<span hidden>", "<script>", "<"])
+def test_html_time_grows_with_length_alone(part):
+    import time
+
+    def took(n):
+        page = part * n + "<p>end"
+        began = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(80_000) < 0.2 + 8 * took(20_000)
+
+
+def test_html_ratios_of_every_page(spark, sf_dir):
+    """A plain version of ratios, smoothing, fusion and threshold decides the blocks of every driver page alike."""
+    pages = [r.html or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    decided = 0
+    for page in pages:
+        blocks = html_extract.Blocks(page).found
+        by = defaultdict(list)
+        for n, b in enumerate(blocks):
+            by[b[0]].append(n)
+        size = lambda ns, f: sum(f(blocks[n]) for n in ns)
+        text = {p: max(0, size(ns, lambda b: len(b[1])) - size(ns, lambda b: b[2])) / len(ns) for p, ns in by.items()}
+        marks = {p: size(ns, lambda b: sum(c in ".,;:!?…。，、；：！？¿¡" for c in b[1])) / len(ns) for p, ns in by.items()}
+
+        def smooth(ratio, n):
+            near = {m: math.exp(-((m - n) ** 2) / 2) for m in range(n - 2, n + 3) if 0 <= m < len(blocks)}
+            return sum(w * ratio[blocks[m][0]] for m, w in near.items()) / sum(near.values())
+
+        named = any(b[3] for b in blocks)
+        fused = [smooth(text, n) * (1 + smooth(marks, n)) * (html_extract.OUTSIDE if named and not b[3] else 1) for n, b in enumerate(blocks)]
+        ratios = {p: sum(fused[n] for n in ns) / len(ns) for p, ns in by.items()}
+        values = list(ratios.values())
+        least = 0.5 * min(np.std(values), np.mean(values)) if len(values) > 1 else 0
+        kept = [b[1] for b in blocks if ratios[b[0]] >= least and size(by[b[0]], lambda b: b[2]) <= 0.6 * size(by[b[0]], lambda b: len(b[1]))]
+        assert html_extract.main_text(page) == "\n\n".join(kept)
+        decided += len(kept) < len(blocks)
+    print(f"on {decided} of {len(pages)} pages the ratios leave blocks out")
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "z"), (None, None, "<p>x", "z"), (2, "v", "", "z"), (2, "v", "<", "z")], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages).collect()
@@ -128,6 +200,27 @@ def test_quality_separates_held_out_rows(spark, sf_dir):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_quality_is_the_plain_discriminant(spark, sf_dir):
+    """Scores by densities with inverses and determinants, from numpy's covariances."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    x = {r.doc_id: quality.statistics((r.text or "").encode()) for r in docs.collect()}
+    rows = [(r.doc_id, r.quality) for r in labels.collect() if r.doc_id in x and r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5]
+    of = [np.array([x[i] for i, q in rows if q == k]) for k in (0, 1)]
+    d, n = len(quality.STATISTICS), [len(v) for v in of]
+    covs = [np.cov(v.T, bias=True) for v in of]
+    both = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
+    log = []
+    for k in (0, 1):
+        own = 0.1 + 0.9 * d / (d + n[k])
+        c = (1 - own) * covs[k] + own * both
+        c = 0.95 * c + 0.05 * np.diag(np.diag(c)) + 1e-4 * np.eye(d)
+        inverse, mean = np.linalg.inv(c), of[k].mean(0)
+        log.append({i: math.log(n[k] / sum(n)) - np.linalg.slogdet(c)[1] / 2 - (v - mean) @ inverse @ (v - mean) / 2 for i, v in x.items()})
+    got = {r.id: r.score for r in quality.classify(docs, labels).collect()}
+    want = {i: 1 / (1 + math.exp(min(60, max(-60, (log[0][i] - log[1][i]) / math.sqrt(d))))) for i in x}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
 def test_quality_odd_rows(spark):
     docs = odd_rows(spark)
     labels = spark.createDataFrame([(1, None, 0), (4, 1, 0), (4, 1, 0), (None, 0, 0), (5, 7, 1)], "doc_id long, quality int, toxic int")
@@ -225,6 +318,32 @@ def test_media_round_trip(spark):
         assert r.media_sha256 == hashlib.sha256(media.wave(own)).hexdigest() and r.feature.startswith("type=audio/wav")
 
 
+def test_media_features_are_the_plain_ones(spark):
+    docs = spark.createDataFrame([(1, "abba cab"), (2, None), (3, "BM %PDF-1.4 RIFF " * 40)], "doc_id long, text string")
+    for r in media.digest(media.read_media(media.store_texts(docs))).collect():
+        text = {1: b"abba cab", 2: b"", 3: b"BM %PDF-1.4 RIFF " * 40}[r.doc_id]
+        payload = text + b" " * (-len(text) % 192 or (0 if text else 192))
+        common = sorted(Counter(payload).items(), key=lambda x: (-x[1], x[0]))[:4]
+        top = ",".join(f"{v}:{c}" for v, c in common)
+        assert r.feature == f"type=audio/wav;length={44 + len(payload)};samples={len(payload)};mean={sum(payload) / len(payload):.4f};top={top};embedded="
+    assert media.digest(media.read_media(media.store_texts(docs.limit(0)))).count() == 0
+
+
+def test_media_inside_media_is_carved_once(spark):
+    import time
+
+    png = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big") for k, d in ((b"IHDR", b"\0" * 13), (b"IEND", b"")))
+    pdf = b"%PDF-1.4\nx\nstartxref\n9\n%%EOF"
+    wav = media.wave(b"12" + png + b"34")
+    look = media.Sniffer()
+    assert [(t, a) for a, t, _ in look(b"junk" + wav + pdf)] == [("audio/wav", 4), ("application/pdf", 4 + len(wav))]
+    assert [(t, a) for a, t, _ in look(wav)] == [("audio/wav", 0), ("image/png", 46)]
+    began = time.process_time()
+    for part in (b"%PDF-1.4 ", b"\xff\xd8\xff\xda\x00\x02"):
+        assert look(part * 200_000) == []
+    assert time.process_time() - began < 20
+
+
 def test_sniffing_corrects_and_carves(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big") for k, d in ((b"IHDR", b"\0" * 13), (b"IEND", b"")))
     wav = media.wave(b"ab" * 96)
