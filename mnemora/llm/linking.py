@@ -25,23 +25,44 @@ FEW = 12
 def components(links: DataFrame) -> DataFrame:
     """``(k, component)`` for every vertex of ``links (a, b)``: the smallest vertex it reaches.
 
-    Labels spread over links and then jump to their labels' labels, so a chain halves each round. A round shuffles
-    once while the labels are small enough to broadcast; beyond that its joins are of plain inputs, which AQE
-    splits where many vertices have one neighbour or one label.
+    Rounds of contraction. Each vertex points to the neighbour of least hash if that is less than its own, and on to
+    where that one points; then links are of the vertices pointed to, so a star is gone after two rounds and a chain, whatever
+    its order, has a third of its links left. Where vertices point to is kept for each round and followed back at the end,
+    so a round costs what its remaining links cost. xxhash64 of a long is one to one: no two vertices tie.
     """
-    links = cut(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "k"))
-    size = labels.count()
-    while True:
-        named = lambda key, value: small(labels.select(F.col("k").alias(key), F.col("component").alias(value)), size)
-        near = both.join(named("b", "c"), "b").groupBy("a").agg(F.min("c").alias("near"))
-        step = near.join(named("a", "was"), "a").select("a", "was", F.least("was", "near").alias("now"))
-        moved = cut(step.join(named("now", "further"), "now", "left").select(F.col("a").alias("k"), "was", F.least("now", F.coalesce("further", "now")).alias("component")))
-        discard(labels)
-        labels = moved
-        if moved.where("component <> was").isEmpty():
-            return moved.select("k", "component")
+    place = F.xxhash64
+    links = cut(links.where("a <> b").select("a", "b"))
+    rounds = []
+    while not links.isEmpty():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        nearest = both.groupBy(F.col("a").alias("k")).agg(F.min_by("b", place("b")).alias("p")).where(place("p") < place("k"))
+        further = nearest.select(F.col("k").alias("p"), F.col("p").alias("q"))
+        points = cut(nearest.join(further, "p", "left").select("k", F.coalesce("q", "p").alias("p")))
+        rounds.append(points)
+        size = points.count()
+        ends = lambda c: small(points.select(F.col("k").alias(c), F.col("p").alias(f"to_{c}")), size)
+        moved = links.join(ends("a"), "a", "left").join(ends("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+        left = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        discard(links)
+        links = left
+    labels = links.select(F.col("a").alias("k"), F.col("b").alias("root"))
+    for points in reversed(rounds):
+        own = points.join(labels.select(F.col("k").alias("p"), "root"), "p", "left").select("k", F.coalesce("root", "p").alias("root"))
+        labels = cut(own.unionByName(labels.join(points.select("k"), "k", "left_anti")))
+    least = labels.groupBy("root").agg(F.least(F.min("k"), F.col("root")).alias("component"))  # a root itself never points on
+    named = cut(labels.join(least, "root").select("k", "component").unionByName(least.select(F.col("root").alias("k"), "component")))
+    discard(labels, *rounds)
+    return named
+
+
+def joined(labels: DataFrame, size: int, links: DataFrame) -> DataFrame:
+    """``(k, component)`` when ``links (a, b)`` come to ``size`` rows of ``labels``: only what they join is labelled anew."""
+    of = lambda c: small(labels.select(F.col("k").alias(c), F.col("component").alias(f"of_{c}")), size)
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    anew = components(between.distinct())
+    moved = anew.select(F.col("k").alias("component"), F.col("component").alias("to"))
+    kept = labels.join(small(moved, anew.count()), "component", "left").select("k", F.coalesce("to", "component").alias("component"))
+    return cut(kept.unionByName(anew.join(labels.select("k"), "k", "left_anti")))
 
 
 def settle(
@@ -59,7 +80,7 @@ def settle(
     """
     spark = members.sparkSession
     labels = spark.range(0).selectExpr("id as k", "id as component")
-    links = tested = spark.range(0).selectExpr("id as a", "id as b")
+    tested = spark.range(0).selectExpr("id as a", "id as b")
     size = 0
     for turn in range(-1, pivot_rounds + 1):
         if turn < 0:
@@ -85,8 +106,7 @@ def settle(
         tested = tested.unionByName(fresh)
         more = cut(verify(fresh))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = joined(labels, size, more) if size else components(more)
             size = labels.count()
     return labels
 
