@@ -1,11 +1,10 @@
 """Links inside buckets, and their connected components, with DataFrame operations only.
 
-A bucket of m vertices has m*m/2 pairs, so only buckets of up to ``FEW`` members are taken pair by pair. In
-larger ones every member is tested against one pivot of its buckets in each of some rounds; what is linked is joined into
-components, and ``settle`` goes on only in buckets whose members still lie in several components. The last round takes all pairs
-across components that no round has tested. A pair inside a component can't change it, so every pair of every
-bucket is settled, by a test or by being connected. That last round emits a pair in the least bucket it shares
-only, and may be given a sharper estimate of similarity to leave out pairs that are clearly apart.
+A bucket of m vertices has m*m/2 pairs. So every member is tested first against one pivot of its buckets in each of some
+rounds; what is linked is joined into components, and ``settle`` goes on only in buckets whose members still lie in several
+components. The last round takes all pairs across components that no round has tested. A pair inside a component
+can't change it, so every pair of every bucket is settled, by a test or by being connected. That last round emits a pair in
+the least bucket it shares only, and may be given a sharper estimate of similarity to leave out pairs that are clearly apart.
 """
 
 from __future__ import annotations
@@ -18,10 +17,6 @@ from pyspark.sql import functions as F
 from .common import cut, discard, small
 
 
-#: Members of a bucket whose pairs are all taken at once.
-FEW = 12
-
-
 def components(links: DataFrame) -> DataFrame:
     """``(k, component)`` for every vertex of ``links (a, b)``: the smallest vertex it reaches.
 
@@ -73,7 +68,7 @@ def settle(
     alike: Callable[[Column, Column], Column] | None = None,
     pivot_rounds: int = 2,
 ) -> DataFrame:
-    """``(k, component)`` of linked vertices, from ``(band, k, mark, m)``, the members of shared buckets and their numbers.
+    """``(k, component)`` of linked vertices, from ``(band, k, mark)``, the members of shared buckets.
 
     ``verify`` keeps the linked of pairs ``(a, b)``, a < b; pairs whose marks aren't ``near`` can't be linked and are
     never emitted. ``sharpen`` gives ``(k, marks)`` for vertices ``(k)``, and ``alike`` tests two marks in the last round.
@@ -82,24 +77,19 @@ def settle(
     labels = spark.range(0).selectExpr("id as k", "id as component")
     tested = spark.range(0).selectExpr("id as a", "id as b")
     size = 0
-    for turn in range(-1, pivot_rounds + 1):
-        if turn < 0:
-            few = members.where(F.col("m") <= FEW)
-            a, b = few.alias("a"), few.alias("b")
-            pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.k") < F.col("b.k")) & near(F.col("a.mark"), F.col("b.mark"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+    for turn in range(pivot_rounds + 1):
+        placed = members.join(small(labels, size), "k", "left").select("band", "k", "mark", F.coalesce("component", "k").alias("component"))
+        pivot = F.min_by(F.struct("k", "mark", "component"), F.xxhash64("k", F.lit(turn))).alias("pivot")
+        mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), pivot).where("c0 < c1").select("band", "pivot")
+        open_rows = cut(placed.join(mixed, "band"))
+        if open_rows.isEmpty():
+            break
+        if turn < pivot_rounds:
+            found = open_rows.where((F.col("component") != F.col("pivot.component")) & near(F.col("mark"), F.col("pivot.mark")))
+            one = found.groupBy("k").agg(F.min_by("pivot.k", F.xxhash64("pivot.k", F.lit(turn))).alias("p"))
+            pairs = one.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
         else:
-            placed = members.join(small(labels, size), "k", "left").select("band", "k", "mark", "m", F.coalesce("component", "k").alias("component"))
-            pivot = F.min_by(F.struct("k", "mark", "component"), F.xxhash64("k", F.lit(turn))).alias("pivot")
-            mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("m").alias("m"), pivot).where(f"c0 < c1 and m > {FEW}").select("band", "pivot")
-            open_rows = cut(placed.drop("m").join(mixed, "band"))
-            if open_rows.isEmpty():
-                break
-            if turn < pivot_rounds:
-                found = open_rows.where((F.col("component") != F.col("pivot.component")) & near(F.col("mark"), F.col("pivot.mark")))
-                one = found.groupBy("k").agg(F.min_by("pivot.k", F.xxhash64("pivot.k", F.lit(turn))).alias("p"))
-                pairs = one.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
-            else:
-                pairs = _all_pairs(open_rows.drop("pivot"), members, near, sharpen, alike)
+            pairs = _all_pairs(open_rows.drop("pivot"), members, near, sharpen, alike)
         fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             continue

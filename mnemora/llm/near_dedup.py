@@ -172,7 +172,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
     classes = cut(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("row").alias("rep"), F.min("k").alias("first")))
     chosen = sets.select(F.col("row").alias("k"), "n", "bands").join(classes.select(F.col("rep").alias("k")), "k", "left_semi")
     banded = cut(chosen.select(F.explode("bands").alias("band"), "k", F.col("n").alias("mark")))
-    members = cut(banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "band"))
+    members = cut(banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band"), "band", "left_semi"))
     discard(banded)
     stored = cut(sets.select(F.col("row").alias("k"), "z").join(members.select("k").distinct(), "k", "left_semi"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
