@@ -1,7 +1,6 @@
 """Links inside buckets, and their connected components, with DataFrame operations only.
 
-A bucket of m vertices has m*m/2 pairs. So every member is tested first against one pivot of its buckets in each of some
-rounds; what is linked is joined into components, and ``settle`` goes on only in buckets whose members still lie in several
+A bucket of m vertices has m*m/2 pairs. So every member is tested first against one pivot of its buckets in each round; what is linked is joined into components, and ``settle`` goes on only in buckets whose members still lie in several
 components. The last round takes all pairs across components that no round has tested. A pair inside a component
 can't change it, so every pair of every bucket is settled, by a test or by being connected. That last round emits a pair in
 the least bucket it shares only, and may be given a sharper estimate of similarity to leave out pairs that are clearly apart.
@@ -66,39 +65,47 @@ def settle(
     near: Callable[[Column, Column], Column],
     sharpen: Callable[[DataFrame], DataFrame] | None = None,
     alike: Callable[[Column, Column], Column] | None = None,
-    pivot_rounds: int = 2,
+    gain: float = 0.02,
 ) -> DataFrame:
     """``(k, component)`` of linked vertices, from ``(band, k, mark)``, the members of shared buckets.
 
     ``verify`` keeps the linked of pairs ``(a, b)``, a < b; pairs whose marks aren't ``near`` can't be linked and are
     never emitted. ``sharpen`` gives ``(k, marks)`` for vertices ``(k)``, and ``alike`` tests two marks in the last round.
+    Rounds of pivots go on while they link more than ``gain`` of the members still open, so that a large group is one
+    component, or nearly, before pairs are taken; this decides when links are found, not which.
     """
     spark = members.sparkSession
     labels = spark.range(0).selectExpr("id as k", "id as component")
     tested = spark.range(0).selectExpr("id as a", "id as b")
-    size = 0
-    for turn in range(pivot_rounds + 1):
+    size = turn = 0
+    pivots = True
+    while True:
         placed = members.join(small(labels, size), "k", "left").select("band", "k", "mark", F.coalesce("component", "k").alias("component"))
         pivot = F.min_by(F.struct("k", "mark", "component"), F.xxhash64("k", F.lit(turn))).alias("pivot")
         mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), pivot).where("c0 < c1").select("band", "pivot")
         open_rows = cut(placed.join(mixed, "band"))
         if open_rows.isEmpty():
-            break
-        if turn < pivot_rounds:
+            return labels
+        if pivots:
             found = open_rows.where((F.col("component") != F.col("pivot.component")) & near(F.col("mark"), F.col("pivot.mark")))
             one = found.groupBy("k").agg(F.min_by("pivot.k", F.xxhash64("pivot.k", F.lit(turn))).alias("p"))
             pairs = one.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
         else:
             pairs = _all_pairs(open_rows.drop("pivot"), members, near, sharpen, alike)
         fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue
-        tested = tested.unionByName(fresh)
-        more = cut(verify(fresh))
-        if not more.isEmpty():
+        linked = 0
+        if not fresh.isEmpty():
+            tested = tested.unionByName(fresh)
+            more = cut(verify(fresh))
+            linked = more.count()
+        if linked:
             labels = joined(labels, size, more) if size else components(more)
             size = labels.count()
-    return labels
+        if not pivots:
+            return labels
+        pivots = linked > gain * open_rows.agg(F.approx_count_distinct("k")).first()[0]
+        discard(open_rows)
+        turn += 1
 
 
 def _all_pairs(rows: DataFrame, members: DataFrame, near, sharpen, alike) -> DataFrame:
