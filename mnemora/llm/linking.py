@@ -1,6 +1,6 @@
 """Links inside buckets, and their connected components, with DataFrame operations only.
 
-A bucket of m vertices has m*m/2 pairs. So every member is tested first against one pivot of its buckets in each round; what is linked is joined into components, and ``settle`` goes on only in buckets whose members still lie in several
+A bucket of m vertices has m*m/2 pairs. So every member is tested first against the pivot of each of its buckets, round by round; what is linked is joined into components, and ``settle`` goes on only in buckets whose members still lie in several
 components. The last round takes all pairs across components that no round has tested. A pair inside a component
 can't change it, so every pair of every bucket is settled, by a test or by being connected. That last round emits a pair in
 the least bucket it shares only, and may be given a sharper estimate of similarity to leave out pairs that are clearly apart.
@@ -88,8 +88,7 @@ def settle(
             return labels
         if pivots:
             found = open_rows.where((F.col("component") != F.col("pivot.component")) & near(F.col("mark"), F.col("pivot.mark")))
-            one = found.groupBy("k").agg(F.min_by("pivot.k", F.xxhash64("pivot.k", F.lit(turn))).alias("p"))
-            pairs = one.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
+            pairs = found.select(F.least("k", "pivot.k").alias("a"), F.greatest("k", "pivot.k").alias("b"))
         else:
             pairs = _all_pairs(open_rows.drop("pivot"), members, near, sharpen, alike)
         fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
