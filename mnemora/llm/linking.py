@@ -88,10 +88,12 @@ def settle(
             return labels
         if pivots:
             found = open_rows.where((F.col("component") != F.col("pivot.component")) & near(F.col("mark"), F.col("pivot.mark")))
-            pairs = found.select(F.least("k", "pivot.k").alias("a"), F.greatest("k", "pivot.k").alias("b"))
+            # of the pivots that are one component already a member meets one
+            met = found.groupBy("k", "pivot.component").agg(F.min_by("pivot.k", F.xxhash64("pivot.k", F.lit(turn))).alias("p"))
+            pairs = met.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
         else:
             pairs = _all_pairs(open_rows.drop("pivot"), members, near, sharpen, alike)
-        fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti") if turn else pairs.distinct())
         linked = 0
         if not fresh.isEmpty():
             tested = tested.unionByName(fresh)
