@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, exact_dedup, html_extract, line_dedup, media, near_dedup, packing, quality, substring_dedup
+from . import byte_bpe, class_lm, divergence, exact_dedup, html_extract, line_dedup, media, near_dedup, packing, quality, substring_dedup
 from .common import SPACE, table
 
 
@@ -71,6 +71,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every source what sets it apart from its language's others, and by which terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -78,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op4_class_lm, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op8_byte_bpe, op9_media_columns, op10_line_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_quality_classifier, op4_class_lm, op5_substring_dedup, op6_near_dedup, op7_exact_dedup, op8_byte_bpe, op9_media_columns, op10_line_dedup, op11_source_divergence, pipeline)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
@@ -86,4 +91,5 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)
     """,
+    "op11_source_divergence": divergence.SQL,
 }
