@@ -26,13 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import SMALL_BYTES, cut, small
 
 #: Runs of ASCII letters and of everything beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS, SCALE, TOP_TERMS = 10, 1_000_000_000, 10
 SALTS = 64
 
+#: Bytes counted for a row of the groups when a broadcast is decided.
+GROUP_BYTES = 64
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,8 +66,8 @@ def divergence(p: Column, q: Column) -> Column:
 
 def _densified(groups: DataFrame, kept: DataFrame, n_groups: int) -> DataFrame:
     """Every group with every kept term of its language."""
-    if n_groups * 64 <= 16 << 20:
-        return kept.join(small(groups, n_groups, 64), "lang")
+    if n_groups * GROUP_BYTES <= SMALL_BYTES:
+        return kept.join(small(groups, n_groups, GROUP_BYTES), "lang")
     spread = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(spread, ["lang", "salt"]).drop("salt")
 
@@ -99,7 +102,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     zeros = bare.join(bare.withColumnRenamed("source", "other"), "lang").where("source <> other").withColumn("value", F.lit(0).cast("long"))
     pairs = both.unionByName(zeros).select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value")
 
-    spoken = own.join(small(groups.where("v > 0"), n_groups, 64), ["lang", "source"]).select(
+    spoken = own.join(small(groups.where("v > 0"), n_groups, GROUP_BYTES), ["lang", "source"]).select(
         "lang", "source", "term", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("v")).alias("q")
     )
     distinct = spoken.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
