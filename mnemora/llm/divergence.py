@@ -1,8 +1,7 @@
 """Source divergence audit: how the words of a source differ from those of its language's other sources.
 
-1. A text's terms are its matches of a pattern, in lower case (A to Z alone). They are sorted within the row, so
-   that one explode gives both what is counted: a term's occurrences, and the documents that have it (its first place in
-   the sorted array). Counts meet by (lang, source, term), summed by each task before they are shuffled.
+1. A text's terms are its matches of a pattern, in lower case (A to Z alone). Tasks count by (lang, source, term) how often terms
+   occur and how many documents have them, and send sums; these meet by (lang, source, term).
 2. A language keeps the terms that enough of its documents have.
 3. Groups cross with the kept terms of their language, so that a term that a group lacks is a zero there; each
    gives a smoothed share in billionths.
@@ -23,33 +22,59 @@ of value 0 and no terms; a language of one source has no pairs; an empty table g
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BYTES, cut, small
+from .common import SMALL_BYTES, column, column_bytes, cut, small
 
-#: Runs of ASCII letters and of everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Runs of ASCII letters and of everything beyond ASCII, as bytes of UTF-8.
+TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS, SCALE, TOP_TERMS = 10, 1_000_000_000, 10
+HELD = 400_000
 SALTS = 64
 
 #: Bytes counted for a row of the groups when a broadcast is decided.
 GROUP_BYTES = 64
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
 
+def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", pattern: bytes = TERM) -> DataFrame:
+    """``(lang, source, term, n, d)``: occurrences and documents of each term; a row with an empty term stands for each group.
 
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", pattern: str = TERM) -> DataFrame:
-    """``(lang, source, term, n, d)``: occurrences and documents of each term; a row with an empty term stands for each group."""
+    Tasks match and sum whole texts; what they hold is sent on whenever it has ``HELD`` entries.
+    """
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, lang_col, source_col))
-    found = F.sort_array(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(pattern), F.lit(0)))
-    # the empty string comes first in the order and is no term: every group has a row
-    # the explode of one array keeps it as a column: inlined into the lambda below it would be made anew for each element
-    rows = docs.select(lang.alias("lang"), source.alias("source"), F.explode(F.array(F.concat(F.array(F.lit("")), found))).alias("terms"))
-    # structs are made before the explode, which would copy a whole array to each of its rows
-    marked = F.transform("terms", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get("terms", i - 1) != x), 1).otherwise(0).alias("first")))
-    placed = rows.select("lang", "source", marked.alias("marked")).select("lang", "source", F.inline("marked"))
-    return placed.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("d"))
+    rows = docs.select(lang.alias("lang"), source.alias("source"), text.alias("text"))
+    names = ["lang", "source", "term", "n", "d"]
+
+    def run(batches):
+        match = re.compile(pattern).findall
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def sent():
+            for (of_lang, of_source), (n, d) in held.items():
+                terms = list(n)
+                columns = [pa.array([of_lang] * len(terms)), pa.array([of_source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([n[t] for t in terms], pa.int64()), pa.array([d[t] for t in terms], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            held.clear()
+
+        for batch in batches:
+            for of_lang, of_source, one in zip(column(batch, "lang").to_pylist(), column(batch, "source").to_pylist(), column_bytes(batch, "text")):
+                found = match(one.translate(_LOWER))
+                n, d = held.setdefault((of_lang, of_source), (Counter({b"": 1}), Counter({b"": 1})))
+                n.update(found)
+                d.update(set(found))
+            if sum(len(n) for n, _ in held.values()) > HELD:
+                yield from sent()
+        yield from sent()
+
+    counted = rows.mapInArrow(run, "lang string, source string, term string, n long, d long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -72,7 +97,7 @@ def _densified(groups: DataFrame, kept: DataFrame, n_groups: int) -> DataFrame:
     return kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(spread, ["lang", "salt"]).drop("salt")
 
 
-def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_documents: int = LEAST_DOCUMENTS, top_terms: int = TOP_TERMS, pattern: str = TERM) -> DataFrame:
+def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_documents: int = LEAST_DOCUMENTS, top_terms: int = TOP_TERMS, pattern: bytes = TERM) -> DataFrame:
     """``(lang, source, part, item, value, rank)``.
 
     Part ``pair``: every other source of the language with the divergence of the two summed over the kept terms.
