@@ -254,7 +254,7 @@ def d_slack_mrkdwn(t):
     mention = F.when(F.col("role") == "user", "<@U_ANN>").otherwise("<@U_OTHER>")
     raw = F.concat(F.lit("*"), F.col("role"), F.lit("* ~old~ <https://x.org|"), F.col("role"), F.lit("> <https://y.org> "), mention, F.lit(" <@U_BOB|bob> <#C_OPS|ops> <!here> a &amp; b &lt;3 :thumbsup: :nosuch:\n> q\nafter"))
     names = F.create_map(F.lit("U_ANN"), F.lit("Ann Lee"))
-    return t.conversations.select("conv_id", "turn", flows.to_markdown(raw, names).alias("md"))
+    return t.conversations.select("conv_id", "turn", flows.to_markdown(raw, names, F.create_map(F.lit("thumbsup"), F.lit("👍"))).alias("md"))
 
 
 # ---- scalar functions

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from mnemora.plans import flow_queries, incremental_queries, registry, relational_queries, search_queries, source_queries  # noqa: F401
+from mnemora.plans import extension_queries, flow_queries, incremental_queries, registry, relational_queries, search_queries, source_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
