@@ -7,6 +7,11 @@ is its unlinked text and its punctuation for each leaf. Ratios are smoothed over
 a Gaussian over neighbouring blocks, the text and the punctuation ratio are fused, and paths
 over a threshold (a share of the page's spread) hold the content. That a page names its main
 element is a prior: blocks outside it count ``OUTSIDE`` of their fused ratio, and all must pass the threshold.
+
+Paths are judged with the path that encloses them: where running text (paths whose ratio is the page's mean or more) lies
+directly in a container, the container is a region, and its short blocks (lists, tables, verse, code, headings) are content as the text
+around them is. In the page's main element a region holds all below it, elsewhere what its lists, tables and the like hold. Lists of
+links outside regions are left out.
 Elements that are not content by name, role or a whole class name are left out, unless they wrap
 the main element or, on a page that names none, most of the unlinked text.
 
@@ -44,6 +49,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _CLOSES_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _STOPS = frozenset("ul ol dl table article section main div".split())
+#: Elements that part a text without being parts of a page.
+_TEXT_PARTS = frozenset("p ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption h1 h2 h3 h4 h5 h6 hr address details summary".split())
 _DROPPED = frozenset("nav footer aside form head button menu dialog".split())
 _HIDDEN = frozenset("head svg math template select object canvas datalist".split())
 #: Elements whose content is text up to their own end tag, and never the page's.
@@ -302,7 +309,8 @@ def _smooth(values: list[float], sigma: float = 1.0) -> list[float]:
 
 def main_text(page: str, share: float = 0.5, link_share: float = 0.6) -> str:
     """The content blocks of one page in their order, joined by an empty line."""
-    blocks = Blocks(page).found
+    parsed = Blocks(page)
+    blocks = parsed.found
     named = any(b[3] for b in blocks)
     paths: dict[int, list[float]] = {}
     for path, text, linked, _ in blocks:
@@ -320,7 +328,21 @@ def main_text(page: str, share: float = 0.5, link_share: float = 0.6) -> str:
     spread = math.sqrt(sum((v - mean) ** 2 for v in ratios.values()) / max(1, len(ratios)))
     least = share * min(spread, mean) if len(ratios) > 1 else 0.0
     chosen = {p for p, v in ratios.items() if v >= least} - linked_lists
-    return "\n\n".join(b[1] for b in blocks if b[0] in chosen)
+    around = {path: (parent, step.partition(".")[0]) for (parent, step), path in parsed.paths.items()}
+    regions = {around[p][0] for p in chosen if p in around and ratios[p] >= mean}
+    held: dict[tuple[int, bool], bool] = {}
+
+    def in_region(path: int, inside: bool) -> bool:
+        """Whether the path or one around it is a region, reached through any element in the main one, else through parts of text alone."""
+        if (path, inside) not in held:
+            parent, tag = around.get(path, (0, ""))
+            held[path, inside] = path in regions or path != 0 and (inside or tag in _TEXT_PARTS) and in_region(parent, inside)
+        return held[path, inside]
+
+    # outer paths have smaller numbers, so that none is asked for before the one around it
+    for path, (_, _) in sorted(around.items()):
+        in_region(path, True), in_region(path, False)
+    return "\n\n".join(b[1] for b in blocks if b[0] in chosen or in_region(b[0], b[3]))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -113,11 +113,46 @@ def test_html_without_named_main():
     assert text.count("Sentence") == 6 and "Home" not in text
 
 
-def test_html_ratios_decide_inside_the_main_element():
-    body = "".join(f"<p>Sentence {i}, with several words and marks; it goes on for a while, as text does.</p>" for i in range(8))
-    tools = "".join(f"<div class=tool>Tool {i}</div>" for i in range(12))
-    text = html_extract.main_text(f"<html><body><article><h1>Title of it</h1>{body}{tools}</article></body></html>")
-    assert text.startswith("Title of it\n\nSentence 0") and text.count("Sentence") == 8 and "Tool" not in text
+LONG = "".join(f"<p>Sentence {i}, with several words and marks; it goes on for a while, as text does.</p>" for i in range(8))
+#: Parts of an article in short blocks, with how often each holds its word.
+SHORT_PARTS = {
+    "list": ("<h2>Ingredients</h2><ul>" + "".join(f"<li>{k} unit eggs</li>" for k in range(12)) + "</ul>", 12),
+    "table": ("<table>" + "".join(f"<tr><td>unit {k}</td><td>unit {k * k}</td></tr>" for k in range(12)) + "</table>", 24),
+    "references": ("<h2>References</h2><ul>" + "".join(f'<li><a href="x{k}">unit {k}</a></li>' for k in range(5)) + "</ul>", 5),
+    "verse": ("".join(f"<div class=line>a unit of verse {k}</div>" for k in range(12)), 12),
+    "code": ("".join(f"<pre>unit({k})</pre>" for k in range(6)), 6),
+    "headings": ("".join(f"<h3>Unit part {k}, unit</h3><p>Yes.</p>" for k in range(3)), 3),
+}
+
+
+@pytest.mark.parametrize("part", SHORT_PARTS)
+def test_html_short_parts_of_an_article_stay(part):
+    markup, n = SHORT_PARTS[part]
+    for page in (f"<article><h1>Title of it</h1>{LONG}{markup}</article>", f"<article><h1>Title of it</h1>{markup}{LONG}</article>", f"<main>{LONG[: len(LONG) // 16 * 8]}{markup}{LONG}</main>"):
+        text = html_extract.main_text(f"<html><body>{page}</body></html>")
+        assert text.count("unit") + text.count("Unit part") - (n if part == "headings" else 0) == n, part
+    for k in (0, 1):
+        if part not in ("verse",):  # without a main element lines in boxes of their own are no parts of the text
+            text = html_extract.main_text(f"<html><body><div class=text>{LONG if k else ''}{markup}{'' if k else LONG}</div></body></html>")
+            assert text.count("unit") == n, part
+
+
+def chrome(kind, k):
+    """What surrounds an article and is named by nothing that tells it."""
+    boxes = {
+        "tools": "".join(f"<div class=t{k}>Tool {i}</div>" for i in range(12)), "links": "<ul class=x>" + "".join(f"<li><a href=a{i}>Place {i}</a></li>" for i in range(9)) + "</ul>",
+        "labels": "".join(f"<div class=box><span class=z>Label {i}</span> of {i}</div>" for i in range(6)), "dates": "".join(f"<div class=d{k}><b>{i} May</b></div>" for i in range(5)),
+    }
+    return boxes[kind]
+
+
+def test_html_ratios_decide_outside_the_text():
+    """Hand-written pages whose chrome has no telling names: the ratios alone leave it out, and keep the text whole."""
+    for k, kind in enumerate(("tools", "links", "labels", "dates")):
+        box = chrome(kind, k)
+        for page in (f"{box}<div class=body>{LONG}</div>", f"<div class=body>{LONG}</div>{box}", f"<div class=a><section class=s>{LONG}</section></div><div class=b>{box}</div>", f"<article>{LONG}</article><div class=c>{box}</div>"):
+            text = html_extract.main_text(f"<html><body>{page}</body></html>")
+            assert text.count("Sentence") == 8 and text == "\n\n".join(x for x in text.split("\n\n") if x.startswith("Sentence")), (kind, page[:40])
 
 
 def test_html_wrappers_of_the_main_part_stay():
@@ -177,7 +212,18 @@ def test_html_ratios_of_every_page(spark, sf_dir):
         ratios = {p: sum(fused[n] for n in ns) / len(ns) for p, ns in by.items()}
         values = list(ratios.values())
         least = 0.5 * min(np.std(values), np.mean(values)) if len(values) > 1 else 0
-        kept = [b[1] for b in blocks if ratios[b[0]] >= least and size(by[b[0]], lambda b: b[2]) <= 0.6 * size(by[b[0]], lambda b: len(b[1]))]
+        passes = {p for p in by if ratios[p] >= least and size(by[p], lambda b: b[2]) <= 0.6 * size(by[p], lambda b: len(b[1]))}
+        parent = {path: (up, step.split(".")[0]) for (up, step), path in html_extract.Blocks(page).paths.items()}
+        regions = {parent[p][0] for p in passes if p in parent and ratios[p] >= np.mean(values)}
+
+        def region(path, inside):
+            while path not in regions:
+                if path not in parent or not (inside or parent[path][1] in html_extract._TEXT_PARTS):
+                    return False
+                path = parent[path][0]
+            return True
+
+        kept = [b[1] for b in blocks if b[0] in passes or region(b[0], b[3])]
         assert html_extract.main_text(page) == "\n\n".join(kept)
         decided += len(kept) < len(blocks)
     print(f"on {decided} of {len(pages)} pages the ratios leave blocks out")
