@@ -76,6 +76,15 @@ def shred_blocks(conversations: DataFrame, key: str, messages: str) -> DataFrame
     return each.select(key, "message_index", F.col("m.uuid").alias("message_uuid"), F.col("m.sender").alias("sender"), F.posexplode_outer("m.content").alias("block_index", "b")).select(key, "message_index", "message_uuid", "sender", "block_index", F.col("b.type").alias("type"), F.col("b.text").alias("text"))
 
 
+def shred_attachments(conversations: DataFrame, key: str, messages: str) -> DataFrame:
+    """A row for each attachment, then each file, of each message of a JSON array, in one running index; messages without a uuid are left out."""
+    each = conversations.select(key, F.explode(F.from_json(messages, "array<struct<uuid:string,attachments:array<variant>,files:array<variant>>>")).alias("m")).where("m.uuid is not null")
+    kind = lambda name, label: F.transform(F.coalesce(F.col(f"m.{name}"), F.array().cast("array<variant>")), lambda v: F.struct(F.lit(label).alias("kind"), v.alias("payload")))
+    both = F.concat(kind("attachments", "attachment"), kind("files", "file"))
+    placed = each.select(key, F.col("m.uuid").alias("message_uuid"), F.posexplode(both).alias("attachment_index", "a"))
+    return placed.select(key, "message_uuid", "attachment_index", F.col("a.kind").alias("kind"), F.to_json("a.payload").alias("payload"))
+
+
 def children(blocks: DataFrame, key: str, payload: str) -> DataFrame:
     """Child ids of a JSON payload's ``content`` array."""
     return blocks.select(key, F.explode(F.from_json(F.get_json_object(payload, "$.content"), "array<string>")).alias("child"))
@@ -123,6 +132,14 @@ def split_quoted(body: Column) -> Column:
     return F.when(F.regexp_replace(own, r"\s+", "") == "", body).otherwise(own)
 
 
+def quoted_part(body: Column) -> Column:
+    """What ``split_quoted`` leaves out of a mail, from the attribution or the first quoted line on; empty where all is the mail's own."""
+    plain = F.replace(body, F.lit("\r\n"), F.lit("\n"))
+    own = split_quoted(body)
+    rest = F.substring(plain, F.length(own) + 1, F.length(plain))
+    return F.when(own == plain, "").otherwise(F.regexp_replace(rest, r"\A\n", ""))
+
+
 #: What opens, parts and closes a marked region of an assistant's text.
 REGION_OPENS, REGION_PARTS, REGION_CLOSES = "\ue200", "\ue202", "\ue201"
 
@@ -282,6 +299,42 @@ def review_timeline(reviews: DataFrame, general: DataFrame, inline: DataFrame) -
     return both.withColumn("place", (F.row_number().over(Window.partitionBy("request").orderBy(*order)) - 1).cast("long"))
 
 
+def discussions(notes: DataFrame) -> DataFrame:
+    """Notes ``(request, discussion, id, at, system)`` with ``discussion_index``, ``note_index`` and ``kind``.
+
+    Discussions are in the order of their first note's time, notes in theirs. A discussion whose first note the system wrote is an event and
+    not a thread; a system note inside a thread keeps its place. A note without a discussion is one of its own.
+    """
+    owned = notes.withColumn("discussion", F.coalesce(F.col("discussion").cast("string"), F.concat(F.lit("note-"), F.col("id").cast("string"))))
+    heads = owned.groupBy("request", "discussion").agg(F.min(F.struct("at", "id", "system")).alias("head"))
+    ordered = heads.withColumn("discussion_index", F.row_number().over(Window.partitionBy("request").orderBy("head.at", "head.id")) - 1)
+    placed = owned.join(ordered, ["request", "discussion"])
+    index = F.row_number().over(Window.partitionBy("request", "discussion").orderBy("at", "id")) - 1
+    kind = F.when(F.col("head.system"), "event").when(F.col("system"), "system note").when((F.col("at") == F.col("head.at")) & (F.col("id") == F.col("head.id")), "thread").otherwise("reply")
+    return placed.select(*notes.columns, "discussion_index", index.alias("note_index"), kind.alias("kind"))
+
+
+def space_periods(messages: DataFrame, period: str = "month") -> DataFrame:
+    """A document for each room and period of ``messages (space, sender, at_ms, text)``: counts, who wrote, first and last time, and whether it is a direct chat.
+
+    A room is direct where no more than two ever wrote in it.
+    """
+    writers = messages.groupBy("space").agg(F.countDistinct("sender").alias("writers"))
+    by = messages.withColumn("period", period_key(F.col("at_ms"), period)).groupBy("space", "period")
+    documents = by.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sender").alias("senders"), F.min("at_ms").alias("first_ms"), F.max("at_ms").alias("last_ms"))
+    return documents.join(writers, "space").withColumn("direct", F.col("writers") <= 2).drop("writers")
+
+
+def post_key(link: Column, position: Column) -> Column:
+    """A post's key: the name (URN) that its link states, plain or percent-encoded, else the link without query and end slash, else its place."""
+    plain = F.url_decode(F.replace(F.regexp_replace(link, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+    urn = F.regexp_extract(plain, r"urn:li:[A-Za-z]+:[0-9]+", 0)
+    numbered = F.regexp_extract(plain, r"-(activity|share|ugcPost)-([0-9]+)", 2)
+    kind = F.regexp_extract(plain, r"-(activity|share|ugcPost)-([0-9]+)", 1)
+    bare = F.regexp_replace(F.regexp_replace(link, r"[?#].*$", ""), "/+$", "")
+    return F.when(urn != "", urn).when(numbered != "", F.concat(F.lit("urn:li:"), kind, F.lit(":"), numbered)).when(bare != "", bare).otherwise(F.concat(F.lit("position:"), position.cast("string")))
+
+
 def contact_text(display: Column, key: Column, fields: Column) -> Column:
     """A contact's search text: its name (its id where it has none), then the value of every field on a line of its own."""
     title = F.coalesce(F.nullif(F.trim(display), F.lit("")), key)

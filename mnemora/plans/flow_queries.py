@@ -72,6 +72,14 @@ def d_split_quoted(t):
     return t.documents.select("doc_id", flows.split_quoted(F.concat(F.coalesce("text", F.lit("")), tail)).alias("own"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'On Monday someone wrote:' || chr(10) ELSE '' END || '> old' || chr(10) || '> words' AS quoted FROM documents WHERE trim(replace(replace(coalesce(text, ''), chr(10), ''), chr(9), '')) <> ''")
+def d_quoted_part(t):
+    """What a mail quotes, with line ends as mails have them."""
+    tail = F.concat(F.when(F.col("doc_id") % 2 == 0, "\r\nOn Monday someone wrote:").otherwise(""), F.lit("\r\n> old\r\n> words"))
+    own = t.documents.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\t]", "")) != "")
+    return own.select("doc_id", flows.quoted_part(F.concat(F.coalesce("text", F.lit("")), tail)).alias("quoted"))
+
+
 @query("SELECT r_regionkey * 1000 AS id, r_name AS path FROM region UNION ALL SELECT n_nationkey, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def d_mailbox_paths(t):
     nodes = t.region.select((F.col("r_regionkey") * 1000).cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.col("r_name").alias("name")).unionByName(t.nation.select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") * 1000).cast("long").alias("parent_id"), F.col("n_name").alias("name")).where("id > 0 or parent_id >= 0"))
@@ -93,7 +101,7 @@ def d_notion_children(t):
 
 @query(
     """
-    WITH n AS (SELECT l_orderkey AS request, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_shipdate AS sent, l_returnflag, l_linestatus AS path, l_quantity::BIGINT AS line, l_linenumber FROM lineitem),
+    WITH n AS (SELECT l_orderkey AS request, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_shipdate AS sent, l_returnflag, l_linestatus AS path, l_quantity::BIGINT AS line, l_linenumber FROM lineitem),
     i AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN id - 1 END AS reply_to FROM n WHERE l_returnflag = 'R'),
     p AS (SELECT i.request, i.id, i.sent, CASE WHEN u.id IS NULL THEN i.path ELSE u.path END AS path, CASE WHEN u.id IS NULL THEN i.line ELSE u.line END AS line, coalesce(i.reply_to, i.id) AS thread FROM i LEFT JOIN i u ON u.id = i.reply_to),
     b AS (SELECT request, id, sent, 1 AS section, NULL AS path, NULL AS line, NULL AS thread FROM n WHERE l_returnflag = 'A' UNION ALL SELECT request, id, sent, 0, NULL, NULL, NULL FROM n WHERE l_returnflag = 'N' UNION ALL SELECT request, id, sent, 2, path, line, thread FROM p)
@@ -101,17 +109,39 @@ def d_notion_children(t):
     """
 )
 def d_github_pr(t):
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    numbered = t.lineitem.orderBy(*order).withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long"))  # the driver table has no key of its own
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    numbered = t.lineitem.withColumn("id", F.col("l_orderkey") * 1000 + F.row_number().over(own))  # the driver table has no key of its own
     notes = numbered.select(F.col("l_orderkey").alias("request"), "id", F.col("l_shipdate").alias("at"), F.col("l_suppkey").alias("author"), F.lit("").alias("body"), "l_returnflag", F.col("l_linestatus").alias("path"), F.col("l_quantity").cast("long").alias("line"), F.when(F.col("l_linenumber") % 2 == 0, F.col("id") - 1).alias("reply_to"))
     kind = lambda flag: notes.where(F.col("l_returnflag") == flag)
     return flows.review_timeline(kind("N"), kind("A"), kind("R")).select("request", "id", "section", "path", "line", "place")
 
 
-@query("SELECT conv_id, k AS note_index FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), generate_series(0, 200) s(k) WHERE k < n")
+@query(
+    """
+    WITH n AS (SELECT l_orderkey AS request, l_shipdate AS sent, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_linestatus = 'F' AND l_linenumber > 3 AS sys, CASE WHEN l_linenumber <> 7 THEN l_partkey % 2 END AS d FROM lineitem),
+    o AS (SELECT *, coalesce(d::VARCHAR, 'note-' || id) AS e FROM n), h AS (SELECT request, e, min(sent) AS first_at, arg_min(id, (sent, id)) AS first_id, arg_min(sys, (sent, id)) AS first_sys FROM o GROUP BY 1, 2),
+    x AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY first_at, first_id) - 1 AS discussion_index FROM h)
+    SELECT request, id, discussion_index, row_number() OVER (PARTITION BY o.request, o.e ORDER BY sent, id) - 1 AS note_index,
+           CASE WHEN first_sys THEN 'event' WHEN sys THEN 'system note' WHEN id = first_id THEN 'thread' ELSE 'reply' END AS kind FROM o JOIN x USING (request, e)
+    """
+)
 def d_gitlab_mr(t):
-    notes = t.conversations.groupBy("conv_id").agg(F.collect_list("turn").alias("notes"))
-    return notes.select("conv_id", F.posexplode("notes").alias("note_index", "x")).select("conv_id", F.col("note_index").cast("long").alias("note_index"))
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    notes = t.lineitem.select(
+        F.col("l_orderkey").alias("request"), F.when(F.col("l_linenumber") != 7, F.col("l_partkey") % 2).alias("discussion"), (F.col("l_orderkey") * 1000 + F.row_number().over(own)).alias("id"), F.col("l_shipdate").alias("at"),
+        ((F.col("l_linestatus") == "F") & (F.col("l_linenumber") > 3)).alias("system"),
+    )
+    return flows.discussions(notes).select("request", "id", F.col("discussion_index").cast("long").alias("discussion_index"), F.col("note_index").cast("long").alias("note_index"), "kind")
+
+
+@query("SELECT conv_id, conv_id || '-' || turn AS message_uuid, a AS attachment_index, CASE WHEN a < turn % 3 THEN 'attachment' ELSE 'file' END AS kind, CASE WHEN a < turn % 3 THEN 'att ' || a ELSE 'file ' || (a - turn % 3) END AS name FROM conversations, (VALUES (0), (1), (2), (3)) v(a) WHERE a < turn % 3 + conv_id % 3")
+def d_shred_attachments(t):
+    """Attachments and files of messages in one running index."""
+    named = lambda label, n: F.transform(F.filter(F.array(*map(F.lit, range(3))), lambda i: i < n), lambda i: F.struct(F.concat(F.lit(label), i.cast("string")).alias("name")))
+    message = F.struct(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("uuid"), named("att ", F.col("turn") % 3).alias("attachments"), named("file ", F.col("conv_id") % 3).alias("files"))
+    chats = t.conversations.groupBy("conv_id").agg(F.to_json(F.collect_list(message)).alias("messages"))
+    found = flows.shred_attachments(chats, "conv_id", "messages")
+    return found.select("conv_id", "message_uuid", "attachment_index", "kind", F.get_json_object("payload", "$.name").alias("name"))
 
 
 @query(f"WITH {READINGS_SQL} SELECT event_id, strftime(make_timestamp((ts_ms - 1710000000000) * 1000), '%Y-%m') AS month, strftime(make_timestamp((ts_ms - 1710000000000) * 1000), '%Y-%m-%d') AS day, strftime(make_timestamp(ts_ms * 1000), '%Y') AS year FROM readings")
@@ -147,15 +177,33 @@ def d_voice_channel(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.col("l_suppkey").cast("string")).alias("m")).select("l_orderkey", flows.channel_key(F.col("m")).alias("channel"))
 
 
-@query("SELECT user_id AS space, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY 1, 2")
+@query(
+    f"""
+    WITH {READINGS_SQL}, m AS (SELECT device AS space, 'w' || (event_id % (length(device) - 6)) AS sender, ts_ms, strftime(make_timestamp(ts_ms * 1000), '%Y-%m') AS period FROM readings),
+    w AS (SELECT space, count(DISTINCT sender) AS writers FROM m GROUP BY 1)
+    SELECT space, period, count(*) AS n, count(DISTINCT sender) AS senders, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, any_value(writers) <= 2 AS direct FROM m JOIN w USING (space) GROUP BY 1, 2
+    """
+)
 def d_takeout_chat(t):
-    return t.events.groupBy(F.col("user_id").alias("space"), F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    sender = F.concat(F.lit("w"), (F.col("event_id") % (F.length("device") - 6)).cast("string"))
+    messages = readings(t).select(F.col("device").alias("space"), sender.alias("sender"), F.col("ts_ms").alias("at_ms"), F.col("metric").alias("text"))
+    return flows.space_periods(messages)
 
 
-@query("SELECT coalesce(s.k, c.k) AS k, coalesce(s.at, c.first_at) AS at, coalesce(c.n, 0) AS n_comments FROM (SELECT o_orderkey AS k, o_orderdate AS at FROM orders WHERE o_orderkey % 2 = 0) s FULL JOIN (SELECT l_orderkey AS k, min(l_shipdate) AS first_at, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) c ON s.k = c.k")
+@query(
+    "WITH s AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'position:' || o_orderkey ELSE 'urn:li:' || CASE WHEN o_orderkey % 3 = 1 THEN 'share' ELSE 'activity' END || ':' || o_orderkey END AS k, o_orderdate AS at FROM orders WHERE o_orderkey % 2 = 0), "
+    "c AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'https://x.org/p/' || l_orderkey ELSE 'urn:li:' || CASE WHEN l_orderkey % 3 = 1 THEN 'share' ELSE 'activity' END || ':' || l_orderkey END AS k, min(l_shipdate) AS first_at, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) "
+    "SELECT coalesce(s.k, c.k) AS k, coalesce(s.at, c.first_at) AS at, coalesce(c.n, 0) AS n_comments FROM s FULL JOIN c ON s.k = c.k"
+)
 def d_linkedin_posts(t):
-    shares = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("text"))
-    comments = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").alias("at"), F.col("l_linestatus").alias("text"))
+    def link(k, other):
+        text = k.cast("string")
+        return F.when(k % 3 == 1, F.concat(F.lit("https://x.org/feed/update/urn%3Ali%3Ashare%3A"), text, F.lit("/?a=1"))).when(k % 3 == 2, F.concat(F.lit("https://x.org/posts/some-words-activity-"), text, F.lit("-Ab_c"))).otherwise(other)
+
+    o, l = F.col("o_orderkey"), F.col("l_orderkey")
+    shares = t.orders.where("o_orderkey % 2 = 0").select(flows.post_key(link(o, None), o).alias("k"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("text"))
+    stated = link(l, F.concat(F.lit("https://x.org/p/"), l.cast("string"), F.lit("/?q=1#top")))
+    comments = t.lineitem.where("l_returnflag = 'R'").select(flows.post_key(stated, l).alias("k"), F.col("l_shipdate").alias("at"), F.col("l_linestatus").alias("text"))
     return flows.merged_threads(shares, comments, "k").select("k", "at", "n_comments")
 
 

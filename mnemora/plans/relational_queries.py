@@ -460,9 +460,18 @@ def resume_file(t):
     return f.join(seen, ["path", "size"], "left_anti").select("path")
 
 
-@query("SELECT sha256(text) AS hash, min(doc_id) AS first_id FROM documents GROUP BY 1")
+@query("SELECT sha256(text) AS hash, min(doc_id) AS first_id, any_value(octet_length(encode(text)))::BIGINT AS size FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) GROUP BY 1")
 def cas_put(t):
-    return t.documents.groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("first_id"))
+    """Contents that a store hasn't got, each once."""
+    stored = t.documents.where("doc_id % 3 = 0 and text is not null").select(F.sha2("text", 256).alias("hash"))
+    fresh, _ = fs.put(t.documents.select("doc_id", "text"), stored, "doc_id", "text")
+    return fresh.select("hash", F.col("first_owner").alias("first_id"), F.col("size").cast("long").alias("size"))
+
+
+@query("SELECT DISTINCT doc_id AS owner, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
+def cas_edges(t):
+    """Who holds which content."""
+    return fs.put(t.documents.select("doc_id", "text"), t.documents.limit(0).select(F.sha2("text", 256).alias("hash")), "doc_id", "text")[1]
 
 
 @query("SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN NULL ELSE sha256(d.text) END AS hash, CASE WHEN l.toxic = 1 THEN 'refused' END AS error FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemora.durable import shared_dir
 from mnemora.plans.registry import query
 from mnemora.plans.views import GRID_SQL, chat_grid
-from mnemora.sources import readers
+from mnemora.sources import readers, tei
 
 
 def _folder(t) -> str:
@@ -46,17 +46,30 @@ def src_jsonl_latest(t):
     return readers.jsonl_latest(t.spark, f"{root}/created", f"{root}/updated", ["id"], "id long, v string")
 
 
+def _renamed(t, root: str, name: str) -> str:
+    """The files that Spark wrote below the folders of ``root``, each under ``name`` in its folder, as an export has them."""
+    jvm = t.spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/*/part-*")
+    store = at.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    for k, status in enumerate(store.globStatus(at)):
+        path = status.getPath()
+        store.rename(path, jvm.org.apache.hadoop.fs.Path(path.getParent(), name.format(k)))
+    return root
+
+
 @query(f"WITH {GRID_SQL} SELECT markdown_uuid, 'first' AS source_name, count(*) AS n, count(DISTINCT uuid) AS n_uuids FROM grid GROUP BY 1")
 def src_sidecars(t):
     root = _folder(t)
     rows = chat_grid(t).select("markdown_uuid", "uuid", "kind", "text", "when_ts_utc")
     listed = rows.groupBy("markdown_uuid").agg(F.collect_list(F.struct("uuid", "kind", "text")).alias("rows"))
-    files = listed.select(F.to_json(F.struct("markdown_uuid", "rows")).alias("value"))
-    _lines(files, f"{root}/first/rendered_md/all.grid_rows.json")
-    _lines(files.limit(1), f"{root}/first/rendered_md/system/own.grid_rows.json")
-    read = t.spark.read.schema("markdown_uuid string, rows array<struct<uuid:string>>").option("recursiveFileLookup", True).json(root)
-    path = F.col("_metadata.file_path")
-    own = read.select("*", path.alias("path")).where(~F.col("path").contains("/system/")).withColumn("source_name", F.regexp_extract("path", r"([^/]+)/rendered_md/", 1))
+    document = F.to_json(F.struct("markdown_uuid", "rows"))
+    bucket = F.floor(F.regexp_extract("markdown_uuid", "([0-9]+)$", 1).cast("long") / 50)  # a file holds few documents, however many there are
+    files = listed.groupBy(bucket.alias("bucket")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(document), ",\n"), F.lit("\n]")).alias("value"))
+    files.repartition("bucket").write.partitionBy("bucket").text(f"{root}/first/rendered_md")
+    files.where("bucket = 0").write.partitionBy("bucket").text(f"{root}/first/rendered_md/system")
+    _renamed(t, f"{root}/first/rendered_md", "part_{}.grid_rows.json")
+    _renamed(t, f"{root}/first/rendered_md/system", "own_{}.grid_rows.json")
+    own = readers.sidecars(t.spark, root, "markdown_uuid string, rows array<struct<uuid:string>>")
     return own.select("markdown_uuid", "source_name", F.explode("rows").alias("r")).groupBy("markdown_uuid", "source_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("r.uuid").alias("n_uuids"))
 
 
@@ -109,28 +122,51 @@ def src_csv_export(t):
     return readers.csv_export(t.spark, root, "Key").select("id", "Note", "Note_2")
 
 
-@query("SELECT 'space-' || (conv_id % 5) AS space, role AS sender, TIMESTAMP '2024-01-01 10:00:00' + to_minutes(turn) AS at, text FROM conversations")
+@query("SELECT 'space=' || (conv_id // 20) AS space, role AS sender, TIMESTAMP '2024-01-01 10:00:00' + to_minutes(turn) AS at, text FROM conversations")
 def src_takeout(t):
-    root = _folder(t)
     minute = F.expr("timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(0, 0, turn, 0)")
     message = F.struct(F.struct(F.col("role").alias("name")).alias("creator"), F.concat(F.lit("Monday, "), F.date_format(minute, "MMMM d, y 'at' h:mm:ss a"), F.lit(" UTC")).alias("created_date"), F.col("text"))
-    for k in range(5):
-        rows = t.conversations.where(F.col("conv_id") % 5 == k).groupBy().agg(F.collect_list(message).alias("messages"))
-        _lines(rows.coalesce(1).select(F.to_json(F.struct("messages")).alias("value")), f"{root}/space-{k}/messages.json")
-    read = t.spark.read.schema("messages array<struct<creator:struct<name:string>,created_date:string,text:string>>").json(f"{root}/*/messages.json")
-    return _takeout_rows(read)
-
-
-def _takeout_rows(read: DataFrame) -> DataFrame:
-    """The rows of message files whose last folder is a folder here, since Spark writes folders."""
-    each = read.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/messages\.json/", 1).alias("space"), F.explode("messages").alias("m"))
-    return each.select("space", F.col("m.creator.name").alias("sender"), readers.export_time(F.col("m.created_date")).alias("at"), F.col("m.text").alias("text"))
+    groups = t.conversations.groupBy(F.floor(F.col("conv_id") / 20).alias("space")).agg(F.collect_list(message).alias("messages"))  # a group's folder
+    root = _folder(t)
+    groups.select("space", F.to_json(F.struct("messages")).alias("value")).repartition("space").write.partitionBy("space").text(root)
+    return readers.takeout_messages(t.spark, _renamed(t, root, "messages.json"))
 
 
-@query("SELECT n_nationkey::VARCHAR AS locator, 'ed' AS edition, n_name || ' ' || n_regionkey AS text FROM nation")
+@query("SELECT n_regionkey || '.' || n_nationkey || '.1' AS locator, 'ed' AS edition, n_name || ' ' || n_regionkey AS text FROM nation")
 def src_tei_xml(t):
-    line = F.concat(F.lit('<div subtype="section" n="'), F.col("n_nationkey").cast("string"), F.lit('"><p>'), F.col("n_name"), F.lit("</p><p>"), F.col("n_regionkey").cast("string"), F.lit("</p></div>"))
-    return readers.tei_sections(t.spark, _document(t, t.nation.select(line.alias("value")), "body", _folder(t)), "ed")
+    text = lambda c: F.col(c).cast("string")
+    chapter = F.concat(F.lit('<div subtype="chapter" n="'), text("n_nationkey"), F.lit('"><p>'), F.col("n_name"), F.lit(" </p><p>"), text("n_regionkey"), F.lit("</p></div>"))
+    books = t.nation.groupBy("n_regionkey").agg(F.array_join(F.collect_list(chapter), "").alias("x"))
+    files = books.select(F.col("n_regionkey").alias("region"), F.concat(F.lit('<TEI><body><div subtype="book" n="'), text("n_regionkey"), F.lit('">'), F.col("x"), F.lit("</div></body></TEI>")).alias("value"))
+    root = _folder(t)
+    files.repartition("region").write.partitionBy("region").text(root)
+    read = tei.editions(t.spark, _renamed(t, root, "ed.xml"))
+    return read.select(F.concat_ws(".", "book", "chapter", "section").alias("locator"), "edition", "text")
+
+
+@query("SELECT 'm-' || o_orderkey AS address, o_orderkey AS at_ms, o_orderkey % 2 = 0 AS outgoing, o_orderpriority || chr(10) || 'more & more' AS body, 'p' || o_orderkey || '.png' AS name, 'image/png' AS content_type, length(o_orderstatus || o_orderkey)::BIGINT AS size, sha256(o_orderstatus || o_orderkey) AS hash FROM orders")
+def src_mms(t):
+    k = F.col("o_orderkey").cast("string")
+    part = lambda *attributes: F.concat(F.lit("<part "), *[x if not isinstance(x, str) else F.lit(x) for x in attributes], F.lit("/>"))
+    line = F.concat(
+        F.lit('<mms address="m-'), k, F.lit('" date="'), k, F.lit('" msg_box="'), F.when(F.col("o_orderkey") % 2 == 0, "2").otherwise("1"), F.lit('" m_id="null"><parts>'), part('ct="application/smil" text="layout"'),
+        part('ct="text/plain" text="', F.col("o_orderpriority"), '"'), part('ct="text/plain" text="more &amp; more"'), part('ct="image/png" name="null" cl="p', k, '.png" data="', F.base64(F.concat("o_orderstatus", k).cast("binary")), '"'), F.lit("</parts></mms>"),
+    )
+    bucket = F.floor(F.col("o_orderkey") / 500).alias("bucket")  # a backup's file holds few messages
+    files = t.orders.select(bucket, line.alias("line")).groupBy("bucket").agg(F.concat(F.lit("<smses>"), F.array_join(F.collect_list("line"), "\n"), F.lit("</smses>")).alias("value"))
+    root = _folder(t)
+    files.repartition("bucket").write.partitionBy("bucket").text(root)
+    messages, attachments = readers.mms_backup(t.spark, root)
+    return messages.join(attachments, "id").select("address", "at_ms", "outgoing", "body", "name", "content_type", F.col("size").cast("long").alias("size"), "hash")
+
+
+@query("SELECT 'f ' || conv_id || '-' || turn || '.txt' AS name, 'application/pdf' AS content_type, octet_length(encode(coalesce(text, '')))::BIGINT AS size, sha256(coalesce(text, '')) AS hash, 0 AS place FROM conversations WHERE turn % 2 = 0")
+def src_mbox_attachments(t):
+    which = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    head = F.concat(F.lit('From x Mon Jan 1\nFrom: a@example.org\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="b0"\n\n--b0\nContent-Type: text/plain\n\nSee it.\n'))
+    file = F.concat(F.lit('--b0\nContent-Type: application/pdf\nContent-Disposition: attachment; filename="f '), which, F.lit('.txt"\nContent-Transfer-Encoding: base64\n\n'), F.base64(F.coalesce("text", F.lit("")).cast("binary")), F.lit("\n"))
+    mail = F.concat(head, F.when(F.col("turn") % 2 == 0, file).otherwise(""), F.lit("--b0--"))
+    return readers.mail_attachments(t.spark, _lines(t.conversations.select(mail.alias("value")), _folder(t))).select("name", "content_type", "size", "hash", "place")
 
 
 @query("SELECT 'd' || (user_id % 4) AS device, m AS metric, epoch_us(date_trunc('second', ts)) // 1000 AS ts_ms, event_id::DOUBLE + o AS value FROM events, (VALUES ('temperature_f', 0), ('humidity_pct', 1)) v(m, o)")

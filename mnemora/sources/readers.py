@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import email
 import email.policy
+import hashlib
 import re
 from fnmatch import fnmatchcase
 
@@ -49,10 +50,18 @@ def sidecars(spark: SparkSession, root: str, schema: StructType | str) -> DataFr
     return read.withColumn("path", path).withColumn("source_name", F.regexp_extract(path, r"([^/]+)/rendered_md/", 1)).where(~F.col("path").contains("/system/"))
 
 
+def preamble(spark: SparkSession, path: str, names: list[str]) -> int:
+    """How many lines an export has before its header, the first line that states all of ``names``; 0 where none does."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"))
+    cells = F.transform(F.split("value", ","), lambda x: F.regexp_replace(F.trim(x), r'^\ufeff?"?|"$', ""))
+    found = lines.where(F.forall(F.array(*map(F.lit, names)), lambda x: F.array_contains(cells, x))).agg(F.min("n")).first()[0]
+    return 0 if found is None else lines.where(F.col("n") < found).count()
+
+
 def csv_export(spark: SparkSession, path: str, key: str | None = None, preamble_lines: int = 0) -> DataFrame:
     """One CSV file as a table of strings with an ``id``: its natural key, else a hash of its cells.
 
-    Lines before the header are skipped by count and repeated names numbered. Cells may hold commas, quotes and line ends. A
+    Lines before the header are skipped by count (``preamble`` finds it) and repeated names numbered. Cells may hold commas, quotes and line ends. A
     file without a preamble is read by Spark's own reader; one with a preamble is a small export, whose text is parsed again from its header on.
     """
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False}
@@ -97,6 +106,26 @@ def sms_backup(spark: SparkSession, path: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def mms_backup(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Picture messages of an XML backup: ``(messages, attachments)``.
+
+    ``messages (id, address, at_ms, outgoing, body, n_attachments)``: the texts of its plain parts joined by line ends; ``attachments
+    (id, place, name, content_type, size, hash)``: other parts but the layout, with the hash of their decoded bytes. ``id`` is a hash of the message.
+    """
+    part = "struct<_ct:string,_name:string,_cl:string,_text:string,_data:string>"
+    schema = StructType.fromDDL(f"`_address` string, `_date` string, `_msg_box` string, `_m_id` string, parts struct<part:array<{part}>>")
+    rows = spark.read.format("xml").option("rowTag", "mms").schema(schema).load(path)
+    parts = F.coalesce("parts.part", F.array().cast(f"array<{part}>"))
+    identity = F.sha2(F.to_json(F.struct("_address", "_date", "_msg_box", "_m_id", "parts"), {"ignoreNullFields": "false"}), 256)
+    plain = F.transform(F.filter(parts, lambda x: x["_ct"] == "text/plain"), lambda x: x["_text"])
+    others = F.filter(parts, lambda x: ~x["_ct"].isin("text/plain", "application/smil"))
+    read = rows.select(identity.alias("id"), F.col("_address").alias("address"), F.col("_date").cast("long").alias("at_ms"), (F.col("_msg_box") == "2").alias("outgoing"), F.array_join(plain, "\n").alias("body"), others.alias("others"))
+    each = read.select("id", F.posexplode("others").alias("place", "x"))
+    content = F.try_to_binary("x._data", F.lit("base64"))
+    named = F.coalesce(*[F.when(F.col(f"x.{c}") != "null", F.col(f"x.{c}")) for c in ("_cl", "_name")])
+    return read.select("id", "address", "at_ms", "outgoing", "body", F.size("others").alias("n_attachments")), each.select("id", "place", named.alias("name"), F.col("x._ct").alias("content_type"), F.octet_length(content).alias("size"), F.sha2(content, 256).alias("hash"))
+
+
 def sensor_csv(spark: SparkSession, path: str, time_column: str = "time", device: str = r"([^/]+)\.csv$") -> DataFrame:
     """``(device, metric, ts_ms, value)`` of CSV files, one for each device, read each by its own header; a metric given in two units is an error.
 
@@ -134,6 +163,29 @@ def mailbox(spark: SparkSession, path: str) -> DataFrame:
     return mails.withColumn("labels", gmail_labels(F.col("labels")))
 
 
+def mail_attachments(spark: SparkSession, path: str) -> DataFrame:
+    """``(position, place, name, content_type, size, hash)`` of the attachments of an mbox file's mails, as edges to contents by their hash.
+
+    Mails are split as in ``mailbox``, by Spark, so that one file is read by several tasks; ``position`` tells mails apart as there.
+    """
+    parts = spark.read.option("lineSep", "\nFrom ").text(path).select(F.monotonically_increasing_id().alias("position"), F.col("value").cast("binary").alias("value"))
+    names = ["position", "place", "name", "content_type", "size", "hash"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for position, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mail = email.message_from_bytes((value or b"").partition(b"\n")[2], policy=email.policy.default)
+                for place, part in enumerate(mail.iter_attachments() if mail.is_multipart() else ()):
+                    content = part.get_payload(decode=True) or b""
+                    rows.append((position, place, part.get_filename(), part.get_content_type(), len(content), hashlib.sha256(content).hexdigest()))
+            if rows:
+                kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return parts.mapInArrow(run, "position long, place int, name string, content_type string, size long, hash string")
+
+
 def _content(part) -> str:
     """A mail part's text; bytes that its charset, or one nobody knows, can't read are replaced."""
     raw = part.get_payload(decode=True) if part is not None else None
@@ -162,13 +214,6 @@ def cards(spark: SparkSession, path: str) -> DataFrame:
     return each.select("position", fields.alias("fields")).select("position", first("UID").alias("uid"), first("FN").alias("name"), "fields")
 
 
-def tei_sections(spark: SparkSession, path: str, edition: str) -> DataFrame:
-    """``(locator, edition, text)`` of an edition's sections, read by row tag."""
-    schema = StructType.fromDDL("`_n` string, `_subtype` string, p array<string>")
-    rows = spark.read.format("xml").option("rowTag", "div").schema(schema).load(path).where("`_subtype` = 'section'")
-    return rows.select(F.col("_n").alias("locator"), F.lit(edition).alias("edition"), F.array_join("p", " ").alias("text"))
-
-
 def file_tree(spark: SparkSession, root: str, ignore: str | None = None) -> DataFrame:
     """``(path, size, mtime, hash)`` of all files below a folder; contents are hashed where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.durable import cut, discard, shared_dir
-from mnemora.operators.versioned import last_per_key
+from mnemora.durable import shared_dir
+from mnemora.streaming import buckets
 
 
 def read(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -57,19 +57,13 @@ def run_once(result: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(result.schema).parquet(f"{path}/batch={last[-1]}" if mode == "complete" else path).select(*result.columns)
 
 
-def latest(spark: SparkSession, events: DataFrame, keys: list[str]) -> DataFrame:
-    """The last event of each key, kept up to date batch by batch.
+def latest(spark: SparkSession, events: DataFrame, keys: list[str], folder: str | None = None, parts: int = 64) -> DataFrame:
+    """The last event of each key, kept up to date batch by batch in ``folder`` (see ``buckets``).
 
-    Each batch is merged with the last version of the state; a new version is written to the shared folder and the one before it deleted.
+    Keys are spread over ``parts`` buckets by their hash, and a batch makes only those anew that it touches. The same folder goes on where a
+    driver stopped.
     """
-    state: dict[str, DataFrame] = {}
-
-    def merge(batch: DataFrame, _: int) -> None:
-        fresh, before = batch.drop("at"), state.get("rows")
-        both = before.unionByName(fresh) if before is not None else fresh
-        state["rows"] = cut(last_per_key(both, keys, [F.desc("ts"), F.desc("event_id")]))
-        if before is not None:
-            discard(before)
-
-    events.writeStream.option("checkpointLocation", f"{shared_dir(spark)}/mnemora-stream-{uuid.uuid4().hex}").foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
-    return state["rows"] if state else spark.createDataFrame([], events.drop("at").schema)
+    at = folder or f"{shared_dir(spark)}/mnemora-stream-{uuid.uuid4().hex}"
+    rows = events.drop("at")
+    buckets.keep(rows, at, F.pmod(F.xxhash64(*keys), F.lit(parts)), keys, [F.desc("ts"), F.desc("event_id")]).awaitTermination()
+    return buckets.current(spark, at, rows.schema).select(*rows.columns)

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemora.functions import registered, times
-from mnemora.operators import attachments, explore, flows, ignore, outline, resume
-from mnemora.sources import tei
+from mnemora.operators import attachments, explore, files, flows, ignore, outline, resume
+from mnemora.sources import readers, tei
 from mnemora.streaming import buckets
 
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader/><text><body><div type="edition">
@@ -214,3 +214,55 @@ def test_chat_markup_beyond_the_plain_cases(spark, raw, want):
 
 def test_split_quoted_reads_line_ends_of_mail(spark):
     assert spark.createDataFrame([("a\r\n> b\r\n> c\r\n",)], "b string").select(flows.split_quoted(F.col("b"))).first()[0] == "a"
+
+
+def test_latest_goes_on_in_its_folder(spark, tmp_path):
+    from mnemora.streaming import events
+
+    schema = "event_id long, ts timestamp_ntz, user_id long"
+
+    def arrive(rows):
+        spark.sql(f"select * from values {rows} t(event_id, ts, user_id)").select(F.col("event_id").cast("long"), F.col("ts").cast("timestamp_ntz"), F.col("user_id").cast("long")).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withColumn("at", F.col("ts").cast("timestamp"))
+        return sorted((r.user_id, r.event_id) for r in events.latest(spark, stream, ["user_id"], f"{tmp_path}/kept", 4).collect())
+
+    assert arrive("(1, '2026-01-01', 1), (2, '2026-01-02', 1), (3, '2026-01-01', 2)") == [(1, 2), (2, 3)]
+    assert arrive("(4, '2026-01-01', 1), (5, '2026-01-03', 2), (6, null, 3)") == [(1, 2), (2, 5), (3, 6)]
+
+
+@pytest.mark.parametrize(
+    "link, want",
+    [
+        ("https://x.org/feed/update/urn:li:share:12/", "urn:li:share:12"), ("https://x.org/feed/update/urn%3Ali%3Aactivity%3A34?a=b", "urn:li:activity:34"), ("https://x.org/posts/a-b-ugcPost-56-Zz", "urn:li:ugcPost:56"),
+        ("https://x.org/p/1/?q#t", "https://x.org/p/1"), ("50% off", "50% off"), ("", "position:9"), (None, "position:9"),
+    ],
+)
+def test_post_keys(spark, link, want):
+    assert spark.createDataFrame([(link, 9)], "l string, p long").select(flows.post_key(F.col("l"), F.col("p"))).first()[0] == want
+
+
+def test_contents_are_put_once(spark):
+    blobs = spark.createDataFrame([(1, b"a"), (2, b"a"), (3, b"b"), (4, None), (5, b""), (1, b"a")], "o long, c binary")
+    stored = spark.createDataFrame([(b"b",)], "c binary").select(F.sha2("c", 256).alias("hash"))
+    fresh, edges = files.put(blobs, stored, "o", "c")
+    assert sorted((bytes(r.content), r.first_owner, r.size) for r in fresh.collect()) == [(b"", 5, 0), (b"a", 1, 1)] and edges.count() == 4
+
+
+def test_exports_with_odd_parts(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('Notes:\n"When exporting, some are missing"\n\nFirst,"Last Name",URL\nA,"B, C",u\n')
+    n = readers.preamble(spark, str(tmp_path / "x.csv"), ["First", "Last Name"])
+    assert n == 3 and [(r.First, r["Last Name"]) for r in readers.csv_export(spark, str(tmp_path / "x.csv"), None, n).collect()] == [("A", "B, C")]
+    assert readers.preamble(spark, str(tmp_path / "x.csv"), ["None such"]) == 0
+    (tmp_path / "m.xml").write_text('<smses><mms address="1" date="5" msg_box="1"/><mms address="2" date="6" msg_box="2"><parts><part ct="text/plain" text="a"/><part ct="image/gif" name="g.gif" cl="null" data="!!"/></parts></mms></smses>')
+    messages, attachments = readers.mms_backup(spark, str(tmp_path / "m.xml"))
+    assert sorted((r.address, r.outgoing, r.body, r.n_attachments) for r in messages.collect()) == [("1", False, "", 0), ("2", True, "a", 1)]
+    assert [(r.name, r.content_type, r.size, r.hash) for r in attachments.collect()] == [("g.gif", "image/gif", None, None)]
+    (tmp_path / "b.mbox").write_bytes(b"From a\nSubject: plain\n\nbody\nFrom b\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: text/plain\n\nx\n--q\nContent-Type: image/png\nContent-Disposition: attachment; filename=\"\xc3\xa4.png\"\nContent-Transfer-Encoding: base64\n\nAAE=\n--q--\n")
+    got = readers.mail_attachments(spark, str(tmp_path / "b.mbox")).collect()
+    assert [(r.place, r.content_type, r.size) for r in got] == [(0, "image/png", 2)]
+
+
+def test_discussions_of_notes_without_one(spark):
+    notes = spark.createDataFrame([(1, None, 10, 3, True), (1, "d", 11, 1, False), (1, "d", 12, 5, True), (1, "d", 13, 1, False), (1, None, 14, 2, False)], "request long, discussion string, id long, at long, system boolean")
+    got = [(r.id, r.discussion_index, r.note_index, r.kind) for r in flows.discussions(notes).orderBy("discussion_index", "note_index").collect()]
+    assert got == [(11, 0, 0, "thread"), (13, 0, 1, "reply"), (12, 0, 2, "system note"), (14, 1, 0, "thread"), (10, 2, 0, "event")]
