@@ -109,6 +109,15 @@ MANIFEST = (
 )
 
 
+def filled_manifest(rows: DataFrame) -> DataFrame:
+    """``(field, title, shown, filled)``: the columns of the result list, each with how many of ``rows`` fill it; one aggregate."""
+    of = {field: FIELDS.get(field, {"when": "when_ts_utc", "snippet": "text"}.get(field, field)) for field, _, _ in MANIFEST}
+    there = {field: name for field, name in of.items() if name in rows.columns}
+    counts = rows.agg(*[F.count(name).alias(field) for field, name in there.items()])
+    listed = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(t).alias("title"), F.lit(s).alias("shown"), (F.col(f) if f in there else F.lit(0)).cast("long").alias("filled")) for f, t, s in MANIFEST])
+    return counts.select(F.inline(listed))
+
+
 def default_order(rows: DataFrame) -> DataFrame:
     """Scored results best first, others oldest first, as whether any row has a score decides."""
     scored = "score" in rows.columns and not rows.where("score is not null").isEmpty()

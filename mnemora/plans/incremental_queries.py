@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemora.operators import files as fs
 from mnemora.operators import payloads, retrieval, scope
-from mnemora.operators.search import DEFAULT_LIMIT, FIELDS, MANIFEST, MOST_ROWS, Filters, default_order, hit_limit, matching, routed
+from mnemora.operators.search import DEFAULT_LIMIT, FIELDS, MOST_ROWS, Filters, default_order, filled_manifest, hit_limit, matching, routed
 from mnemora.plans.registry import query
 from mnemora.plans.views import GRID_SQL, ORDERS_SQL, chat_grid, new_orders, old_orders
 
@@ -311,9 +311,17 @@ def r_chunk(t):
 # ---- what is shown
 
 
-@query("SELECT * FROM (VALUES ('score', 'Score', true), ('source', 'Source', true), ('kind', 'Type', true), ('when', 'Time', true), ('snippet', 'Contents', true), ('author', 'Author', true), ('account', 'Account', true), ('org_name', 'Org', false), ('conversation_name', 'Conversation Name', false), ('project', 'Project', false), ('entire_chat', 'Entire Chat', false)) v(field, title, shown)")
+@query(
+    f"""
+    WITH {GRID_SQL}, m AS (SELECT * FROM (VALUES ('score', 'Score', true), ('source', 'Source', true), ('kind', 'Type', true), ('when', 'Time', true), ('snippet', 'Contents', true), ('author', 'Author', true), ('account', 'Account', true),
+      ('org_name', 'Org', false), ('conversation_name', 'Conversation Name', false), ('project', 'Project', false), ('entire_chat', 'Entire Chat', false)) v(field, title, shown)),
+    n AS (SELECT 'source' AS field, count(*) AS filled FROM grid UNION ALL SELECT 'kind', count(kind) FROM grid UNION ALL SELECT 'when', count(when_ts_utc) FROM grid UNION ALL SELECT 'snippet', count(text) FROM grid UNION ALL SELECT 'author', count(author) FROM grid UNION ALL SELECT 'entire_chat', count(entire_chat) FROM grid)
+    SELECT field, title, shown, coalesce(filled, 0) AS filled FROM m LEFT JOIN n USING (field)
+    """
+)
 def p_columns_manifest(t):
-    return t.spark.createDataFrame(list(MANIFEST), "field string, title string, shown boolean")
+    """The columns of the result list with how many rows fill each."""
+    return filled_manifest(chat_grid(t))
 
 
 @query(f"WITH {GRID_SQL} (SELECT 'scored' AS how, uuid FROM grid WHERE message_index IS NOT NULL ORDER BY message_index DESC, uuid LIMIT 20) UNION ALL (SELECT 'timed', uuid FROM grid ORDER BY when_ts_utc NULLS FIRST, uuid LIMIT 20)")
@@ -331,9 +339,13 @@ def s_slack_msgs(t):
     return t.events.groupBy("user_id").agg(ordered_text(F.col("event_id").cast("string"), F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("a"), F.col("event_id").cast("string").alias("b")), delimiter=",").alias("ids"))
 
 
-@query("SELECT n AS asked, least(greatest(2 * n, 50), 1000) AS hits, least(n, 100000) AS n_rows FROM (VALUES (10), (200), (600), (200000)) v(n)")
+@query(f"WITH {GRID_SQL}, c AS (SELECT count(*) AS rows FROM grid) SELECT n AS asked, least(greatest(2 * n, 50), 1000, rows) AS hits, least(n, 100000, rows) AS n_rows FROM c, (VALUES (10), (200), (600), (200000)) v(n)")
 def s_limit_caps(t):
-    return t.spark.createDataFrame([(n, hit_limit(n), min(n, MOST_ROWS)) for n in (10, DEFAULT_LIMIT, 600, 200000)], "asked int, hits int, n_rows int")
+    """How many rows come back for what is asked, of hits to rank and of rows."""
+    rows = chat_grid(t).select("uuid")
+    counted = lambda n: rows.limit(n).agg(F.count(F.lit(1)).alias("n"))
+    parts = [counted(hit_limit(n)).select(F.lit(n).alias("asked"), F.col("n").alias("hits"), counted(min(n, MOST_ROWS)).scalar().alias("n_rows")) for n in (10, DEFAULT_LIMIT, 600, 200000)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(f"WITH {GRID_SQL} SELECT 'none' AS how, count(*) AS n FROM grid UNION ALL SELECT 'text', count(*) FROM grid WHERE contains(lower(text), 'th') AND kind <> 'Chat' UNION ALL SELECT 'all', count(*) FROM grid WHERE contains(lower(text), 'th') UNION ALL SELECT 'chat', count(*) FROM grid WHERE contains(lower(text), 'th') AND kind = 'Chat'")

@@ -23,11 +23,12 @@ def _lines(lines: DataFrame, path: str, separator: str = "\n") -> str:
     return path
 
 
-def _document(t, lines: DataFrame, root: str, path: str) -> str:
-    """A column of texts inside one XML element, in one file."""
-    edge = lambda n, tag: t.spark.range(1).select(F.lit(n).alias("o"), F.lit(tag).alias("value"))
-    whole = edge(0, f"<{root}>").unionByName(lines.select(F.lit(1).alias("o"), "value")).unionByName(edge(2, f"</{root}>"))
-    return _lines(whole.coalesce(1).sortWithinPartitions("o").select("value"), path)
+def _bucketed(t, lines: DataFrame, head: str = "", tail: str = "", separator: str = "\n", by: str = "bucket") -> str:
+    """``lines (bucket, line)`` as a text file for each bucket, between a head and a tail; a bucket is few lines, however many there are."""
+    path = _folder(t)
+    whole = F.concat(F.lit(head), F.array_join(F.collect_list("line"), separator), F.lit(tail))
+    lines.groupBy(by).agg(whole.alias("value")).repartition(by).write.partitionBy(by).text(path)
+    return path
 
 
 @query("SELECT doc_id AS id, lang FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0")
@@ -107,18 +108,16 @@ def src_sms_xml(t):
     kind = F.when(k % 3 == 0, "2").otherwise("1")
     head = lambda tag, name: F.concat(F.lit(f'<{tag} {name}="+'), F.col("o_custkey").cast("string"), F.lit('" date="'), k.cast("string"), F.lit('" type="'), kind, F.lit('" contact_name="A" '))
     line = F.when(k % 2 == 0, F.concat(head("sms", "address"), F.lit('body="'), F.col("o_orderpriority"), F.lit('"/>'))).otherwise(F.concat(head("call", "number"), F.lit('duration="'), (k % 50).cast("string"), F.lit('"/>')))
-    path = _document(t, t.orders.select(line.alias("value")), "smses", _folder(t))
+    path = _bucketed(t, t.orders.select(F.floor(k / 500).alias("bucket"), line.alias("line")), "<smses>", "</smses>")
     return readers.sms_backup(t.spark, path).select("kind", "address", "at_ms", "outgoing", "body")
 
 
 @query("SELECT c_custkey::VARCHAR AS id, c_name || ', \"' || c_mktsegment || '\"' || chr(10) || 'more' AS \"Note\", c_mktsegment AS \"Note_2\" FROM customer")
 def src_csv_export(t):
-    root = _folder(t)
     note = F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"\nmore'))
     quoted = F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), quoted, F.lit(","), F.col("c_mktsegment"))
-    rows = t.customer.select(F.col("c_custkey").alias("k"), line.alias("value")).unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit("Key,Note,Note").alias("value")))
-    _lines(rows.coalesce(1).sortWithinPartitions("k").select("value"), root)
+    root = f"{_bucketed(t, t.customer.select(F.floor(F.col('c_custkey') / 500).alias('bucket'), line.alias('line')), 'Key,Note,Note' + chr(10))}/*"
     return readers.csv_export(t.spark, root, "Key").select("id", "Note", "Note_2")
 
 
@@ -152,10 +151,7 @@ def src_mms(t):
         F.lit('<mms address="m-'), k, F.lit('" date="'), k, F.lit('" msg_box="'), F.when(F.col("o_orderkey") % 2 == 0, "2").otherwise("1"), F.lit('" m_id="null"><parts>'), part('ct="application/smil" text="layout"'),
         part('ct="text/plain" text="', F.col("o_orderpriority"), '"'), part('ct="text/plain" text="more &amp; more"'), part('ct="image/png" name="null" cl="p', k, '.png" data="', F.base64(F.concat("o_orderstatus", k).cast("binary")), '"'), F.lit("</parts></mms>"),
     )
-    bucket = F.floor(F.col("o_orderkey") / 500).alias("bucket")  # a backup's file holds few messages
-    files = t.orders.select(bucket, line.alias("line")).groupBy("bucket").agg(F.concat(F.lit("<smses>"), F.array_join(F.collect_list("line"), "\n"), F.lit("</smses>")).alias("value"))
-    root = _folder(t)
-    files.repartition("bucket").write.partitionBy("bucket").text(root)
+    root = _bucketed(t, t.orders.select(F.floor(F.col("o_orderkey") / 500).alias("bucket"), line.alias("line")), "<smses>", "</smses>")
     messages, attachments = readers.mms_backup(t.spark, root)
     return messages.join(attachments, "id").select("address", "at_ms", "outgoing", "body", "name", "content_type", F.col("size").cast("long").alias("size"), "hash")
 
@@ -171,23 +167,39 @@ def src_mbox_attachments(t):
 
 @query("SELECT 'd' || (user_id % 4) AS device, m AS metric, epoch_us(date_trunc('second', ts)) // 1000 AS ts_ms, event_id::DOUBLE + o AS value FROM events, (VALUES ('temperature_f', 0), ('humidity_pct', 1)) v(m, o)")
 def src_sensor_csv(t):
-    root = _folder(t)
     at = F.date_format(F.date_trunc("second", F.col("ts")), "yyyy-MM-dd HH:mm:ss")
-    for k in range(4):  # every second file has its columns in another order
-        a, b = F.col("event_id").cast("double").cast("string"), (F.col("event_id") + 1).cast("double").cast("string")
-        line = F.concat_ws(",", at, a, b) if k % 2 else F.concat_ws(",", b, at, a)
-        head = "time,temperature_f,humidity_pct" if k % 2 else "humidity_pct,time,temperature_f"
-        rows = t.events.where(F.col("user_id") % 4 == k).select(F.col("event_id").alias("o"), line.alias("value")).unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("o"), F.lit(head).alias("value")))
-        _lines(rows.coalesce(1).sortWithinPartitions("o").select("value"), f"{root}/d{k}")
-    return readers.sensor_csv(t.spark, f"{root}/*", device=r"/(d[0-9]+)/[^/]+$")
+    a, b = F.col("event_id").cast("double").cast("string"), (F.col("event_id") + 1).cast("double").cast("string")
+    odd = F.col("user_id") % 2 == 1  # every second file has its columns in another order
+    line = F.when(odd, F.concat_ws(",", at, a, b)).otherwise(F.concat_ws(",", b, at, a))
+    head = F.when(odd, "time,temperature_f,humidity_pct").otherwise("humidity_pct,time,temperature_f")
+    name = F.concat(F.lit("d"), (F.col("user_id") % 4).cast("string"), F.lit("-"), F.floor(F.col("event_id") / 500).cast("string"))  # a file holds few readings
+    files = t.events.groupBy(name.alias("device"), head.alias("head")).agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    root = _folder(t)
+    files.select("device", F.concat_ws("\n", "head", "lines").alias("value")).repartition("device").write.partitionBy("device").text(root)
+    return readers.sensor_csv(t.spark, f"{root}/*", device=r"/device=(d[0-9]+)-[^/]*/[^/]+$")
 
 
-@query("SELECT 1 AS n_files, 25 AS n_rows, true AS hashed")
+@query(
+    """
+    WITH f AS (SELECT r_regionkey AS k, n_nationkey AS n, n_name || chr(10) AS content, 'region=' || r_regionkey || '/nation=' || n_nationkey || '/' AS dir, CASE WHEN n_nationkey % 2 = 0 THEN 'a.txt' ELSE 'a.tmp' END AS name FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT dir || name AS path, octet_length(encode(content))::BIGINT AS size, sha256(content) AS hash FROM f WHERE k <> 2 AND (n % 2 = 0 OR k = 1)
+    """
+)
 def src_fs_walk(t):
+    """Files of a tree with their hashes, less what ignore files in it leave out: one folder, one ending, and that ending kept in another."""
     root = _folder(t)
-    t.nation.coalesce(1).write.json(f"{root}/a")
-    found = readers.file_tree(t.spark, root, ignore=r"_SUCCESS|\.crc$")
-    return found.join(t.spark.read.json(f"{root}/a").agg(F.count(F.lit(1)).alias("n_rows"))).groupBy("n_rows").agg(F.count(F.lit(1)).cast("int").alias("n_files"), F.min(F.length("hash") == 64).alias("hashed")).select("n_files", F.col("n_rows").cast("int").alias("n_rows"), "hashed")
+    rows = t.nation.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("n_name").alias("value"))
+    for name, some in (("a.txt", rows.where("nation % 2 = 0")), ("a.tmp", rows.where("nation % 2 = 1"))):
+        some.repartition("nation").write.mode("append").partitionBy("region", "nation").text(root)
+        _renamed(t, f"{root}/*", name)
+    lines = t.spark.createDataFrame([("*.tmp",), ("region=2/",)], "value string")
+    _lines(lines.coalesce(1), f"{root}/top")
+    t.spark.createDataFrame([("!*.tmp",)], "value string").coalesce(1).write.text(f"{root}/region=1/own")
+    _renamed(t, root, "ignore.txt")
+    _renamed(t, f"{root}/region=1", "ignore.txt")
+    # Spark writes folders: the lines of `top` and `own` hold for the folders around them
+    found = readers.walked(t.spark, root, "ignore.txt", held_by=r"(^|/)(top|own)$")
+    return found.where("kept").select("path", "size", "hash")
 
 
 @query(f"WITH {GRID_SQL} SELECT markdown_uuid, count(*)::INT AS n_rows, min(uuid) AS least FROM grid GROUP BY 1")

@@ -221,6 +221,30 @@ def file_tree(spark: SparkSession, root: str, ignore: str | None = None) -> Data
     return kept.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"))
 
 
+def walked(spark: SparkSession, root: str, ignore_file: str, held_by: str | None = None) -> DataFrame:
+    """``(path, size, mtime, hash, kept, pattern, at)`` of all files below ``root``, paths relative to it; ``kept``: by the lines of the ignore files.
+
+    An ignore file's lines hold for its folder and all below it (see ``operators.ignore``), and it isn't listed itself. ``held_by``: a pattern of
+    folders that only hold an ignore file for the folder around them. Spark lists no file whose name begins with ``.`` or ``_``.
+    """
+    from mnemora.operators import ignore
+
+    files = file_tree(spark, root)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    inside = lambda c: F.expr(f"substring({c}, locate('{base}', {c}) + {len(base)})")
+    relative = files.select(inside("path").alias("path"), "size", "mtime", "hash")
+    listed = relative.where(~F.col("path").rlike(rf"(^|/){re.escape(ignore_file)}$"))
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", ignore_file).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    folder = F.regexp_replace(F.regexp_replace(inside("path"), "[^/]*$", ""), "/$", "")
+    if held_by:
+        folder = F.regexp_replace(folder, held_by, "")
+    frames = texts.select(folder.alias("directory"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("patterns"))
+    parts = F.split("path", "/")
+    folders = listed.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("path")).where("path <> ''").distinct().withColumn("is_dir", F.lit(True))
+    decided = ignore.ignored(listed.select("path", F.lit(False).alias("is_dir")).unionByName(folders), frames).where("not is_dir")
+    return listed.join(decided.drop("is_dir"), "path")
+
+
 def chosen(names: list[str], include: list[str], exclude: list[str] = ()) -> list[str]:
     """Names that a pattern of ``include`` and none of ``exclude`` matches."""
     return [n for n in names if any(fnmatchcase(n, g) for g in include) and not any(fnmatchcase(n, g) for g in exclude)]
