@@ -17,7 +17,7 @@ few rounds for sets larger than t ln t.
    each of their pairs is settled, by a test or by being connected (see ``linking``).
 
 With 40 bands of 6 a pair of similarity 0.8 misses all bands with probability 5e-6. The last round's pairs must
-also look alike by a sketch of 1024 bits, within 5 deviations of 0.8: probability 3e-7 to miss.
+also look alike by a sketch of 2048 bits, within 5 deviations of 0.8: probability 3e-7 to miss.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing; texts under
 four words (``shingle`` words) are one shingle; null ids come last in the order and a component of them alone has a null id;
@@ -39,7 +39,7 @@ from .linking import settle
 
 SHINGLE, BANDS, ROWS = 5, 40, 6
 #: Coordinates of the estimate that the last round of pairs must pass, a bit of each.
-FINE = 1024
+FINE = 2048
 LOW48 = np.uint64((1 << 48) - 1)
 FULL = np.uint64(2**64 - 1)
 
