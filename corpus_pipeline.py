@@ -2,6 +2,11 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; all but
 the last return the columns of ``documents``.
+
+Defined cases: a null text counts as an empty one, is scored like it and is a copy of other empty texts; rows without an id are
+rows of their own until an equal text with an id takes their place; of repeated rows one stays; texts without words have no near copies; a
+very long text is read whole and cut over several windows; labels of rows that aren't there, or that are neither 0 nor 1, teach nothing; without
+labels of both classes all rows score the share of good labels; an empty table gives no pieces.
 """
 
 from __future__ import annotations
