@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemora.durable import shared_dir
 from mnemora.plans.registry import query
 from mnemora.plans.views import GRID_SQL, chat_grid
-from mnemora.sources import readers, tei
+from mnemora.sources import readers, takeout, tei
 
 
 def _folder(t) -> str:
@@ -54,7 +54,8 @@ def _renamed(t, root: str, name: str) -> str:
     store = at.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
     for k, status in enumerate(store.globStatus(at)):
         path = status.getPath()
-        store.rename(path, jvm.org.apache.hadoop.fs.Path(path.getParent(), name.format(k)))
+        own = path.getParent().getName().partition("=")[2]  # what the folder is of
+        store.rename(path, jvm.org.apache.hadoop.fs.Path(path.getParent(), name.format(k, parent=own)))
     return root
 
 
@@ -131,6 +132,65 @@ def src_takeout(t):
     return readers.takeout_messages(t.spark, _renamed(t, root, "messages.json"))
 
 
+_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+_UUID5 = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INTEGER % 4 + 1)::INTEGER, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query(
+    f"""
+    WITH r AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN '0xa' || c_custkey || ':0xb' ELSE c_custkey::VARCHAR END AS key, '2024-01-01T00:00:' || lpad((c_custkey % 60)::VARCHAR, 2, '0') || 'Z' AS date, c_name AS name, c_custkey % 5 + 1 AS rating, c_mktsegment || ' "said"' AS text FROM customer WHERE c_custkey % 7 <> 0),
+    u AS (SELECT *, sha1(unhex('{_NAMESPACE.replace("-", "")}') || CAST('maps_review:' || key || ':' || date AS BLOB)) AS h FROM r)
+    SELECT {_UUID5} AS id, key, date, name, rating, text FROM u
+    """
+)
+def src_takeout_places(t):
+    k = F.col("c_custkey")
+    text = k.cast("string")
+    url = F.when(k % 7 == 0, "https://maps.example.org/").when(k % 2 == 0, F.concat(F.lit("https://maps.example.org/p/data=!4m2!3m1!1s0xa"), text, F.lit(":0xb!8m"))).otherwise(F.concat(F.lit("https://maps.example.org/?cid="), text))
+    date = F.concat(F.lit("2024-01-01T00:00:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit("Z"))
+    properties = F.struct(date.alias("date"), url.alias("google_maps_url"), F.struct(F.col("c_name").alias("name")).alias("location"), (k % 5 + 1).alias("five_star_rating_published"), F.concat("c_mktsegment", F.lit(' "said"')).alias("review_text_published"))
+    lines = t.customer.select(F.floor(k / 500).alias("bucket"), F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"))).alias("line"))
+    root = _bucketed(t, lines, '{"type": "FeatureCollection", "features": [', "]}", ",\n")
+    return takeout.places(t.spark, _renamed(t, root, "Reviews.json"), "Reviews.json", "maps_review", _NAMESPACE).select("id", "key", "date", "name", "rating", "text")
+
+
+@query("SELECT 'UC' || s_suppkey AS channel_id, 'https://x.org/' || s_suppkey AS url, s_name || ', the \"official\"' AS title FROM supplier")
+def src_takeout_subscriptions(t):
+    k = F.col("s_suppkey").cast("string")
+    line = F.concat(F.lit("UC"), k, F.lit(",https://x.org/"), k, F.lit(',"'), F.col("s_name"), F.lit(', the ""official"""'))
+    root = _bucketed(t, t.supplier.select(F.floor(F.col("s_suppkey") / 500).alias("bucket"), line.alias("line")), "Channel Id,Channel Url,Channel Title\n")
+    return takeout.subscriptions(t.spark, f"{root}/*")
+
+
+@query("SELECT 'Video ' || event_id AS title, 'https://v.org/' || event_id AS url, CASE WHEN event_id % 2 = 0 THEN event_type END AS channel, date_trunc('second', ts) AS at FROM events WHERE event_id % 9 <> 0")
+def src_takeout_history(t):
+    k = F.col("event_id").cast("string")
+    entry = F.struct(
+        F.concat(F.lit("Watched Video "), k).alias("title"), F.when(F.col("event_id") % 9 != 0, F.concat(F.lit("https://v.org/"), k)).alias("titleUrl"), F.when(F.col("event_id") % 2 == 0, F.array(F.struct(F.col("event_type").alias("name")))).alias("subtitles"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("time"),
+    )
+    root = _bucketed(t, t.events.select(F.floor(F.col("event_id") / 500).alias("bucket"), F.to_json(entry).alias("line")), "[", "]", ",\n")
+    return readers.takeout_history(t.spark, f"{root}/*")
+
+
+@query("SELECT 'Ann ' || conv_id AS conversation, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, '2024-01-01T10:' || lpad((turn % 60)::VARCHAR, 2, '0') || ':00.000-05:00' AS at, role = 'user' AS is_me, CASE WHEN role = 'user' THEN 'Me' ELSE 'Ann & Co' END AS name, '+1' || conv_id AS tel, 'line <1>' || chr(10) || 'it''s ' || turn AS body, CASE WHEN turn % 4 = 0 THEN 'pic-' || turn ELSE '' END AS attachments FROM conversations")
+def src_takeout_voice(t):
+    """Text conversations as HTML files with bare line breaks, one for each conversation."""
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    message = F.concat(
+        F.lit('<div class="message"><abbr class="dt" title="2024-01-01T10:'), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(':00.000-05:00">Jan</abbr>: <cite class="sender vcard"><a class="tel" href="tel:+1'), conv,
+        F.lit('"><span class="fn">'), F.when(F.col("role") == "user", "Me").otherwise("Ann &amp; Co"), F.lit("</span></a></cite>: <q>line &lt;1&gt;<br>it&#39;s "), turn, F.lit("</q>"),
+        F.when(F.col("turn") % 4 == 0, F.concat(F.lit('<div><img src="pic-'), turn, F.lit('" alt="x"/></div>'))).otherwise(""), F.lit("</div>"),
+    )
+    listed = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]), "\n").alias("x"))
+    pages = listed.select("conv_id", F.concat(F.lit('<?xml version="1.0" ?><html><body><div class="participants"><a class="tel" href="tel:+0"><span class="fn">All</span></a></div><div class="hChatLog hfeed">'), "x", F.lit("</div></body></html>")).alias("value"))
+    root = _folder(t)
+    pages.withColumn("file", F.concat(F.lit("Ann "), F.col("conv_id").cast("string"), F.lit(" - Text - 2024"))).select("file", "value").repartition("file").write.partitionBy("file").text(root)
+    _renamed(t, root, "{parent}.html")
+    read = takeout.voice_messages(t.spark, root)
+    return read.select("conversation", F.col("place").cast("long").alias("place"), "at", "is_me", "name", "tel", "body", F.array_join("attachments", ",").alias("attachments"))
+
+
 @query("SELECT n_regionkey || '.' || n_nationkey || '.1' AS locator, 'ed' AS edition, n_name || ' ' || n_regionkey AS text FROM nation")
 def src_tei_xml(t):
     text = lambda c: F.col(c).cast("string")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import registered, times
 from mnemora.operators import attachments, explore, files, flows, ignore, outline, resume
-from mnemora.sources import readers, tei
+from mnemora.sources import readers, takeout, tei
 from mnemora.streaming import buckets
 
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader/><text><body><div type="edition">
@@ -266,3 +266,16 @@ def test_discussions_of_notes_without_one(spark):
     notes = spark.createDataFrame([(1, None, 10, 3, True), (1, "d", 11, 1, False), (1, "d", 12, 5, True), (1, "d", 13, 1, False), (1, None, 14, 2, False)], "request long, discussion string, id long, at long, system boolean")
     got = [(r.id, r.discussion_index, r.note_index, r.kind) for r in flows.discussions(notes).orderBy("discussion_index", "note_index").collect()]
     assert got == [(11, 0, 0, "thread"), (13, 0, 1, "reply"), (12, 0, 2, "system note"), (14, 1, 0, "thread"), (10, 2, 0, "event")]
+
+
+def test_takeout_calls_and_odd_messages(spark, tmp_path):
+    call = '<html><body><div class="haudio"><span class="fn">Voicemail from</span><div class="contributor vcard"><a class="tel" href="tel:+15551"><span class="fn">Bo</span></a></div><abbr class="published" title="2024-02-03T04:05:06.000-08:00">x</abbr><span class="full-text">Hi &amp; bye<br>now</span><audio src="a.mp3"></audio><abbr class="duration" title="PT1H2M3S">(1)</abbr></div></body></html>'
+    (tmp_path / "Bo - Voicemail - 2024-02-03T12_05_06Z.html").write_text(call)
+    (tmp_path / " - Missed - 2024-02-03T12_05_06Z.html").write_text('<html><div class="haudio"><abbr class="published" title="2024-02-03T04:05:06Z">x</abbr></div>')
+    (tmp_path / "Cy - Text - 2024.html").write_text('<div class="hChatLog"><div class="message"><q></q></div><div class="message"><abbr class="dt" title="t">x</abbr><q>a<br/>b</div></div>')
+    (tmp_path / "Bills.html").write_text("<html><table/></html>")
+    calls = {r.conversation: r for r in takeout.voice_calls(spark, str(tmp_path)).collect()}
+    assert (calls["Bo"].kind, calls["Bo"].tel, calls["Bo"].seconds, calls["Bo"].transcript, calls["Bo"].attachments) == ("voicemail", "+15551", 3723, "Hi & bye\nnow", ["a.mp3"])
+    assert (calls[""].kind, calls[""].tel, calls[""].seconds) == ("missed", None, None) and len(calls) == 2
+    texts = takeout.voice_messages(spark, str(tmp_path)).where("conversation = 'Cy'").orderBy("place").collect()
+    assert [(r.place, r.at, r.body, r.is_me) for r in texts] == [(0, None, "", False), (1, "t", "a\nb", False)]
