@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
@@ -36,7 +38,11 @@ from .chunks import pack_codes, returned, unpack_codes
 from .common import column, cut, small, task_number, texts
 from .words import slices
 
-LINKS = 3_000_000
+LINKS = 1_000_000
+MOST_SEEN = 250_000
+
+#: Where a space follows what is no white space; and a piece of B that holds such a place.
+_PIECE, _CROSSING = re.compile(r"(?<=\S)(?= )"), re.compile("[^▁]▁")
 
 
 class Sides:
@@ -58,17 +64,55 @@ class Sides:
             self.a_bytes[i] = bytes(byte_of[c] for c in entry)
         n = self.b.vocab_size()
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(n))]
+        if any(_CROSSING.search(p) for p in (self.b.id_to_piece(i) for i in range(n))):
+            raise ValueError("a piece of B crosses the beginning of a word")
+        self.space = self.b.piece_to_id("▁")
+        self.seen: dict[str, tuple[bytes, bytes] | None] = {}
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.printed = [b"%d%s" % (i, s) for i in range(len(self.a_bytes)) for s in (b",", b"|")] + [b"%d%s" % (i, s) for i in range(n) for s in (b",", b";")]
 
-    def encode(self, run: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides, empty where bytes aren't given back."""
-        a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in run], add_special_tokens=False)]
-        b = self.b.encode(run, num_threads=1)
-        for i, t in enumerate(run):
-            want = f" {t}".encode()
-            if not t or b"".join(map(self.a_bytes.__getitem__, a[i])) != want or b"".join(map(self.b_bytes.__getitem__, b[i])) != want:
-                a[i] = b[i] = []
+    def _learn(self, pieces: list[str]) -> None:
+        """Keep both sides' ids of pieces, which all begin with a space; none where a piece's bytes aren't given back.
+
+        Pieces that end in no white space are encoded as one text, which both sides cut where a piece begins.
+        """
+        joined = [p for p in pieces if not p[-1].isspace()]
+        if joined:
+            text = "".join(joined)
+            want, ends = text.encode(), np.cumsum([len(p.encode()) for p in joined])
+            sides = (self.a.encode(text, add_special_tokens=False).ids, self.a_bytes, self.a_sizes), (self.b.encode(text[1:]), self.b_bytes, self.b_sizes)
+            if all(b"".join(map(of.__getitem__, ids)) == want for ids, of, _ in sides):
+                cuts = []
+                for ids, _, sizes in sides:
+                    ids = np.array(ids, np.int32)
+                    at = np.searchsorted(np.cumsum(sizes[ids]), ends, side="right")
+                    packed, edges = ids.tobytes(), (4 * np.r_[0, at]).tolist()
+                    cuts.append([packed[x:y] for x, y in zip(edges, edges[1:])])
+                self.seen.update(zip(joined, zip(*cuts)))
+                pieces = [p for p in pieces if p[-1].isspace()]
+        for piece in pieces:
+            ids, other = self.a.encode(piece, add_special_tokens=False).ids, self.b.encode(piece[1:]) if len(piece) > 1 else [self.space]
+            want = piece.encode()
+            whole = b"".join(map(self.a_bytes.__getitem__, ids)) == want == b"".join(map(self.b_bytes.__getitem__, other))
+            self.seen[piece] = (np.array(ids, np.int32).tobytes(), np.array(other, np.int32).tobytes()) if whole else None
+
+    def encode(self, run: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of both sides as 32-bit numbers, empty where a text's bytes aren't given back.
+
+        Neither side has a token over a space that follows what is no white space, so a space and a text are cut there and the
+        pieces' ids are kept for pieces seen before; the store is bounded.
+        """
+        cut_up = [_PIECE.split(f" {t}") if t else [] for t in run]
+        if len(self.seen) > MOST_SEEN:
+            self.seen.clear()
+        if fresh := list({p for pieces in cut_up for p in pieces if p not in self.seen}):
+            self._learn(fresh)
+        a, b = [], []
+        for pieces in cut_up:
+            found = [self.seen[p] for p in pieces]
+            whole = None not in found
+            a.append(b"".join([x[0] for x in found]) if whole else b"")
+            b.append(b"".join([x[1] for x in found]) if whole else b"")
         return a, b
 
 
@@ -80,10 +124,10 @@ def sides(a_path: str, b_path: str) -> Sides:
 class Aligned:
     """The alignment of a run of documents: per document ``n_a``, ``n_b``, ``n_groups``, ``n_links``; ``pairs`` of all links in order."""
 
-    def __init__(self, both: Sides, a: list[list[int]], b: list[list[int]]):
+    def __init__(self, both: Sides, a: list[bytes], b: list[bytes]):
         self.both = both
-        self.n_a, self.n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        flat = [np.fromiter((i for ids in side for i in ids), np.int64, int(n.sum())) for side, n in ((a, self.n_a), (b, self.n_b))]
+        self.n_a, self.n_b = (np.array([len(x) // 4 for x in side], np.int64) for side in (a, b))
+        flat = [np.frombuffer(b"".join(side), np.int32).astype(np.int64) for side in (a, b)]
         ends = [np.cumsum(sizes[ids]) - 1 for sizes, ids in ((both.a_sizes, flat[0]), (both.b_sizes, flat[1]))]
         total = int(ends[0][-1]) + 1 if len(ends[0]) else 0
         hits = np.bincount(ends[0], minlength=total).astype(np.int8) + 2 * np.bincount(ends[1], minlength=total).astype(np.int8)
@@ -128,16 +172,17 @@ def aligned_chunks(rows: DataFrame, a_path: str, b_path: str, most_links: int =
         def row():
             ids, n_a, n_b, n_groups, shas, links_of = (sum((h[k] for h in held), []) for k in range(6))
             codes = np.concatenate([h[6] for h in held])
-            pairs, place = np.unique(codes, return_inverse=True)
+            place, pairs = pd.factorize(codes)
             own = np.repeat(np.arange(len(ids), dtype=np.int64), links_of) * max(1, len(pairs)) + place
-            distinct, times = np.unique(own, return_counts=True)
+            number_of, distinct = pd.factorize(own)  # in order of first occurrence, so documents stay in theirs
+            times = np.bincount(number_of, minlength=len(distinct))
             sizes = np.bincount(distinct // max(1, len(pairs)), minlength=len(ids))
             places = distinct % max(1, len(pairs))
             docs = np.bincount(places, minlength=len(pairs))
             fields = [
                 ("chunk", pa.int64(), number), ("ids", pa.list_(kind), ids), ("n_a", pa.list_(pa.int64()), n_a), ("n_b", pa.list_(pa.int64()), n_b),
                 ("n_groups", pa.list_(pa.int64()), n_groups), ("n_links", pa.list_(pa.int64()), links_of), ("digests", pa.list_(pa.string()), shas), ("sizes", pa.list_(pa.int64()), sizes),
-                ("places", pa.binary(), pack_codes(np.diff(places, prepend=0).astype(np.int32).view(np.uint32))), ("times", pa.binary(), pack_codes(times)),
+                ("places", pa.binary(), pack_codes(places)), ("times", pa.binary(), pack_codes(times)),
                 ("pairs", pa.list_(pa.int64()), pairs), ("docs", pa.list_(pa.int64()), docs),
             ]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for _, t, v in fields], [n for n, _, _ in fields])
@@ -176,7 +221,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             for i in range(batch.num_rows):
                 own = {c: column(batch, c)[i].values for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "digests")}
                 sizes = column(batch, "sizes")[i].values.to_numpy()
-                places, times = np.cumsum(unpack_codes(column(batch, "places")[i].as_py()).view(np.int32).astype(np.int64)), unpack_codes(column(batch, "times")[i].as_py()).astype(np.int64)
+                places, times = unpack_codes(column(batch, "places")[i].as_py()).astype(np.int64), unpack_codes(column(batch, "times")[i].as_py()).astype(np.int64)
                 value = np.zeros(len(places) + 1, np.int64)
                 listed = column(batch, "got")[i]
                 if listed.is_valid and len(listed.values):

@@ -75,6 +75,22 @@ def test_alignment_counts_cross_chunks(spark):
     assert rows_of(alignment.align(frame(spark, rows, 5), A, B, most_links=300)) == rows_of(alignment.align(frame(spark, rows, 1), A, B))
 
 
+def test_pieces_are_encoded_as_whole_texts_are():
+    """Texts of white space, signs and letters in any order: ids by pieces are those of the whole text."""
+    import random
+
+    import numpy as np
+
+    both, r = alignment.sides(A, B), random.Random(5)
+    parts = [*"ab e  .,'s\n\t\r1９é漢🎉\x85\x1c\x00▁<|>İ-_", "'ll", "the ", " to", "  ", "\n\n"]
+    for _ in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        whole = both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)
+        same = text and all(b"".join(of[i] for i in ids) == (" " + text).encode() for ids, of in zip(whole, (both.a_bytes, both.b_bytes)))
+        for got, want in zip(both.encode([text]), whole):
+            assert np.frombuffer(got[0], np.int32).tolist() == (want if same else []), repr(text)
+
+
 def test_alignment_takes_odd_and_empty_tables(spark):
     odd = odd_rows(spark)
     got = alignment.align(odd, A, B).collect()
