@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.durable import shared_dir
+from mnemora.operators import versioned
 from mnemora.plans.registry import query
 from mnemora.plans.views import GRID_SQL, chat_grid
 from mnemora.sources import readers, takeout, tei
@@ -122,6 +124,30 @@ def src_csv_export(t):
     return readers.csv_export(t.spark, root, "Key").select("id", "Note", "Note_2")
 
 
+@query("SELECT 'region_' || n_regionkey AS table_name, n_nationkey::VARCHAR AS id, n_name || ', \"' || n_regionkey || '\"' AS \"Name\", CASE WHEN n_regionkey % 2 = 0 THEN 'new' ELSE 'old' END AS \"State\" FROM nation WHERE n_regionkey % 2 = 1 OR n_nationkey % 3 <> 0")
+def src_csv_replace(t):
+    """Exports with notes before their header; one that comes again replaces its whole table and leaves the others."""
+    def exported(rows, state):
+        root = _folder(t)
+        line = F.concat(F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit(', ""'), F.col("n_regionkey").cast("string"), F.lit(f'""",{state}'))
+        lines = F.concat(F.lit("Notes:\n\"When exporting, some rows are missing\"\n\nKey,Name,State\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n"))
+        rows.groupBy(F.col("n_regionkey").alias("region")).agg(lines.alias("value")).repartition("region").write.partitionBy("region").text(root)
+        return _renamed(t, root, "Region {parent}.csv")
+
+    def read(root, regions):
+        tables = []
+        for k in regions:  # files of an export
+            path = f"{root}/region={k}/Region {k}.csv"
+            table = readers.csv_export(t.spark, path, "Key", readers.preamble(t.spark, path, ["Key", "Name"]))
+            tables.append(table.select(F.lit(readers.table_name(path)).alias("table_name"), "id", "Name", "State"))
+        return reduce(DataFrame.unionByName, tables)
+
+    regions = sorted(r[0] for r in t.region.select("r_regionkey").collect())
+    stored = read(exported(t.nation, "old"), regions)
+    fresh = read(exported(t.nation.where("n_regionkey % 2 = 0 and n_nationkey % 3 <> 0"), "new"), [k for k in regions if k % 2 == 0])
+    return versioned.replace_documents(stored, fresh, "table_name")
+
+
 @query("SELECT 'space=' || (conv_id // 20) AS space, role AS sender, TIMESTAMP '2024-01-01 10:00:00' + to_minutes(turn) AS at, text FROM conversations")
 def src_takeout(t):
     minute = F.expr("timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(0, 0, turn, 0)")
