@@ -21,9 +21,10 @@ Windows are never shuffled one by one:
 Repeats inside one document are settled where the document is read. Lists are bounded by
 their document's length. Texts travel compressed and once, those with branching points twice.
 
-Defined cases: a null or empty text has no words; null ids come last in the order; rows that share an id
-count as the same document, so none of them removes words of another, but each keeps its own text;
-documents of under 20 words lose nothing; an empty table gives no rows.
+Defined cases: a null or empty text has no words; null ids come last, in the order of a hash of their texts, so that rows
+without ids neither meet at one key nor count as one document; rows that share an id (or have none, and one text) count as the same
+document, so none of them removes words of another, but each keeps its own text; documents of under 20 words lose nothing;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,12 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import column, column_bytes, cut, mix, texts, to_batches
+from .common import column, column_bytes, cut, keyed, mix, texts, to_batches
 from .words import Words, slices
 
 WINDOW = 20
 ANCHOR = 6
-LAST = 2**63 - 1
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -238,13 +238,13 @@ def compressed(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_words, n_removed, kept string)`` for every row; ids are whole numbers."""
-    return _resolved(texts(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("k"), "id", "text"))
+    return _resolved(texts(docs, id_col, text_col).select(keyed("id", "text")[0], "id", "text"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept text in place; its other columns come along. ``n_chars``, where there is one, follows the text."""
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), rest.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(keyed(id_col, text_col)[0], rest.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     now = {text_col: F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return _resolved(rows).select(*[now.get(c, F.col("id")[c]).alias(c) for c in docs.columns])
 

@@ -124,6 +124,20 @@ def test_substring_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 9
 
 
+def test_substring_null_ids_are_documents_of_their_own(spark):
+    """A passage that many rows without ids share stays once; equal rows without ids keep what they have."""
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows = [(None, f"{shared} {i}") for i in range(40)] + [(None, "twice " * 25)] * 2 + [(7, f"x {shared}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert len(got) == len(rows)
+    assert not any("s0" in r.kept for r in got if r.id is None)  # the row with an id comes first
+    assert next(r for r in got if r.id == 7).n_removed == 0
+    without = [r.n_removed for r in substring_dedup.remove_repeats(docs.where("doc_id is null")).collect() if r.n_words == 31]
+    assert sorted(without) == [0] + [30] * 39
+    assert [r.n_removed for r in got if r.n_words == 25] == [24, 24]  # one id and one text: only repeats inside it go
+
+
 def _norm(x):
     return regex.sub(r"[^\p{L}\p{N}]+", " ", regex.sub("[0-9]", "0", x.lower())).strip(" ")
 
