@@ -9,7 +9,9 @@ the input. Then half of the units move to the class of the greatest likelihood,
 so that two units don't follow one another in a circle.
 
 Emissions use exact counts of every training word, tail included; these are gathered over all
-training documents by chunk dictionaries (see ``chunks``). Transitions are smoothed by the classes'
+training documents by chunk dictionaries (see ``chunks``): one aggregate over words, with partial sums in the
+map tasks, and a join of the counts with the chunks that have the word. The frequent words, which nearly all chunks have, are numbered and
+counted in the tasks and take no part in that join. Transitions are smoothed by the classes'
 own shares. A word unknown in training is one more type; after each class it has the Good-Turing
 mass of words seen once. The class model is mixed with a little of the add-half unigram, so
 every probability is positive and they sum to 1 over known words, the end and the unknown type.
@@ -26,11 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import column, cut
+from .common import column, cut, discard, small
 
 FOLDS, HELD_OUT = 5, 1
 
@@ -55,12 +57,16 @@ def split(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _numbered(joined: DataFrame, frequent: list[bytes], shape: Shape) -> DataFrame:
-    """Chunks with the global count and the unit of each of their words, as binary arrays."""
+def _numbered(joined: DataFrame, frequent: dict[bytes, int], shape: Shape) -> DataFrame:
+    """Chunks with the global count and the unit of each of their words, as binary arrays.
+
+    ``frequent``: counts of the frequent words, the most frequent first; ``got`` has those of the others.
+    """
     id_type = joined.schema["ids"].dataType.simpleString()
 
     def run(batches):
         place = {w: k + 1 for k, w in enumerate(frequent)}
+        pooled = 1 + shape.frequent
         for batch in batches:
             got = column(batch, "got")
             for i in range(batch.num_rows):
@@ -68,7 +74,9 @@ def _numbered(joined: DataFrame, frequent: list[bytes], shape: Shape) -> DataFra
                 counts = np.zeros(len(words), "<i8")
                 if got[i].is_valid and len(got[i].values):
                     counts[got[i].values.field("place").to_numpy()] = got[i].values.field("c").to_numpy()
-                units = np.fromiter((place.get(w) or 1 + shape.frequent + zlib.crc32(w[-3:]) % shape.pools for w in words), "<u2", len(words))
+                units = np.fromiter((place.get(w) or pooled + zlib.crc32(w[-3:]) % shape.pools for w in words), "<u2", len(words))
+                often = np.flatnonzero((units > 0) & (units < pooled))
+                counts[often] = [frequent[words[j]] for j in often]
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*(column(one, c) for c in ("ids", "sizes", "train", "codes")), pa.array([counts.tobytes()], pa.binary()), pa.array([units.tobytes()], pa.binary())], ["ids", "sizes", "train", "codes", "counts", "units"])
 
@@ -158,17 +166,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("train", ~held_out)
     written = chunks.chunks(rows, split)
-    by_word = Window.partitionBy("word")
-    counted = cut(
-        chunks.words_of(written)
-        .select("chunk", "place", "word", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"))
-        .select("chunk", "place", "c", F.when(F.col("first") & (F.col("c") > 0), F.col("word")).alias("word"))
-    )
-    sums = counted.where("word is not null").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    each = chunks.words_of(written)
+    counted = cut(each.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
+    sums = counted.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     texts_taught = written.select(F.sum(F.size(F.filter("train", lambda t: t))).alias("n")).first()["n"] or 0
     total, distinct = (sums["n"] or 0) + texts_taught, sums["v"] + (texts_taught > 0)
-    frequent = [bytes(r["word"]) for r in counted.where("word is not null").orderBy(F.desc("c"), "word").limit(shape.frequent).select("word").collect()]
-    found = cut(_numbered(chunks.returned(written, counted, "c"), frequent, shape))
+    frequent = {bytes(r["word"]): r["c"] for r in counted.orderBy(F.desc("c"), "word").limit(shape.frequent).collect()}
+    known = small(docs.sparkSession.createDataFrame([(bytearray(w),) for w in frequent], "word binary"), 1, sum(map(len, frequent)))
+    counts = cut(each.join(known, "word", "left_anti").join(counted, "word").select("chunk", "place", "c"))
+    found = cut(_numbered(chunks.returned(written, counts, "c"), frequent, shape))
+    discard(written, counted, counts)
     classes, matrices = cluster(found, shape)
 
     k, m = shape.classes, shape.units
@@ -182,13 +189,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     emit = follow * (1 - unknown)[:, None] / np.maximum(size, 1)[None, :]  # times the word's count
     id_type = docs.schema[id_col].dataType.simpleString()
     scale = total + 0.5 * (distinct + 1)
-    mixing, small = shape.unigram, classes.astype(np.uint8)
+    mixing, class_of = shape.unigram, classes.astype(np.uint8)
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 units, counts, ends = _sequence(batch, i, texts_taught, False)
-                c, p = small[units], small[np.r_[np.uint16(0), units[:-1]] if len(units) else units]
+                c, p = class_of[units], class_of[np.r_[np.uint16(0), units[:-1]] if len(units) else units]
                 base = (counts + 0.5) / scale
                 own = np.where(counts > 0, emit[p, c] * counts, unknown[p])
                 starts = np.r_[0, ends[:-1] + 1]

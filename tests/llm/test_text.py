@@ -304,6 +304,76 @@ def test_lm_probabilities_sum_to_one(spark):
     assert p[""] < 1 and all(p[w] > 0 for w in first)
 
 
+def test_lm_scores_are_the_plain_ones(spark, monkeypatch):
+    """Class and word probabilities summed token by token, with given classes, from counts in dictionaries."""
+    rows = corpus(60) + [(900, ""), (901, "never seen before"), (902, "A a\ta")]
+    shape = class_lm.Shape(frequent=20, pools=8, classes=6, iterations=2)
+    given_classes = np.arange(shape.units) * 7 % (shape.classes - 1) + 1
+    given_classes[0] = 0
+    monkeypatch.setattr(class_lm, "cluster", lambda found, s: (given_classes, class_lm._matrices(found, given_classes, s)))
+    got = {r.id: r.score for r in class_lm.score_texts(frame(spark, rows, 4), shape=shape).collect()}
+
+    texts = {i: [*t.encode().lower().split(), None] for i, t in rows}
+    taught = [w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(x for w in taught for x in w)
+    n, v, ends = sum(counts.values()), len(counts), counts[None]
+    often = sorted((x for x in counts if x is not None), key=lambda x: (-counts[x], x))[: shape.frequent]
+
+    def of(x):
+        unit = 0 if x is None else 1 + often.index(x) if x in often else 1 + shape.frequent + zlib.crc32(x[-3:]) % shape.pools
+        return int(given_classes[unit])
+
+    moves, into, after, once = Counter(), Counter(), Counter(), Counter()
+    for w in taught:
+        for previous, x in zip([None, *w], w):
+            moves[of(previous), of(x)] += 1
+            into[of(x)] += 1
+            after[of(previous)] += 1
+            once[of(previous)] += x is not None and counts[x] == 1
+    unseen = (sum(once.values()) + 1) / (n + 2)
+    assert ends > 1
+    for i, w in texts.items():
+        plain = 0.0
+        for previous, x in zip([None, *w], w):
+            p, c = of(previous), of(x)
+            unknown = (once[p] + 20 * unseen) / (after[p] + 20)
+            follow = (moves[p, c] + 50 * into[c] / n) / (after[p] + 50)
+            own = follow * (1 - unknown) * counts[x] / into[c] if counts[x] else unknown
+            plain += math.log10((1 - shape.unigram) * own + shape.unigram * (counts[x] + 0.5) / (n + 0.5 * (v + 1)))
+        assert abs(got[i] - plain) < 1e-9 * max(1, abs(plain))
+
+
+def test_lm_exchange_gains_likelihood(spark):
+    """The classes kept are at least as likely as those it begins with, counted from the texts alone."""
+    rows = corpus(60)
+    shape = class_lm.Shape(frequent=30, pools=8, classes=6, iterations=4)
+    held = {}
+    cluster = class_lm.cluster
+
+    def kept(found, s):
+        held["classes"], matrices = cluster(found, s)
+        return held["classes"], matrices
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(class_lm, "cluster", kept)
+        class_lm.score_texts(frame(spark, rows, 4), shape=shape).count()
+    taught = [t.encode().lower().split() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(x for w in taught for x in w)
+    often = {x: j + 1 for j, x in enumerate(sorted(counts, key=lambda x: (-counts[x], x))[: shape.frequent])}
+
+    def likelihood(classes):
+        pairs, sizes = Counter(), Counter()
+        for w in taught:
+            cs = [classes[often.get(x) or 1 + shape.frequent + zlib.crc32(x[-3:]) % shape.pools] for x in w] + [0]
+            pairs.update(zip([0, *cs], cs))
+            sizes.update(cs)
+        return sum(m * math.log(m) for m in pairs.values()) - 2 * sum(m * math.log(m) for m in sizes.values())
+
+    start = np.arange(shape.units) % (shape.classes - 1) + 1
+    start[0] = 0
+    assert likelihood([int(c) for c in held["classes"]]) > likelihood([int(c) for c in start])
+
+
 def test_lm_odd_rows(spark):
     docs = odd_rows(spark)
     shape = class_lm.Shape(frequent=16, pools=4, classes=4, iterations=1)
