@@ -303,3 +303,17 @@ def test_readers_of_odd_files(spark, tmp_path):
 def test_stream_results_are_tables(spark, sf_dir):
     rows = stream.latest(spark, stream.read(spark, sf_dir, 1), ["user_id"])
     assert rows.count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+
+
+def test_a_content_at_many_paths_gives_all_pairs(spark, monkeypatch):
+    """Pairs of one content are made by several tasks, each pair once."""
+    from mnemora.operators import files
+
+    monkeypatch.setattr(files, "DEALT", 7)
+    old = spark.range(60).select(F.concat(F.lit("a/"), F.col("id").cast("string")).alias("path"), F.when(F.col("id") < 50, "x").otherwise(F.col("id").cast("string")).alias("hash"))
+    new = old.where("hash <> '59'").select(F.concat("path", F.lit(".moved")).alias("path"), "hash")
+    found = files.moved(old, new).withColumn("task", F.spark_partition_id())
+    rows = found.collect()
+    want = {(h, f"a/{i}", f"a/{j}.moved") for h, own in [("x", range(50)), *[(str(k), [k]) for k in range(50, 59)]] for i in own for j in own}
+    assert len(rows) == len(want) and {(r.hash, r.from_path, r.to_path) for r in rows} == want
+    assert len({r.task for r in rows if r.hash == "x"}) > 1
