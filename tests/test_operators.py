@@ -317,3 +317,15 @@ def test_a_content_at_many_paths_gives_all_pairs(spark, monkeypatch):
     want = {(h, f"a/{i}", f"a/{j}.moved") for h, own in [("x", range(50)), *[(str(k), [k]) for k in range(50, 59)]] for i in own for j in own}
     assert len(rows) == len(want) and {(r.hash, r.from_path, r.to_path) for r in rows} == want
     assert len({r.task for r in rows if r.hash == "x"}) > 1
+
+
+def test_ignore_lines_broadcast_no_entries(spark):
+    """Tables of entries aren't taken to the driver, however few bytes they were read from."""
+    from mnemora.operators import ignore
+
+    entries = spark.range(40).select(F.concat(F.lit("d/"), F.col("id").cast("string"), F.lit(".tmp")).alias("path"), F.lit(False).alias("is_dir")).unionByName(spark.sql("select 'd' as path, true as is_dir"))
+    found = ignore.ignored(entries, spark.createDataFrame([("", ["*.tmp", "!3*"])], "directory string, patterns array<string>"))
+    assert found.where("kept").count() == 12  # 3, 30 to 39 and the directory
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("BroadcastHashJoin") <= 1  # the frames' lines alone
