@@ -250,7 +250,7 @@ def r_route(t):
     def fails(text, n):
         raise ValueError("no index")
 
-    found = [("fields", routed(rows, Filters(equal=[("author", "user")]), hits, MOST_ROWS)), ("text", routed(rows, Filters(text="th"), fails, MOST_ROWS)), ("ranked", routed(rows, Filters(text="th", equal=[("kind", "User Input")]), hits, MOST_ROWS))]
+    found = [("fields", routed(rows, Filters(equal=[("author", "user")]), hits, None)), ("text", routed(rows, Filters(text="th"), fails, None)), ("ranked", routed(rows, Filters(text="th", equal=[("kind", "User Input")]), hits, None))]
     parts = [d.select(F.lit(how).alias("how"), "uuid") for how, (d, _) in found]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

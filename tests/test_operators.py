@@ -329,3 +329,14 @@ def test_ignore_lines_broadcast_no_entries(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("BroadcastHashJoin") <= 1  # the frames' lines alone
+
+
+def test_a_search_for_all_rows_is_not_cut(spark, monkeypatch):
+    from mnemora.operators import search
+
+    monkeypatch.setattr(search, "MOST_ROWS", 5)
+    rows = spark.range(40).select(F.col("id").cast("string").alias("uuid"), F.lit("User Input").alias("kind"), F.lit("the").alias("text"), F.lit(None).cast("timestamp_ntz").alias("when_ts_utc"))
+    hits = lambda text, n: rows.select("uuid", F.lit(0).alias("rank"), F.lit(1.0).alias("score")) if n is None else None
+    for q, retrieve in ((search.Filters(), None), (search.Filters(text="th"), None), (search.Filters(text="th"), hits)):
+        assert search.routed(rows, q, retrieve, None)[0].count() == 40
+    assert search.search(rows, search.Filters(), 9).count() == 5
