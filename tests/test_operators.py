@@ -340,3 +340,19 @@ def test_a_search_for_all_rows_is_not_cut(spark, monkeypatch):
     for q, retrieve in ((search.Filters(), None), (search.Filters(text="th"), None), (search.Filters(text="th"), hits)):
         assert search.routed(rows, q, retrieve, None)[0].count() == 40
     assert search.search(rows, search.Filters(), 9).count() == 5
+
+
+def test_an_alignment_takes_no_table_of_both_sides(monkeypatch):
+    """Many strips and blocks give the groups that one gives, and the memory isn't the product of the sides."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    a, b, la, lb = r.normal(size=(1500, 8)), r.normal(size=(1300, 8)), r.integers(1, 20, 1500), r.integers(1, 20, 1300)
+    whole = align.groups(a, b, la, lb)
+    monkeypatch.setattr(align, "STRIP_CELLS", 1 << 14, raising=False)
+    tracemalloc.start()
+    found = align.groups(a, b, la, lb)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == whole
+    assert peak < 1500 * 1300 * 8
