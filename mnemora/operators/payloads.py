@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 MAP = "map<string,variant>"
 
 
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; inside functions of arrays and maps Spark computes each use anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _object(value: Column) -> Column:
     """A VARIANT object as a map; null where it is something else."""
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), F.variant_get(value, "$", MAP))
@@ -42,7 +47,7 @@ def _without(entries: Column, tree: dict) -> Column:
     def value(k: Column, v: Column) -> Column:
         out = v
         for name, below in inner.items():
-            out = F.when((k == name) & _object(v).isNotNull(), _variant(_without(_object(v), below))).otherwise(out)
+            out = F.when(k == name, _named(_object(v), lambda o: F.when(o.isNotNull(), _variant(_without(o, below))).otherwise(v))).otherwise(out)  # noqa: B023
         return out
 
     return F.transform_values(kept, value)
@@ -56,7 +61,7 @@ def _taken(entries: Column, tree: dict) -> Column:
     def value(k: Column, v: Column) -> Column:
         out = v
         for name, below in inner.items():
-            out = F.when(k == name, F.when(_object(v).isNotNull(), _variant(_taken(_object(v), below))).otherwise(F.parse_json(F.lit("{}")))).otherwise(out)
+            out = F.when(k == name, _named(_object(v), lambda o: F.when(o.isNotNull(), _variant(_taken(o, below))).otherwise(F.parse_json(F.lit("{}"))))).otherwise(out)  # noqa: B023
         return out
 
     filled = F.transform_values(found, value) if inner else found
@@ -66,10 +71,12 @@ def _taken(entries: Column, tree: dict) -> Column:
 def split_volatile(payload: Column, paths: list[tuple[str, ...]]) -> Column:
     """``struct<base, volatile>`` of a JSON object: it without the fields of ``paths``, and those at the same places, null where there are none."""
     tree = _tree(paths)
-    entries = _object(F.try_parse_json(payload))
-    taken = _taken(entries, tree)
-    base = F.when(entries.isNotNull(), F.to_json(_variant(_without(entries, tree)))).otherwise(F.to_json(F.try_parse_json(payload)))
-    return F.struct(base.alias("base"), F.when(F.size(taken) > 0, F.to_json(_variant(taken))).alias("volatile"))
+
+    def split(entries: Column, whole: Column) -> Column:
+        base = F.when(entries.isNotNull(), F.to_json(_variant(_without(entries, tree)))).otherwise(F.to_json(whole))
+        return F.struct(base.alias("base"), _named(_taken(entries, tree), lambda taken: F.when(F.size(taken) > 0, F.to_json(_variant(taken)))).alias("volatile"))
+
+    return _named(F.try_parse_json(payload), lambda whole: _named(_object(whole), lambda entries: split(entries, whole)))
 
 
 def overlay(base: Column, volatile: Column, depth: int = 8) -> Column:
@@ -81,12 +88,13 @@ def overlay(base: Column, volatile: Column, depth: int = 8) -> Column:
     def merged(x: Column, y: Column, left: int) -> Column:
         if not left:
             return y
-        a, b = _object(x), _object(y)
-        both = F.map_zip_with(a, b, lambda k, v, w: F.when(~F.map_contains_key(b, k), v).when(~F.map_contains_key(a, k), w).otherwise(merged(v, w, left - 1)))
-        return F.when(a.isNotNull() & b.isNotNull(), _variant(both)).otherwise(y)
 
-    over = F.to_json(merged(F.try_parse_json(base), F.try_parse_json(volatile), depth))
-    return F.when(volatile.isNull(), F.to_json(F.try_parse_json(base))).otherwise(over)
+        def both(a: Column, b: Column) -> Column:  # a JSON null is a value: only a missing name is a null here
+            return F.map_zip_with(a, b, lambda k, v, w: F.when(w.isNull(), v).when(v.isNull(), w).otherwise(merged(v, w, left - 1)))
+
+        return _named(_object(x), lambda a: _named(_object(y), lambda b: F.when(a.isNotNull() & b.isNotNull(), _variant(both(a, b))).otherwise(y)))
+
+    return _named(F.try_parse_json(base), lambda x: _named(volatile, lambda v: F.to_json(F.when(v.isNull(), x).otherwise(_named(F.try_parse_json(v), lambda y: merged(x, y, depth))))))
 
 
 def fingerprint(version: int, head: list[Column], items: Column | None = None, order: Column | None = None) -> Column:

@@ -33,9 +33,10 @@ def volatile_split(t):
     "SELECT c_custkey, '{\"c_nationkey\":' || c_nationkey || ',\"parent\":null,\"topic\":{\"last_set\":' || trunc(c_acctbal)::BIGINT || ',\"value\":\"\"},\"updated\":' || c_custkey || '}' AS whole, '{\"a\":1,\"b\":null,\"c\":' || c_custkey || '}' AS over FROM customer"
 )
 def overlay(t):
-    split = payloads.split_volatile(_payload(), _PATHS)
     over = F.concat(F.lit('{"b":null,"c":'), F.col("c_custkey").cast("string"), F.lit("}"))
-    return t.customer.select("c_custkey", payloads.overlay(split["base"], split["volatile"]).alias("whole"), payloads.overlay(F.lit('{"a":1,"b":2}'), over).alias("over"))
+    customers = t.customer.select("c_custkey", "c_nationkey", "c_acctbal").repartition("c_custkey")  # few bytes to read, much to do for each row
+    split = customers.select("c_custkey", payloads.split_volatile(_payload(), _PATHS).alias("s"))
+    return split.select("c_custkey", payloads.overlay(F.col("s.base"), F.col("s.volatile")).alias("whole"), payloads.overlay(F.lit('{"a":1,"b":2}'), over).alias("over"))
 
 
 # ---- fingerprints

@@ -356,3 +356,16 @@ def test_an_alignment_takes_no_table_of_both_sides(monkeypatch):
     tracemalloc.stop()
     assert found == whole
     assert peak < 1500 * 1300 * 8
+
+
+def test_overlay_reads_each_side_once(spark):
+    """However deep objects may be, a payload is parsed once and not for each name and level."""
+    import re
+
+    from mnemora.operators import payloads
+
+    rows = spark.createDataFrame([('{"a":{"x":1},"n":null}', '{"a":{"y":null},"c":2}')], "b string, v string").repartition(1)
+    found = rows.select(payloads.overlay(F.col("b"), F.col("v")).alias("o"))
+    assert found.first().o == '{"a":{"x":1,"y":null},"c":2,"n":null}'
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"parse_?json\(b#|parseJson[^,]*, b#|b#\d+", plan.split("\n")[0], re.I)) <= 2
