@@ -15,6 +15,15 @@ from mnemora.plans.views import GRID_SQL, chat_grid
 from mnemora.sources import readers, takeout, tei
 
 
+#: Files are moved to their place by the tasks that wrote them, not one by one by the driver at the end.
+BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def _tasks(t) -> int:
+    """How many tasks write files, stated: left to Spark few bytes are one task, however many files they are."""
+    return int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _folder(t) -> str:
     return f"{shared_dir(t.spark)}/mnemora-source-{uuid.uuid4().hex}"
 
@@ -29,7 +38,7 @@ def _bucketed(t, lines: DataFrame, head: str = "", tail: str = "", separator: st
     """``lines (bucket, line)`` as a text file for each bucket, between a head and a tail; a bucket is few lines, however many there are."""
     path = _folder(t)
     whole = F.concat(F.lit(head), F.array_join(F.collect_list("line"), separator), F.lit(tail))
-    lines.groupBy(by).agg(whole.alias("value")).repartition(by).write.partitionBy(by).text(path)
+    lines.groupBy(by).agg(whole.alias("value")).repartition(_tasks(t), by).write.options(**BY_TASKS).partitionBy(by).text(path)
     return path
 
 
@@ -69,7 +78,7 @@ def src_sidecars(t):
     document = F.to_json(F.struct("markdown_uuid", "rows"))
     bucket = F.floor(F.regexp_extract("markdown_uuid", "([0-9]+)$", 1).cast("long") / 50)  # a file holds few documents, however many there are
     files = listed.groupBy(bucket.alias("bucket")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(document), ",\n"), F.lit("\n]")).alias("value"))
-    files.repartition("bucket").write.partitionBy("bucket").text(f"{root}/first/rendered_md")
+    files.repartition(_tasks(t), "bucket").write.options(**BY_TASKS).partitionBy("bucket").text(f"{root}/first/rendered_md")
     files.where("bucket = 0").write.partitionBy("bucket").text(f"{root}/first/rendered_md/system")
     _renamed(t, f"{root}/first/rendered_md", "part_{}.grid_rows.json")
     _renamed(t, f"{root}/first/rendered_md/system", "own_{}.grid_rows.json")
@@ -211,8 +220,7 @@ def src_takeout_voice(t):
     listed = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]), "\n").alias("x"))
     pages = listed.select("conv_id", F.concat(F.lit('<?xml version="1.0" ?><html><body><div class="participants"><a class="tel" href="tel:+0"><span class="fn">All</span></a></div><div class="hChatLog hfeed">'), "x", F.lit("</div></body></html>")).alias("value"))
     root = _folder(t)
-    pages.withColumn("file", F.concat(F.lit("Ann "), F.col("conv_id").cast("string"), F.lit(" - Text - 2024"))).select("file", "value").repartition("file").write.partitionBy("file").text(root)
-    _renamed(t, root, "{parent}.html")
+    pages.withColumn("file", F.concat(F.lit("Ann "), F.col("conv_id").cast("string"), F.lit(" - Text - 2024.html"))).select("file", "value").repartition(_tasks(t), "file").write.options(**BY_TASKS).partitionBy("file").text(root)
     read = takeout.voice_messages(t.spark, root)
     return read.select("conversation", F.col("place").cast("long").alias("place"), "at", "is_me", "name", "tel", "body", F.array_join("attachments", ",").alias("attachments"))
 
@@ -261,7 +269,7 @@ def src_sensor_csv(t):
     name = F.concat(F.lit("d"), (F.col("user_id") % 4).cast("string"), F.lit("-"), F.floor(F.col("event_id") / 500).cast("string"))  # a file holds few readings
     files = t.events.groupBy(name.alias("device"), head.alias("head")).agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
     root = _folder(t)
-    files.select("device", F.concat_ws("\n", "head", "lines").alias("value")).repartition("device").write.partitionBy("device").text(root)
+    files.select("device", F.concat_ws("\n", "head", "lines").alias("value")).repartition(_tasks(t), "device").write.options(**BY_TASKS).partitionBy("device").text(root)
     return readers.sensor_csv(t.spark, f"{root}/*", device=r"/device=(d[0-9]+)-[^/]*/[^/]+$")
 
 

@@ -86,11 +86,14 @@ class Conversation(HTMLParser):
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
-    """``(conversation, type, content)``: files are named by the other party, the type and the time."""
-    form = r"([^/]*?) - ([A-Za-z ]+) - [^/]*\.html$"
+    """``(conversation, type, content)``: files are named by the other party, the type and the time.
+
+    Where Spark wrote the export, a folder ``<column>=<name>.html`` with one part stands for a file.
+    """
+    form = r"(?:(?<=/)[^/=]+=(?=[^/]*\.html/part-))?([^/]*?) - ([A-Za-z ]+) - [^/]*\.html(?:/part-[^/]*)?$"
     path = F.try_url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(root)
-    return files.select(F.regexp_extract(path, form, 1).alias("conversation"), F.regexp_extract(path, form, 2).alias("type"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{*.html,part-*}").load(root)
+    return files.where(path.rlike(form)).select(F.regexp_extract(path, form, 1).alias("conversation"), F.regexp_extract(path, form, 2).alias("type"), "content")
 
 
 def voice_messages(spark: SparkSession, root: str) -> DataFrame:

@@ -279,3 +279,10 @@ def test_takeout_calls_and_odd_messages(spark, tmp_path):
     assert (calls[""].kind, calls[""].tel, calls[""].seconds) == ("missed", None, None) and len(calls) == 2
     texts = takeout.voice_messages(spark, str(tmp_path)).where("conversation = 'Cy'").orderBy("place").collect()
     assert [(r.place, r.at, r.body, r.is_me) for r in texts] == [(0, None, "", False), (1, "t", "a\nb", False)]
+
+
+def test_voice_folders_that_spark_wrote_stand_for_files(spark, tmp_path):
+    page = '<div class="message"><cite class="sender"><span class="fn">Me</span></cite>: <q>hi</q></div>'
+    spark.createDataFrame([("Ann = B - Text - 2024.html", page), ("Cy - Text - 2024.html", page)], "file string, value string").write.partitionBy("file").text(str(tmp_path / "out"))
+    (tmp_path / "out" / "Di=E - Text - 2024.html").write_text(page)
+    assert sorted(r.conversation for r in takeout.voice_messages(spark, str(tmp_path / "out")).collect()) == ["Ann = B", "Cy", "Di=E"]
