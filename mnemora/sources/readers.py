@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import csv
 import email
+import email.headerregistry
 import email.policy
 import hashlib
 import re
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mnemora.durable import cut
 from mnemora.functions.columns import epoch_ms
 
 def raw_payloads(table: DataFrame, schema: str, key: str = "id", payload: str = "payload") -> DataFrame:
@@ -118,12 +120,13 @@ def mms_backup(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     parts = F.coalesce("parts.part", F.array().cast(f"array<{part}>"))
     identity = F.sha2(F.to_json(F.struct("_address", "_date", "_msg_box", "_m_id", "parts"), {"ignoreNullFields": "false"}), 256)
     plain = F.transform(F.filter(parts, lambda x: x["_ct"] == "text/plain"), lambda x: x["_text"])
-    others = F.filter(parts, lambda x: ~x["_ct"].isin("text/plain", "application/smil"))
+    named = lambda x: F.coalesce(*[F.when(x[c] != "null", x[c]) for c in ("_cl", "_name")])
+    content = lambda x: F.try_to_binary(x["_data"], F.lit("base64"))
+    others = F.transform(F.filter(parts, lambda x: ~x["_ct"].isin("text/plain", "application/smil")), lambda x: F.struct(named(x).alias("name"), x["_ct"].alias("content_type"), F.octet_length(content(x)).alias("size"), F.sha2(content(x), 256).alias("hash")))
     read = rows.select(identity.alias("id"), F.col("_address").alias("address"), F.col("_date").cast("long").alias("at_ms"), (F.col("_msg_box") == "2").alias("outgoing"), F.array_join(plain, "\n").alias("body"), others.alias("others"))
+    read = cut(read)  # both tables are of one read of the backup
     each = read.select("id", F.posexplode("others").alias("place", "x"))
-    content = F.try_to_binary("x._data", F.lit("base64"))
-    named = F.coalesce(*[F.when(F.col(f"x.{c}") != "null", F.col(f"x.{c}")) for c in ("_cl", "_name")])
-    return read.select("id", "address", "at_ms", "outgoing", "body", F.size("others").alias("n_attachments")), each.select("id", "place", named.alias("name"), F.col("x._ct").alias("content_type"), F.octet_length(content).alias("size"), F.sha2(content, 256).alias("hash"))
+    return read.select("id", "address", "at_ms", "outgoing", "body", F.size("others").alias("n_attachments")), each.select("id", "place", "x.*")
 
 
 def sensor_csv(spark: SparkSession, path: str, time_column: str = "time", device: str = r"([^/]+)\.csv$") -> DataFrame:
@@ -144,16 +147,52 @@ def sensor_csv(spark: SparkSession, path: str, time_column: str = "time", device
     return read.where("value is not null")
 
 
+class _Headers(email.headerregistry.HeaderRegistry):
+    """The default policy's header classes, each made once: as it is, the registry makes a class for every header of every mail."""
+
+    def __init__(self):
+        super().__init__()
+        self.made: dict[type, type] = {}
+
+    def __getitem__(self, name):
+        kind = self.registry.get(name.lower(), self.default_class)
+        if kind not in self.made:
+            self.made[kind] = super().__getitem__(name)
+        return self.made[kind]
+
+    def __reduce__(self):
+        return type(self), ()
+
+
+#: The bytes and the number of mails that are taken apart at once.
+MAIL_BYTES, MAIL_ROWS = 4 << 20, 256
+
+
+def _mails(batches):
+    """``[(position, mail)]`` of an Arrow batch's mails, in runs of bounded bytes."""
+    policy = email.policy.default.clone(header_factory=_Headers())
+    for batch in batches:
+        held, weight = [], 0
+        for position, value in zip(batch.column(0), batch.column(1)):
+            raw = value.as_py() or b""
+            held.append((position.as_py(), email.message_from_bytes(raw.partition(b"\n")[2], policy=policy)))
+            weight += len(raw)
+            if weight >= MAIL_BYTES or len(held) >= MAIL_ROWS:
+                yield held
+                held, weight = [], 0
+        if held:
+            yield held
+
+
 def mailbox(spark: SparkSession, path: str) -> DataFrame:
     """``(position, sender, subject, date, labels, body)`` of the mails of an mbox file, split at ``From `` lines by Spark's line separator."""
     parts = spark.read.option("lineSep", "\nFrom ").text(path).select(F.monotonically_increasing_id().alias("position"), F.col("value").cast("binary").alias("value"))
     schema = pa.schema([("position", pa.int64()), ("sender", pa.string()), ("subject", pa.string()), ("date", pa.string()), ("labels", pa.string()), ("body", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for mails in _mails(batches):
             rows = []
-            for position, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mail = email.message_from_bytes((value or b"").partition(b"\n")[2], policy=email.policy.default)
+            for position, mail in mails:
                 text = re.sub(r"(?m)^>(>*From )", r"\1", _content(mail.get_body(("plain", "html"))))
                 rows.append((position, mail["From"], mail["Subject"], mail["Date"], mail["X-Gmail-Labels"], text))
             columns = list(zip(*rows)) if rows else [[] for _ in schema]
@@ -172,10 +211,9 @@ def mail_attachments(spark: SparkSession, path: str) -> DataFrame:
     names = ["position", "place", "name", "content_type", "size", "hash"]
 
     def run(batches):
-        for batch in batches:
+        for mails in _mails(batches):
             rows = []
-            for position, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mail = email.message_from_bytes((value or b"").partition(b"\n")[2], policy=email.policy.default)
+            for position, mail in mails:
                 for place, part in enumerate(mail.iter_attachments() if mail.is_multipart() else ()):
                     content = part.get_payload(decode=True) or b""
                     rows.append((position, place, part.get_filename(), part.get_content_type(), len(content), hashlib.sha256(content).hexdigest()))

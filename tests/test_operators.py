@@ -369,3 +369,15 @@ def test_overlay_reads_each_side_once(spark):
     assert found.first().o == '{"a":{"x":1,"y":null},"c":2,"n":null}'
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"parse_?json\(b#|parseJson[^,]*, b#|b#\d+", plan.split("\n")[0], re.I)) <= 2
+
+
+def test_mails_share_their_header_classes():
+    """The default policy makes a class for each header of each mail, which a task's memory grows with."""
+    import pyarrow as pa
+
+    mails = [f"From x\nFrom: a{n}@example.org\nSubject: =?utf-8?q?caf=C3=A9?= {n}\nX-Own: v\n\nbody".encode() for n in range(600)]
+    runs = list(readers._mails([pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(mails)], ["position", "value"])]))
+    assert [p for run in runs for p, _ in run] == list(range(600)) and len(runs) > 1
+    found = [m for run in runs for _, m in run]
+    assert str(found[5]["Subject"]) == "café 5" and str(found[5]["From"]) == "a5@example.org" and str(found[5]["X-Own"]) == "v"
+    assert len({type(m[h]) for m in found for h in ("From", "Subject", "X-Own")}) == 3
