@@ -10,6 +10,20 @@ from mnemora.operators import grid
 from mnemora.plans.registry import Tables
 
 
+#: Rows that a task of ``dealt`` takes, so that its memory stays as it is however many there are.
+TASK_ROWS = 250_000
+
+
+def tasks(table: DataFrame) -> int:
+    """How many tasks a table's rows ask for."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, table.count() // TASK_ROWS + 1)
+
+
+def dealt(table: DataFrame, key: str) -> DataFrame:
+    """A table's rows by ``key`` over as many tasks as its number of rows asks for; Spark alone goes by bytes, which are few for rows that compress well."""
+    return table.repartition(tasks(table), key)
+
+
 def chat_grid(t: Tables) -> DataFrame:
     """``conversations`` as chat and message rows."""
     return grid.chat_rows(t.conversations, "assistant")
