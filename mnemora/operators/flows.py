@@ -287,14 +287,16 @@ def phone_log(texts: DataFrame, calls: DataFrame) -> DataFrame:
     return both.drop("name").join(named, "number", "left").withColumn("display", F.coalesce("display", F.col("number"))).withColumn("period", period_key(F.col("at_ms"), "month"))
 
 
-def review_timeline(reviews: DataFrame, general: DataFrame, inline: DataFrame) -> DataFrame:
+def review_timeline(reviews: DataFrame, general: DataFrame, inline: DataFrame, tasks: int | None = None) -> DataFrame:
     """A request's notes in their order: reviews and general comments by time, then inline ones by (path, line) of the thread they are in, then time.
 
     ``reviews`` and ``general``: ``(request, id, at, author, body)``; ``inline`` also ``path``, ``line`` and ``reply_to``: a reply takes its parent's place.
+    ``tasks``: how many tasks the notes are dealt to, where their number isn't left to Spark.
     """
     placed = thread_anchor(inline.withColumn("thread", F.coalesce("reply_to", "id")).withColumnRenamed("reply_to", "parent"), "id", "parent", ["path", "line"])
     head = lambda d, n: d.select("request", "id", "at", "author", "body", F.lit(n).alias("section"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("line"), F.col("id").alias("thread"))
     both = head(reviews, 0).unionByName(head(general, 1)).unionByName(placed.select("request", "id", "at", "author", "body", F.lit(2).alias("section"), "path", F.col("line").cast("long").alias("line"), "thread"))
+    both = both.repartition(tasks, "request") if tasks else both
     order = [F.col("section"), F.col("path").asc_nulls_first(), F.col("line").asc_nulls_first(), F.when(F.col("section") == 2, F.col("thread")).asc_nulls_first(), F.col("at"), F.col("id")]
     return both.withColumn("place", (F.row_number().over(Window.partitionBy("request").orderBy(*order)) - 1).cast("long"))
 

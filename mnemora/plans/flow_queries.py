@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemora.functions import columns as C
 from mnemora.operators import align, files, flows, grid, timeseries
 from mnemora.plans.registry import query
-from mnemora.plans.views import GRID_SQL, READINGS_SQL, chat_grid, readings
+from mnemora.plans.views import GRID_SQL, READINGS_SQL, chat_grid, dealt, readings, tasks
 from mnemora.streaming import events as stream
 
 
@@ -110,10 +110,10 @@ def d_notion_children(t):
 )
 def d_github_pr(t):
     own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    numbered = t.lineitem.withColumn("id", F.col("l_orderkey") * 1000 + F.row_number().over(own))  # the driver table has no key of its own
+    numbered = dealt(t.lineitem, "l_orderkey").withColumn("id", F.col("l_orderkey") * 1000 + F.row_number().over(own))  # the driver table has no key of its own
     notes = numbered.select(F.col("l_orderkey").alias("request"), "id", F.col("l_shipdate").alias("at"), F.col("l_suppkey").alias("author"), F.lit("").alias("body"), "l_returnflag", F.col("l_linestatus").alias("path"), F.col("l_quantity").cast("long").alias("line"), F.when(F.col("l_linenumber") % 2 == 0, F.col("id") - 1).alias("reply_to"))
     kind = lambda flag: notes.where(F.col("l_returnflag") == flag)
-    return flows.review_timeline(kind("N"), kind("A"), kind("R")).select("request", "id", "section", "path", "line", "place")
+    return flows.review_timeline(kind("N"), kind("A"), kind("R"), tasks(t.lineitem)).select("request", "id", "section", "path", "line", "place")
 
 
 @query(

@@ -60,3 +60,16 @@ def test_alignment_takes_every_row(spark, tmp_path):
         for k, (x, y) in enumerate(align.groups(*vectors, *lengths)):
             want[label, k] = (list(x), list(y))
     assert got == want
+
+
+def test_lines_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    """More rows are more tasks, each with about as many."""
+    from mnemora.plans import views
+
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    for name in ("w_bump_micros", "d_github_pr"):
+        plan = registry.QUERIES[name](spark, sf_dir)
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+        assert "REPARTITION_BY_NUM" in text and f"{rows // 500 + 1})" in text
