@@ -269,3 +269,20 @@ def test_lines_odd_rows(spark):
     assert len(got) == docs.count()
     assert {r.n_lines for r in got if r.id in (1, 2)} == {1}
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_short_lines_and_scattered_edits_share_a_key(spark):
+    """Every pair of short lines within the distance, and longer ones that no block of words had in common."""
+    r = random.Random(7)
+    rows = ["la ja", "la ra", "eding in", "eding enin"]
+    for _ in range(60):
+        a = "".join(r.choice("abcd ") for _ in range(r.randint(5, 24))).split()
+        a = " ".join(a) or "abcde"
+        b = list(a)
+        for _ in range(r.randint(1, 4)):
+            b[r.randrange(len(b)) : r.randrange(len(b)) + r.randint(0, 1)] = r.choice(["", "a", "d"])
+        rows += [a, " ".join("".join(b).split()) or "abcd"]
+    rows += ["reth the for statre the thingou that nter ershin edshnt onnd", "esedble the for statre the thingou that nter ershin edshnt onnd"]
+    _, group = _line_groups(list(enumerate(rows)))
+    got = {x.id for x in line_dedup.dedup_lines(frame(spark, list(enumerate(rows)))).collect() if x.n_removed}
+    assert got == {i for i, t in enumerate(rows) if group[_norm(t)] != (i, 0)}
