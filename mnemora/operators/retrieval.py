@@ -82,12 +82,13 @@ def one_per_document(hits: DataFrame, document: str, tie: str = "uuid") -> DataF
     return hits.withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n")
 
 
-def sections(hits: DataFrame, anchors: DataFrame) -> DataFrame:
+def sections(hits: DataFrame, anchors: DataFrame, parts: int | None = None) -> DataFrame:
     """As-of: for hits ``(doc, line)`` the last of ``anchors (doc, anchor_line, uuid)`` at or before the line, else the first.
 
-    Both sides meet in one sort by (document, line); there is no range join.
+    Both sides meet in one sort by (document, line), in ``parts`` tasks where they are stated; there is no range join.
     """
     both = anchors.select("doc", F.col("anchor_line").alias("line"), F.lit(0).alias("kind"), "uuid").unionByName(hits.withColumn("kind", F.lit(1)).withColumn("uuid", F.lit(None).cast("string")), allowMissingColumns=True)
+    both = both.repartition(parts, "doc") if parts else both
     upto = Window.partitionBy("doc").orderBy("line", "kind").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("doc").orderBy("line", "kind").rowsBetween(0, Window.unboundedFollowing)
     found = both.withColumn("section", F.coalesce(F.last("uuid", ignorenulls=True).over(upto), F.first("uuid", ignorenulls=True).over(after)))
@@ -169,16 +170,19 @@ def anchors_of(documents: DataFrame, path: str = "path", text: str = "text") ->
     return found.where("uuid <> ''")
 
 
-def rows_of_hits(hits: DataFrame, rows: DataFrame, anchors: DataFrame) -> DataFrame:
+def rows_of_hits(hits: DataFrame, rows: DataFrame, anchors: DataFrame, parts: int | None = None) -> DataFrame:
     """``(hit, uuid)`` of hits ``(hit, path, snippet)``: the row of the section that the matched line is in, else every row of the document.
 
     Paths meet in their normal form. Hits of documents that ``rows (uuid, path)`` lacks have no rows: see ``orphans``.
+    ``parts``: how many tasks deal the rows; Spark alone goes by bytes, which are few for paths and ids that compress well.
     """
+    dealt = lambda df, key: df.repartition(parts, key) if parts else df
     at = hits.select("hit", norm_path(F.col("path")).alias("doc"), match_line(F.col("snippet")).alias("line"))
     where = anchors.select(norm_path(F.col("doc")).alias("doc"), "anchor_line", "uuid")
     own = rows.select(norm_path(F.col("path")).alias("doc"), "uuid")
-    pinned = sections(at.where("line is not null"), where).where("section is not null").select("hit", F.col("section").alias("uuid")).join(own.select("uuid").distinct(), "uuid", "left_semi")
-    rest = at.join(pinned.select("hit"), "hit", "left_anti").join(own, "doc").select("hit", "uuid")
+    placed = sections(at.where("line is not null"), where, parts).where("section is not null").select("hit", F.col("section").alias("uuid"))
+    pinned = dealt(placed, "uuid").join(dealt(own.select("uuid"), "uuid"), "uuid", "left_semi")
+    rest = dealt(dealt(at, "hit").join(dealt(pinned.select("hit"), "hit"), "hit", "left_anti"), "doc").join(dealt(own, "doc"), "doc").select("hit", "uuid")
     return pinned.select("hit", "uuid").unionByName(rest)
 
 
@@ -188,9 +192,10 @@ def orphans(hits: DataFrame, rows: DataFrame) -> DataFrame:
     return hits.withColumn("__doc", norm_path(F.col("path"))).join(known, "__doc", "left_anti").drop("__doc")
 
 
-def hits_of_row(hits: DataFrame, rows: DataFrame, anchors: DataFrame, uuid: str) -> DataFrame:
-    """The hits that stand for one row."""
-    return hits.join(rows_of_hits(hits, rows, anchors).where(F.col("uuid") == uuid).select("hit"), "hit", "left_semi")
+def hits_of_row(hits: DataFrame, rows: DataFrame, anchors: DataFrame, uuid: str, mapped: DataFrame | None = None) -> DataFrame:
+    """The hits that stand for one row; ``mapped`` is what ``rows_of_hits`` gave, where that is there already."""
+    mapped = rows_of_hits(hits, rows, anchors) if mapped is None else mapped
+    return hits.join(mapped.where(F.col("uuid") == uuid).select("hit"), "hit", "left_semi")
 
 
 # ---- chunks

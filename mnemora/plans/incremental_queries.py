@@ -7,11 +7,12 @@ from datetime import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mnemora.durable import cut
 from mnemora.operators import files as fs
 from mnemora.operators import payloads, retrieval, scope
 from mnemora.operators.search import DEFAULT_LIMIT, FIELDS, MOST_ROWS, Filters, default_order, filled_manifest, hit_limit, matching, routed
 from mnemora.plans.registry import query
-from mnemora.plans.views import GRID_SQL, ORDERS_SQL, chat_grid, new_orders, old_orders
+from mnemora.plans.views import GRID_SQL, ORDERS_SQL, chat_grid, dealt, new_orders, old_orders, tasks
 
 # ---- payloads
 
@@ -262,7 +263,7 @@ def r_route(t):
 def _hits(t):
     """Rendered reviews: a title line, then two lines for each comment, the first of which opens its section."""
     k = F.col("l_orderkey")
-    own = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    own = dealt(t.lineitem.select("l_orderkey"), "l_orderkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     line = lambda i: F.concat(F.lit('<div data-section-uuid="'), k.cast("string"), F.lit("-"), i.cast("string"), F.lit('">\nbody'))
     rendered = own.select(F.concat(F.lit("A_b/"), k.cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("title\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), line), "\n")).alias("text"), "n", "l_orderkey")
     rows = rendered.select("path", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"), "l_orderkey").select("path", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("i").cast("string")).alias("uuid"))
@@ -288,14 +289,15 @@ def r_match_line(t):
 
 @query(f"WITH {_HITS_SQL} SELECT hit, uuid FROM found")
 def r_rows_for_hit(t):
-    return retrieval.rows_of_hits(*_hits(t))
+    return retrieval.rows_of_hits(*_hits(t), tasks(t.lineitem))
 
 
 @query(f"WITH {_HITS_SQL} SELECT hit FROM found WHERE uuid = (SELECT min(uuid) FROM found)")
 def r_hits_for_row(t):
     hits, rows, anchors = _hits(t)
-    uuid = retrieval.rows_of_hits(hits, rows, anchors).agg(F.min("uuid")).first()[0]
-    return retrieval.hits_of_row(hits, rows, anchors, uuid).select("hit")
+    mapped = cut(retrieval.rows_of_hits(hits, rows, anchors, tasks(t.lineitem)))  # found once, for the least and for its hits
+    uuid = mapped.agg(F.min("uuid")).first()[0]
+    return retrieval.hits_of_row(hits, rows, anchors, uuid, mapped).select("hit")
 
 
 @query("SELECT l_orderkey AS hit FROM lineitem WHERE l_orderkey % 13 = 0 GROUP BY 1")

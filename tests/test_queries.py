@@ -73,3 +73,18 @@ def test_lines_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
         text = plan._jdf.queryExecution().executedPlan().toString()
         rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
         assert "REPARTITION_BY_NUM" in text and f"{rows // 500 + 1})" in text
+
+
+def test_hits_are_mapped_once_and_dealt_by_number(spark, sf_dir, monkeypatch):
+    """Rows of hits are found once for a query of one row, and more lines are more tasks."""
+    from mnemora.operators import retrieval
+    from mnemora.plans import views
+
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    plan = registry.QUERIES["r_rows_for_hit"](spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert f"{lines // 500 + 1}), REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString()
+    calls, plain = [], retrieval.rows_of_hits
+    monkeypatch.setattr(retrieval, "rows_of_hits", lambda *a: calls.append(1) or plain(*a))
+    registry.QUERIES["r_hits_for_row"](spark, sf_dir)
+    assert len(calls) == 1
