@@ -27,12 +27,12 @@ def windows(cursors: DataFrame, size: int, stride: int, now: int) -> DataFrame:
 def given_up(windows: DataFrame, failed: DataFrame, budget: int) -> DataFrame:
     """``windows`` with ``state``: fetched, failed, or not tried, once ``budget`` windows of a device have failed in a row before it.
 
-    A run of failures is an island: the window's number less its rank among the failures is the same along it.
+    Both sides are dealt by device once; a run has reached the budget at a window where as many failed among it and the numbers before it.
     """
-    lost = windows.join(failed.select("device", "n").distinct(), ["device", "n"], "left_semi").select("device", "n")
-    islands = lost.withColumn("island", F.col("n") - F.row_number().over(Window.partitionBy("device").orderBy("n")))
-    ends = islands.groupBy("device", "island").agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("run")).where(F.col("run") >= budget).groupBy("device").agg((F.min("low") + (budget - 1)).alias("last"))
-    marked = windows.join(lost.withColumn("lost", F.lit(True)), ["device", "n"], "left").join(ends, "device", "left")
+    both = windows.select("device", "n", "start", "end", F.lit(False).alias("lost")).unionByName(failed.select("device", "n", F.lit(True).alias("lost")), allowMissingColumns=True)
+    each = both.repartition("device").groupBy("device", "n").agg(F.max("start").alias("start"), F.max("end").alias("end"), F.max("lost").alias("lost")).where("start is not null")
+    run = F.sum(F.col("lost").cast("int")).over(Window.partitionBy("device").orderBy("n").rangeBetween(1 - budget, 0))
+    marked = each.withColumn("run", run).withColumn("last", F.min(F.when(F.col("lost") & (F.col("run") == budget), F.col("n"))).over(Window.partitionBy("device")))
     state = F.when(F.col("n") > F.col("last"), "not tried").when(F.col("lost"), "failed").otherwise("fetched")
     return marked.select("device", "n", "start", "end", state.alias("state"))
 

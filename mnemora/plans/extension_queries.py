@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from mnemora.durable import shared_dir
+from mnemora.durable import cut, shared_dir
 from mnemora.functions import registered, times
 from mnemora.operators import attachments, explore, ignore, outline, resume
 from mnemora.plans.registry import query
@@ -180,12 +180,13 @@ _CURSORS = f"cursors AS (SELECT device, greatest(min(ts_ms) - 3600000, 170406720
 def resume_windows(t):
     """Windows of a resumed series, those that failed or were given up, and what the others gave once and twice."""
     r = readings(t)
-    cursors = r.groupBy("device").agg(resume.start(F.min("ts_ms"), F.lit(1_704_067_200_000), 3_600_000)["cursor"].alias("cursor"))
+    cursors = cut(r.groupBy("device").agg(resume.start(F.min("ts_ms"), F.lit(1_704_067_200_000), 3_600_000)["cursor"].alias("cursor")))
     planned = resume.windows(cursors, _SIZE, _STRIDE, _NOW)
     failed = planned.where("n % 11 in (4, 5) or (length(device) % 2 = 0 and n in (29, 30, 31, 32))")
-    states = resume.given_up(planned, failed, _BUDGET)
+    states = cut(resume.given_up(planned, failed, _BUDGET))
     given = resume.fetched(r, states.where("state = 'fetched'"), _SIZE, _STRIDE, cursors)
-    counts = given.groupBy("device").agg(F.count(F.lit(1)).alias("given")).join(resume.stored(given, ["device", "event_id"]).groupBy("device").agg(F.count(F.lit(1)).alias("stored")), "device")
+    events_given = given.repartition("device").groupBy("device", "event_id").agg(F.count(F.lit(1)).alias("m"))  # each stored once, given m times
+    counts = events_given.groupBy("device").agg(F.sum("m").alias("given"), F.count(F.lit(1)).alias("stored"))
     own = states.groupBy("device").agg(F.count(F.lit(1)).alias("windows"), F.count(F.when(F.col("state") == "failed", 1)).alias("failed"), F.count(F.when(F.col("state") == "not tried", 1)).alias("not_tried"))
     return own.join(counts, "device", "left").select("device", "windows", "failed", "not_tried", F.coalesce("given", F.lit(0)).alias("given"), F.coalesce("stored", F.lit(0)).alias("stored"))
 

@@ -88,3 +88,9 @@ def test_hits_are_mapped_once_and_dealt_by_number(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(retrieval, "rows_of_hits", lambda *a: calls.append(1) or plain(*a))
     registry.QUERIES["r_hits_for_row"](spark, sf_dir)
     assert len(calls) == 1
+
+
+def test_resumed_series_is_planned_once(spark, sf_dir):
+    """The plan reads the events for what the windows give, and not again for each use of the windows."""
+    plan = registry.QUERIES["resume_windows"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("event_id") and plan.count("user_id") and plan.count("Window") == 0
