@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.sql import functions as F
 
 from mnemora.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 
@@ -286,3 +287,29 @@ def test_short_lines_and_scattered_edits_share_a_key(spark):
     _, group = _line_groups(list(enumerate(rows)))
     got = {x.id for x in line_dedup.dedup_lines(frame(spark, list(enumerate(rows)))).collect() if x.n_removed}
     assert got == {i for i, t in enumerate(rows) if group[_norm(t)] != (i, 0)}
+
+
+def test_line_keys_are_made_once_and_tables_of_marks_go(spark, tmp_path, monkeypatch):
+    """The keys of all lines are dealt by one exchange, and when the lines are found the tables of the rounds are off the disk."""
+    docs = frame(spark, corpus(60, seed=5))
+    distinct = docs.select(F.col("doc_id").alias("k"), line_dedup.normalised(F.col("text")).alias("text"))
+    plan = line_dedup.shared(line_dedup.runs(distinct))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Generate ") == 2 and "Join" not in plan
+    found = line_dedup.runs(distinct, None).groupBy("k").count().collect()
+    sizes = {r.k: len(r.text.split(" ")) for r in distinct.collect()}
+    assert all(r["count"] == (n - 3 if n >= 20 else 2 * n - 5 if n >= 8 else 2 * n - 3) for r in found if (n := sizes[r.k]) >= 3)
+    monkeypatch.setattr("mnemora.durable.shared_dir", lambda spark: f"file://{tmp_path}")
+    assert line_dedup.repeated_lines(docs).count()
+    left = [spark.read.parquet(str(d)).columns for d in tmp_path.glob("mnemora-*")]
+    assert left and not [c for c in left if {"mark", "marks", "band"} & set(c)]
+
+
+def test_tags_of_words_leave_out_no_pair_that_shares_half(spark):
+    r = random.Random(3)
+    rows = []
+    for n in range(300):
+        a, b = (set(r.sample(range(40), r.randint(8, 24))) for _ in "ab")
+        rows.append((n, (len(a), sorted({x % 16 for x in a})), (len(b), sorted({x % 16 for x in b})), 2 * len(a & b) >= max(len(a), len(b))))
+    kind = "struct<n:int,tags:array<smallint>>"
+    got = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}, half boolean").withColumn("kept", line_dedup.half(F.col("a"), F.col("b"))).collect()
+    assert all(x.kept for x in got if x.half) and sum(x.half for x in got) > 20 and not all(x.kept for x in got)
