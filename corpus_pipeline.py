@@ -17,23 +17,37 @@ from mnemora.llm import exact_dedup, near_dedup, packing, quality, substring_ded
 from mnemora.llm.common import cut, table
 
 
+#: Bytes of rows that a Python worker gets at once (by rows alone, 35 MB of ``documents``) and words whose ids a packing task
+#: keeps: executors live through all stages, and what their JVM holds by then leaves little for the workers.
+BATCH_BYTES, KEPT_WORDS = 4 << 20, 200_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """From now on batches for Python workers are bounded in this session; a stage is planned when it is written, so this stays set."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, taught by ``labels``, doesn't reject."""
+    bounded(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of those equal but for white space."""
+    bounded(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    bounded(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 20 words that occur earlier."""
+    bounded(spark)
     return substring_dedup.without_repeats(docs)
 
 
@@ -41,7 +55,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of 2048 tokens."""
     import public_tokenizers
 
-    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    bounded(spark)
+    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), most_words=KEPT_WORDS))
 
 
 STAGES = [

@@ -166,11 +166,12 @@ class Packer:
             yield window
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", most_words: int = 800_000) -> DataFrame:
     """Pieces of all texts: ``(id, start, length, doc_tokens, sequence_id, offset, ids binary)``.
 
     ``ids``: the piece's ids, little-endian unsigned 32-bit. A sequence's pieces have the
     offsets 0 to its length without gaps; sequences shorter than ``size`` are powers of two.
+    ``most_words``: the words whose ids a task keeps, some 400 bytes each.
     """
     rows = texts(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType
@@ -178,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokens, packer, number = WordTokens(tokenizer_path), Packer(size), task_number() * SEQUENCES_PER_TASK
+        tokens, packer, number = WordTokens(tokenizer_path, most_words), Packer(size), task_number() * SEQUENCES_PER_TASK
         kind = [arrow_id]
 
         def windows():

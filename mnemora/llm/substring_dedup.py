@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import column, column_bytes, cut, keyed, mix, texts, to_batches
-from .words import Words, slices
+from .words import RUN_BYTES, Words, slices
 
 WINDOW = 20
 ANCHOR = 6
@@ -108,7 +108,7 @@ def segments(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, k = column_bytes(batch, "text"), column(batch, "k").to_numpy()
-            for part in slices([len(t) for t in texts]):
+            for part in slices([len(t) for t in texts], RUN_BYTES):
                 words = Words(texts[part])
                 found = Segments(words)
                 new = ~found.again
@@ -161,7 +161,7 @@ def _first_pass(joined: DataFrame) -> DataFrame:
         for batch in batches:
             packed = column(batch, "z").to_pylist()
             texts = [unpack.decompress(z) for z in packed]
-            for part in slices([len(t) for t in texts]):
+            for part in slices([len(t) for t in texts], RUN_BYTES):
                 own, words = texts[part], Words(texts[part])
                 found, tags = Segments(words), np.array([_tag(t) for t in own], np.int64)
                 delta = np.zeros(len(words.hash) + 1, np.int64)

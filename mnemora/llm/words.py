@@ -10,6 +10,8 @@ import numpy as np
 from .common import mix
 
 MOST_BYTES = 2 << 20
+#: Texts of one ``Words``: its arrays take some 40 bytes for each byte of them, so this bounds a worker's memory.
+RUN_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -55,7 +57,7 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, edges)
         if len(self.start):
-            powers, inverse = _powers(1 << max(21, (len(raw) - 1).bit_length()))
+            powers, inverse = _powers(1 << max(RUN_BYTES.bit_length() - 1, (len(raw) - 1).bit_length()))
             sums = np.add.reduceat(_VALUE[raw] * powers[: len(raw)], self.start)
             self.hash = mix(sums * inverse[self.start] + (self.end - self.start).astype(np.uint64))
         else:

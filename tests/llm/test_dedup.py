@@ -9,7 +9,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
-from mnemora.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
+from mnemora.llm import exact_dedup, line_dedup, near_dedup, substring_dedup, words
 
 from .data import corpus, frame, odd_rows
 
@@ -313,3 +313,24 @@ def test_tags_of_words_leave_out_no_pair_that_shares_half(spark):
     kind = "struct<n:int,tags:array<smallint>>"
     got = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}, half boolean").withColumn("kept", line_dedup.half(F.col("a"), F.col("b"))).collect()
     assert all(x.kept for x in got if x.half) and sum(x.half for x in got) > 20 and not all(x.kept for x in got)
+
+
+def test_segments_of_a_batch_take_bounded_memory():
+    """Arrays are made for runs of bounded bytes, not for the whole batch."""
+    import tracemalloc
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(10**5)}" for _ in range(1500)) for _ in range(400)]
+    run = substring_dedup.segments(Rows())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], ["k", "text"])
+    words._powers.cache_clear()
+    tracemalloc.start()
+    for _ in run([batch]):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20

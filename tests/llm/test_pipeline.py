@@ -108,3 +108,21 @@ def test_stages_keep_the_columns_and_clean_documents(spark, sf_dir):
 def test_every_operator_is_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
+
+
+def test_batches_for_python_workers_are_bounded(spark, tmp_path):
+    """Every stage plans batches of bounded bytes, whatever the number of rows."""
+    sf = stored(spark, tmp_path, [(i, f"w{i} " * 1000) for i in range(40)], [(1, 1, 0), (2, 0, 0)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wide = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat(cast(id as string), 2000) as text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs, sf)
+        assert max(r.n for r in wide.mapInArrow(sizes, "n long").collect()) < 5 << 20, name
