@@ -319,6 +319,21 @@ def test_a_content_at_many_paths_gives_all_pairs(spark, monkeypatch):
     assert len({r.task for r in rows if r.hash == "x"}) > 1
 
 
+def test_pairs_of_a_content_are_made_by_blocks_of_paths(spark, monkeypatch):
+    """No path is followed by all paths that its content came to, which would be too long a list to compress; unknown paths keep their pairs."""
+    from itertools import groupby
+
+    from mnemora.operators import files
+
+    monkeypatch.setattr(files, "DEALT", 7)
+    old = spark.range(60).select(F.concat(F.lit("a/"), F.col("id").cast("string")).alias("path"), F.lit("x").alias("hash")).unionByName(spark.sql("select cast(null as string) as path, 'x' as hash"))
+    new = old.select(F.concat("path", F.lit(".moved")).alias("path"), "hash")
+    rows = files.moved(old, new).collect()
+    own = [None, *[f"a/{i}" for i in range(60)]]
+    assert len(rows) == 61 * 61 and {(r.from_path, r.to_path) for r in rows} == {(a, b and f"{b}.moved") for a in own for b in own}
+    assert max(len(list(run)) for _, run in groupby(r.from_path for r in rows)) < 30
+
+
 def test_ignore_lines_broadcast_no_entries(spark):
     """Tables of entries aren't taken to the driver, however few bytes they were read from."""
     from mnemora.operators import ignore
