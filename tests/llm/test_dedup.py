@@ -264,6 +264,29 @@ def test_long_lines_are_compared_by_characters(spark):
     assert {x.a for x in line_dedup.similar(pairs).collect()} == {1, 3}
 
 
+def test_ends_over_the_limit_decide_for_lines_of_one_passage(spark):
+    """No pair within the limit is told apart by its ends, and lines that share half of their words in one run, and nothing else, are."""
+    r = random.Random(11)
+    text = lambda n, of="abcdefgh": " ".join("".join(r.choices(of, k=r.randint(2, 8))) for _ in range(n))
+    passage, pairs = text(40), []
+    for n in range(40):
+        pairs.append((n, n + 10_000, f"{text(40, 'abcdefgh')} {passage}", f"{text(r.randint(34, 46), 'ijklmnop')} {passage}"))
+        pairs.append((n + 100, n + 10_100, f"{passage} {text(40, 'abcdefgh')}", f"{passage} {text(r.randint(34, 46), 'ijklmnop')}"))
+    for n in range(400):
+        a = text(r.randint(1, 40), "abü𝒳")
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // 3)):
+            at = r.choice([r.randrange(len(b)), r.randrange(len(b) // 3 + 1)])
+            b[at : at + r.randint(0, 1)] = r.choices("abü ", k=r.randint(0, 2))
+            b = b or ["a"]
+        pairs.append((n + 1000, n + 20_000, a, "".join(b)))
+    frame = spark.createDataFrame(pairs, "a long, b long, ta string, tb string").withColumn("most", F.floor(F.greatest(F.length("ta"), F.length("tb")) * 20 / 100).cast("int"))
+    rows = frame.select("a", line_dedup.ends_apart("ta", "tb", "most").alias("apart"), F.expr("levenshtein(ta, tb) <= most").alias("alike")).collect()
+    assert not any(x.apart and x.alike for x in rows) and sum(x.alike for x in rows) > 100 and any(x.apart for x in rows if x.a >= 1000)
+    assert all(x.apart for x in rows if x.a < 1000)
+    assert {x.a for x in line_dedup.similar(frame.drop("most")).collect()} == {x.a for x in rows if x.alike}
+
+
 def test_lines_odd_rows(spark):
     docs = odd_rows(spark)
     got = line_dedup.dedup_lines(docs).collect()
